@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
-from .shared import held_out, table
+from . import langid, sharding, warc
+from .shared import held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,60 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~held_out()))
     return langid.identify(docs, model, spans=True).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+SHARDS = 16
+
+
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+ORACLES["op2_sharding"] = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, text,
+         CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS key
+  FROM documents
+), jump AS (
+  SELECT DISTINCT key, key AS state, CAST(-1 AS BIGINT) AS here, CAST(0 AS BIGINT) AS ahead FROM rows
+  UNION ALL
+  SELECT key, next, ahead, CAST(floor((ahead + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(next // 8589934592 AS DOUBLE) + 1))) AS BIGINT)
+  FROM (SELECT key, (state * 2862933555777941757 + 1) % 18446744073709551616 AS next, ahead FROM jump WHERE ahead < 17)
+), found AS (
+  SELECT key, max(CASE WHEN here < 16 THEN here END) AS shard, max(CASE WHEN here < 17 THEN here END) AS grown FROM jump GROUP BY key
+), bits AS (
+  SELECT r.doc_id, r.size, r.text, f.shard, f.grown FROM rows r JOIN found f USING (key)
+), crc(i, c) AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) FROM range(256) t(i)
+), lookup AS (
+  SELECT list(c ORDER BY i) AS t FROM crc
+), summed AS (
+  SELECT doc_id, size, shard, grown,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(list_transform(range(0, size - 1), lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT)) AS BIGINT[])),
+                         lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM bits), lookup
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM summed
+"""
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archive(spark, path)
+    return back.select(F.col("id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
