@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, sharding, tokencount, warc
+from . import decontam, jaccard, langid, sharding, tokencount, warc
 from .shared import held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def tokenizer_path(name: str) -> str:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.count(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return tokencount.over_limit(counts, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
