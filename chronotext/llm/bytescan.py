@@ -63,6 +63,7 @@ class Words:
     hashes: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    prefixes: dict[int, tuple[np.ndarray, np.ndarray]]  # by bytes: the longer words, and a hash of what they begin with
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -90,7 +91,7 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES):
         row = stop
 
 
-def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> Words:
+def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
     """The words of the texts between `offsets`; no word crosses from one text to the next."""
     n = len(data)
     flags = np.empty(n + 1, bool)
@@ -109,7 +110,12 @@ def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> Words:
         np.cumsum((_LOWER[data].astype(U64) + U64(1)) * _power("p", _MULTIPLIER, n), out=sums[1:])
         raw = (sums[end] - sums[begin]) * _power("i", _INVERSE, n + 1)[begin]
         hashes = mix(raw + (end - begin).astype(U64) * U64(0xD1B54A32D192ED03))
-    return Words(np.searchsorted(begin, offsets), hashes, begin, end)
+        heads = {}
+        for k in prefixes:
+            longer = np.flatnonzero(end - begin > k)
+            at = begin[longer]
+            heads[k] = longer, mix((sums[at + k] - sums[at]) * _power("i", _INVERSE, n + 1)[at] ^ U64(0xC4CEB9FE1A85EC53 + k))
+    return Words(np.searchsorted(begin, offsets), hashes, begin, end, heads)
 
 
 def shingles(found: Words, k: int) -> list[np.ndarray]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, sharding, tokencount, warc
+from . import decontam, jaccard, langid, sharding, tokencount, toxicity, warc
 from .shared import held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def toxic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows that a toxicity model may learn from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(learn, "doc_id")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(toxic_examples(spark, sf_dir))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("evidence").alias("n_evidence"))
