@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, sharding, tokencount, toxicity, warc
+from . import ann, decontam, jaccard, langid, sharding, tokencount, toxicity, warc
 from .shared import held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(toxic_examples(spark, sf_dir))
     scored = toxicity.score(table(spark, sf_dir, "documents"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("evidence").alias("n_evidence"))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed, book = ann.index(table(spark, sf_dir, "embeddings"))
+    return ann.search(indexed, book, indexed.where("id % 100 = 0").select("id", "vector"), k=10)
