@@ -129,16 +129,14 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-def toxic_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled rows that a toxicity model may learn from."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learn = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(learn, "doc_id")
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that a toxicity model may learn from."""
+    return table(spark, sf_dir, "labels").where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
 
 
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(toxic_examples(spark, sf_dir))
+    model = toxicity.learn(table(spark, sf_dir, "documents"), toxic_labels(spark, sf_dir))
     scored = toxicity.score(table(spark, sf_dir, "documents"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("evidence").alias("n_evidence"))
 

@@ -162,10 +162,12 @@ def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return sums[:, 0] / sums[:, 2], np.maximum.accumulate(np.clip(rate, 0.001, 0.999))
 
 
-def learn(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_per_label: int = SAMPLE_PER_LABEL, most_terms: int = MOST_TERMS, k: int = NEIGHBOURS) -> Model:
-    """A model from the whole texts of at most about `sample_per_label` rows of each label."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    sample = written(bounded_sample(rows, "label", "key", sample_per_label).repartition(8), "examples")
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_per_label: int = SAMPLE_PER_LABEL, most_terms: int = MOST_TERMS, k: int = NEIGHBOURS) -> Model:
+    """A model from the whole texts of about `sample_per_label` rows of `labels` (key, label) of each label, or all if fewer."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    chosen = written(bounded_sample(rows, "label", "key", sample_per_label), "chosen")
+    small = chosen.count() <= 4 * sample_per_label  # keys and labels alone; else the texts are shuffled to them
+    sample = written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen) if small else chosen, "key").select("key", "label", "text").repartition(8), "examples")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     whole = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -196,7 +198,7 @@ def learn(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text:
     share = (chosen["a"].to_numpy(float) / max(n1, 1) * whole.get(1, 0) + chosen["b"].to_numpy(float) / max(n0, 1) * whole.get(0, 0)) / max(1, sum(whole.values()))
     terms = Terms(chosen["term"].to_numpy(np.int64).view(np.uint64), chosen["occurrence"].to_numpy(np.int64), 1 + np.log(1 / np.maximum(share, 1e-9)))
 
-    shared = labelled.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches):
         for batch in batches:
