@@ -34,7 +34,7 @@ from .shared import has_bit, member_bits, written
 
 U64 = np.uint64
 BLOCK = 256
-LEAST_BITS, MOST_BITS = 64, 8192
+LEAST_BITS, MOST_BITS = 64, 65536
 FILTER_BITS = 1 << 25
 
 
@@ -97,9 +97,13 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A hashed bitmap of at least about two bits for each shingle, up to MOST_BITS; halves can be OR-ed to a smaller one."""
+    """A hashed bitmap of 16 to 32 bits for each shingle, up to MOST_BITS; halves can be OR-ed to a smaller one.
+
+    So few shingles share a bit that the bound is close to the overlap itself, and pairs just below the threshold, of
+    which a large group of near copies has very many, fall here.
+    """
     width = LEAST_BITS
-    while width < 2 * len(shingles) and width < MOST_BITS:
+    while width < 16 * len(shingles) and width < MOST_BITS:
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(shingles & U64(width - 1)).astype(np.int64)] = 1
@@ -140,17 +144,15 @@ class ShingleJoin:
         return sets
 
     def described(self) -> DataFrame:
-        """(key, n_shingles, node, bitmap) of every row; node is null without shingles."""
+        """(key, n_shingles, node) of every row; node is null without shingles."""
         sets, key = self._sets(), self.key
 
         def describe(batches):
             for batch in batches:
                 for row, found in sets(batch.column(1)):
-                    yield pa.record_batch([
-                        batch.column(0).slice(row, len(found)), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())
-                    ], [key, "n_shingles", "node", "bitmap"])
+                    yield pa.record_batch([batch.column(0).slice(row, len(found)), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())], [key, "n_shingles", "node"])
 
-        return self.docs.select(self.key, self.text).mapInArrow(describe, f"{self.key} {self.docs.schema[self.key].dataType.simpleString()}, n_shingles long, node long, bitmap binary")
+        return self.docs.select(self.key, self.text).mapInArrow(describe, f"{self.key} {self.docs.schema[self.key].dataType.simpleString()}, n_shingles long, node long")
 
     def tiles(self, only: np.ndarray | None = None) -> DataFrame:
         """(tile, node) of every text; with `only`, of those tiles that may be in that filter. Copies within a task count once."""
@@ -176,25 +178,25 @@ class ShingleJoin:
 
         return self.docs.select(self.text).mapInArrow(emit, "tile long, node long")
 
-    def arrays(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of the given nodes, one row each."""
-        sets, shared = self._sets(), self.context.broadcast(member_bits(nodes, "node", FILTER_BITS))
+    def nodes(self, wanted: DataFrame) -> DataFrame:
+        """(node, n_shingles, bitmap, shingles) of the wanted nodes, one row each."""
+        sets, shared = self._sets(), self.context.broadcast(member_bits(wanted, "node", FILTER_BITS))
 
         def emit(batches):
-            seen, wanted = set(), shared.value
+            seen, bits = set(), shared.value
             for batch in batches:
                 for _, found in sets(batch.column(0)):
                     keys = np.array([fingerprint(s) for s in found], np.int64)
                     out = []
-                    for i in np.flatnonzero(has_bit(wanted, keys)).tolist():
+                    for i in np.flatnonzero(has_bit(bits, keys)).tolist():
                         if len(found[i]) and keys[i] not in seen:
                             seen.add(keys[i])
                             out.append(i)
                     if out:
-                        yield pa.record_batch([pa.array(keys[out]), pa.array([found[i].view(np.int64) for i in out], pa.list_(pa.int64()))], ["node", "shingles"])
+                        yield pa.record_batch([pa.array(keys[out]), pa.array([len(found[i]) for i in out], pa.int64()), pa.array([bitmap(found[i]) for i in out], pa.binary()), pa.array([found[i].view(np.int64) for i in out], pa.list_(pa.int64()))], ["node", "n_shingles", "bitmap", "shingles"])
 
-        every = self.docs.select(self.text).mapInArrow(emit, "node long, shingles array<long>")
-        return every.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        every = self.docs.select(self.text).mapInArrow(emit, "node long, n_shingles long, bitmap binary, shingles array<long>")
+        return every.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
     def screened(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and bitmaps leave."""
@@ -213,11 +215,9 @@ class ShingleJoin:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bitmap").alias(f"m_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(screen, "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs that link: the exact intersection of their sorted arrays."""
         num, den = self.num, self.den
-        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        arrays = self.arrays(ends)
 
         def intersect(batches):
             for batch in batches:
@@ -231,7 +231,7 @@ class ShingleJoin:
                     keep[i] = den * common >= num * (len(a) + len(b) - common)
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-        side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(intersect, "a long, b long")
 
     def rest(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -275,28 +275,27 @@ class ShingleJoin:
 
         return full.mapInArrow(walk, "a long, b long").distinct()
 
-    def links(self, described: DataFrame) -> DataFrame:
+    def links(self) -> DataFrame:
         """Links (a, b) between nodes, enough of them that their components are those of all links."""
-        nodes = written(described.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")), "nodes")
         shared = written(self.tiles().groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "tiles")
         members = written(self.tiles(member_bits(shared, "tile", FILTER_BITS)).join(shared, "tile").distinct(), "members")
+        nodes = written(self.nodes(members), "nodes")
         stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
-        first = written(self.verified(written(self.screened(stars, nodes), "screened")), "star-links")
-        classes = components(first)
-        rooted = members.join(classes.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")) if "node" in classes.columns else members
+        first = written(self.verified(self.screened(stars, nodes), nodes), "star-links")
+        rooted = members.join(components(first).withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # members of one class, and tiles of two members (which have been compared), are done
         left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile")
         pairs = written(self.rest(written(rooted.join(left, "tile", "left_semi").select("tile", "node", "root"), "left"), nodes), "pairs")
         if pairs.isEmpty():
             return first
-        return first.unionAll(written(self.verified(pairs), "rest-links"))
+        return first.unionAll(written(self.verified(pairs, nodes), "rest-links"))
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: key, n_shingles, component_id (the smallest key that links reach, itself included)."""
     join = ShingleJoin(docs, k, num, den, key, text)
     described = written(join.described(), "described")
-    of = components(join.links(described))
+    of = components(join.links())
     members = described.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least"))
     rooted = members.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     # the smallest key of each component, then of each node
