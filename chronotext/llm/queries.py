@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, sharding, tokencount, toxicity, warc
+from . import ann, decontam, jaccard, langid, lattice, sharding, tokencount, toxicity, warc
 from .shared import held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed, book = ann.index(table(spark, sf_dir, "embeddings"))
     return ann.search(indexed, book, indexed.where("id % 100 = 0").select("id", "vector"), k=10)
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    sums = lattice.totals(table(spark, sf_dir, "documents"), pieces)
+    return sums.select("doc_id", "n_bytes", "n_pieces", "ids_sum", (F.col("n_changed") == 0).alias("round_trip"))
