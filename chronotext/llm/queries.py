@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, lattice, sharding, tokencount, toxicity, warc
+from . import ann, decontam, jaccard, langid, lattice, licences, sharding, tokencount, toxicity, warc
 from .shared import held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
     sums = lattice.totals(table(spark, sf_dir, "documents"), pieces)
     return sums.select("doc_id", "n_bytes", "n_pieces", "ids_sum", (F.col("n_changed") == 0).alias("round_trip"))
+
+
+@query
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below source and language, the only hierarchy that they have."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licences.scan(files).select("doc_id", "path", "licence", "how", F.round("cosine", 9).alias("cosine"), "line", "from_directory")
