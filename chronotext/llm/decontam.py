@@ -198,7 +198,7 @@ class Shard:
     def __init__(self, wanted: Phrases):
         self.wanted, self.ids, self.counts, self.parts, self.kept = wanted, [], [], [], 0
 
-    def add(self, ids: list, found: bytescan.Words) -> None:
+    def add(self, ids: list, found: bytescan.Words, offsets: np.ndarray) -> None:
         symbols, base = self.wanted.symbols(found.hashes), len(self.ids)
         text = np.repeat(np.arange(len(ids)), found.counts())
         self.ids += ids
@@ -212,7 +212,7 @@ class Shard:
         keep = place[size[run] >= self.wanted.shortest]
         if len(keep):
             starts = new[keep]
-            self.parts.append((symbols[keep], starts, text[keep] + base, keep - found.first[text[keep]], found.begin[keep], found.end[keep]))
+            self.parts.append((symbols[keep], starts, text[keep] + base, keep - found.first[text[keep]], found.begin[keep] - offsets[text[keep]], found.end[keep] - offsets[text[keep]]))
             self.kept += len(keep)
 
     def hits(self) -> dict[int, tuple[list[tuple[int, int, int, int]], list[str]]]:
@@ -273,7 +273,7 @@ def _one_pass(docs: DataFrame, wanted: Phrases, key: str, text: str) -> DataFram
             kind = batch.schema.field(0).type
             ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for row, offsets, data in bytescan.blocks(batch.column(2)):
-                shard.add(ids[row : row + len(offsets) - 1], bytescan.words(offsets, data, bytescan.ALNUM))
+                shard.add(ids[row : row + len(offsets) - 1], bytescan.words(offsets, data, bytescan.ALNUM), offsets)
                 if shard.kept >= SHARD_SYMBOLS or len(shard.ids) >= SHARD_ROWS:
                     yield out(shard, kind)
                     shard = Shard(shared.value)
@@ -283,18 +283,24 @@ def _one_pass(docs: DataFrame, wanted: Phrases, key: str, text: str) -> DataFram
     return docs.select(F.col(key), F.xxhash64(text).alias("text_key"), F.col(text)).mapInArrow(find, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of `docs`: key, text_key, n_words, spans of hit words and bytes (merged, in order), and the names of the items."""
+def _blocks(benchmark: DataFrame, window: int, item: str, item_text: str, block_bytes: int) -> list[Phrases]:
+    """The benchmark's windows in blocks of bounded size."""
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     passes = max(1, math.ceil(size / block_bytes))
     named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.col(item_text).alias("t"))
     found = []
     for b in range(passes):
-        part = named.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == b) if passes > 1 else named
+        part = named.where(F.pmod(F.xxhash64("name", "t"), F.lit(passes)) == b) if passes > 1 else named
         # a bounded block of the benchmark, never of the corpus
         wanted = phrases([(r["name"], r["t"]) for r in part.toLocalIterator()], window)
         if wanted is not None:
-            found.append(_one_pass(docs, wanted, key, text))
+            found.append(wanted)
+    return found
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of `docs`: key, text_key, n_words, spans of hit words and bytes (merged, in order), and the names of the items."""
+    found = [_one_pass(docs, wanted, key, text) for wanted in _blocks(benchmark, window, item, item_text, block_bytes)]
     if not found:
         none = Phrases(np.zeros(1, np.uint64), np.zeros(1 << 20, bool), {}, {}, [], 1)
         return _one_pass(docs, none, key, text)
@@ -308,16 +314,55 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
     return every.withColumn("spans", merged).select(key, "text_key", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_")).drop("_")
 
 
-def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", **other) -> DataFrame:
-    """The rows of `docs` with the hit spans cut out of their text; rows of which no word is left go, rows without hits stay as they are."""
-    hit = find(docs.select(key, text), benchmark, window, key, text, **other).where(F.size("spans") > 0)
-    hit = hit.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), "spans", (F.col("n_words") - F.expr("aggregate(spans, 0, (a, s) -> a + s.end_word - s.first_word)")).alias("_left")).dropDuplicates(["_key", "_text_key"])
-    joined = docs.join(hit, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text_key")), "left")
-    raw = F.encode(F.col(text), "UTF-8")
-    # the pieces between the spans, and the rest
-    pieces = F.concat(
-        F.transform("spans", lambda s, i: F.decode(F.substring(raw, F.when(i == 0, 0).otherwise(F.element_at("spans", F.greatest(i, F.lit(1))).getField("end_byte")) + 1, s["first_byte"] - F.when(i == 0, 0).otherwise(F.element_at("spans", F.greatest(i, F.lit(1))).getField("end_byte"))), "UTF-8")),
-        F.array(F.decode(F.substring(raw, F.element_at("spans", -1).getField("end_byte") + 1, F.octet_length(text)), "UTF-8")),
-    )
-    clean = F.when(F.col("_text_key").isNull(), F.col(text)).otherwise(F.array_join(pieces, " "))
-    return joined.where(F.col("_left").isNull() | (F.col("_left") > 0)).withColumn(text, clean).drop("_key", "_text_key", "spans", "_left")
+def _without(raw: bytes, spans: list[tuple[int, int, int, int]]) -> str:
+    pieces, at = [], 0
+    for _, _, a, b in spans:
+        pieces.append(raw[at:a])
+        at = b
+    return b" ".join([*pieces, raw[at:]]).decode()
+
+
+def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` with the hit spans cut out of their text; rows of which no word is left go, rows without hits stay as they are.
+
+    A benchmark of one block is cut in passing, each Arrow batch a shard, and nothing is shuffled. Of a larger one the
+    spans of all blocks are merged first and joined to the rows.
+    """
+    found = _blocks(benchmark, window, item, item_text, block_bytes)
+    if not found:
+        return docs
+    at = docs.columns.index(text)
+    if len(found) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(found[0])
+
+        def clean(batches):
+            for batch in batches:
+                column, shard, counts = batch.column(at), Shard(shared.value), []
+                for row, offsets, data in bytescan.blocks(column):
+                    words = bytescan.words(offsets, data, bytescan.ALNUM)
+                    shard.add(list(range(row, row + len(offsets) - 1)), words, offsets)
+                    counts.append(words.counts())
+                hits = shard.hits()
+                if not hits:
+                    yield batch
+                    continue
+                texts, keep, n = column.to_pylist(), np.ones(batch.num_rows, bool), np.concatenate(counts)
+                for i, (spans, _) in hits.items():
+                    texts[i] = _without(texts[i].encode(), spans)
+                    keep[i] = n[i] > sum(b - a for a, b, _, _ in spans)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type)).filter(pa.array(keep))
+
+        return docs.mapInArrow(clean, docs.schema)
+    hit = find(docs.select(key, text), benchmark, window, key, text, item, item_text, block_bytes).where(F.size("spans") > 0)
+    hit = hit.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"), (F.col("n_words") - F.expr("aggregate(spans, 0L, (a, s) -> a + s.end_word - s.first_word)")).alias("_left")).dropDuplicates(["_key", "_text_key"])
+    joined = docs.join(hit, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text_key")), "left").where(F.col("_left").isNull() | (F.col("_left") > 0))
+    columns = [*docs.columns, "_spans"]
+
+    def apply(batches):
+        for batch in batches:
+            column, spans = batch.column(at), batch.column(len(columns) - 1).to_pylist()
+            texts = [t if not s else _without(t.encode(), [tuple(x.values()) for x in s]) for t, s in zip(column.to_pylist(), spans, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type)).select(docs_columns)
+
+    docs_columns = docs.columns
+    return joined.select(*columns).mapInArrow(apply, docs.schema)

@@ -301,3 +301,11 @@ def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     # the smallest key of each component, then of each node
     least = written(rooted.join(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id"), "classes")
     return described.join(least, "node", "left").select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` of which each class keeps the one of the smallest key (of equal keys, the first row)."""
+    numbered = written(docs.withColumn("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "numbered")
+    found = classes(numbered, k, num, den, key="_row", text=text)
+    first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row.row").alias("_keep"))
+    return numbered.join(first, F.col("_row.row") == F.col("_keep"), "left_semi").drop("_row")

@@ -286,6 +286,18 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return docs.select(key, text).mapInArrow(predict, schema)
 
 
+def kept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of `docs` that have a language: some letter, and at least the share `least` of letters in one language."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def keep(batches):
+        for batch in batches:
+            found = [x for _, texts in _runs(batch.column(at)) for x in label_texts(shared.value, texts)]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def narrow(text: pa.Array) -> list[str]:
     """The scripts of the letters of each text, most letters first; a plain report of the first step."""
     names, out = [None, *SCRIPTS, "other"], []
