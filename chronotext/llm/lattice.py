@@ -142,17 +142,31 @@ class Splitter:
 
 
 def _path(edges: F.Column, chars: F.Column) -> F.Column:
-    """The borders that are left (bit i: before character i), from edges packed as order, start and length, sorted."""
+    """The pieces of the path as start and id in one long, sorted, from sorted edges packed as order, id, start and length.
+
+    The state of the fold is the set of borders that are left (bit i: before character i). What it ends in is used
+    inside the aggregate's last function, where it is one value: as a column it would be folded again for each edge.
+    """
+    one = F.lit(1).cast("long")
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+    start_of = lambda e: F.shiftright(e, 8).bitwiseAND(F.lit(0xFF).cast("long")).cast("int")
+    size_of = lambda e: e.bitwiseAND(F.lit(0xFF).cast("long")).cast("int")
 
     def step(borders: F.Column, edge: F.Column) -> F.Column:
-        start, size = F.shiftright(edge, 8).bitwiseAND(F.lit(0xFF).cast("long")).cast("int"), edge.bitwiseAND(F.lit(0xFF).cast("long")).cast("int")
-        one = F.lit(1).cast("long")
-        ends = F.call_function("shiftleft", one, start).bitwiseOR(F.call_function("shiftleft", one, start + size))
-        inner = F.call_function("shiftleft", F.call_function("shiftleft", one, size - 1) - one, start + 1)
-        return F.when((borders.bitwiseAND(ends) == ends) & (F.bit_count(borders.bitwiseAND(inner)) == 1), borders.bitwiseAND(F.bitwise_not(inner))).otherwise(borders)
+        # the edge's ends, and all that lies between them, moved to its start
+        inside = F.call_function("shiftright", borders, start_of(edge)).bitwiseAND(left(one, size_of(edge) + 1) - one)
+        joins = (inside.bitwiseAND(one) == one) & (F.call_function("shiftright", inside, size_of(edge)) == one) & (F.bit_count(inside) == 3)
+        gone = left(left(one, size_of(edge) - 1) - one, start_of(edge) + 1)
+        return F.when((size_of(edge) > 1) & joins, borders.bitwiseAND(F.bitwise_not(gone))).otherwise(borders)
+
+    def finish(borders: F.Column) -> F.Column:
+        def kept(e: F.Column) -> F.Column:
+            return F.call_function("shiftright", borders, start_of(e)).bitwiseAND(left(one, size_of(e) + 1) - one) == (left(one, size_of(e)) + one)
 
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), chars + 1) - F.lit(1).cast("long")
-    return F.aggregate(edges, every, step)
+        placed = lambda e: F.shiftleft(e.bitwiseAND(F.lit(0xFF00).cast("long")), 24).bitwiseOR(F.shiftright(e, 16).bitwiseAND(F.lit(0xFFFFF).cast("long")))
+        return F.sort_array(F.transform(F.filter(edges, kept), placed))
+
+    return F.aggregate(edges, left(one, chars + 1) - one, step, finish)
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -166,17 +180,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     # order, id, start and length in one long; a character without a piece has the id of the unknown piece and comes last
     packed = F.shiftleft(F.coalesce("order", F.lit((1 << 20) - 1)).cast("long"), 36).bitwiseOR(F.shiftleft(F.coalesce("id", F.lit(pieces.unknown)).cast("long"), 16)).bitwiseOR((F.col("start") * 256 + F.col("size")).cast("long"))
     grouped = edges.groupBy("unit", "n", "chars").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
-    longer = F.filter("edges", lambda e: e.bitwiseAND(F.lit(0xFF).cast("long")) > 1)
-    folded = grouped.withColumn("borders", _path(longer, F.col("chars")))
-    one = F.lit(1).cast("long")
-
-    def kept(e):
-        start, size = F.shiftright(e, 8).bitwiseAND(F.lit(0xFF).cast("long")).cast("int"), e.bitwiseAND(F.lit(0xFF).cast("long")).cast("int")
-        span = F.call_function("shiftleft", F.call_function("shiftleft", one, size + 1) - one, start)
-        return F.col("borders").bitwiseAND(span) == F.call_function("shiftleft", one, start).bitwiseOR(F.call_function("shiftleft", one, start + size))
-
-    path = F.transform(F.filter("edges", kept), lambda e: F.shiftleft(e.bitwiseAND(F.lit(0xFF00).cast("long")), 24).bitwiseOR(F.shiftright(e, 16).bitwiseAND(F.lit(0xFFFFF).cast("long"))))
-    placed = folded.withColumn("path", F.sort_array(path))  # start and id
+    placed = grouped.withColumn("path", _path(F.col("edges"), F.col("chars")))
     ids = F.transform("path", lambda p: p.bitwiseAND(F.lit(0xFFFFF).cast("long")).cast("int"))
     none = F.lit(pieces.unknown)
     by_byte = F.array(*[F.lit(pieces.byte.get(b, pieces.unknown)) for b in range(256)])
