@@ -167,13 +167,19 @@ def wrap_lines(text: str, style: Style, lang: str | None) -> list[str]:
 
 def pack(texts: list[str], style: Style, lang: str | None) -> list[tuple[int, int]]:
     """Runs (first, end) of words: cut where the next word would not fit, and after strong punctuation from a quarter full on."""
+    if cjk_language(lang) or any(_HAN.search(t) for t in texts):
+        size = lambda a, b: len(joined(texts[a:b], lang))
+    else:
+        ends = [0]
+        for t in texts:
+            ends.append(ends[-1] + len(t) + 1)
+        size = lambda a, b: ends[b] - ends[a] - 1
     runs, first = [], 0
-    for i in range(len(texts)):
-        if i > first and len(joined(texts[first : i + 1], lang)) > style.capacity:
+    for i, text in enumerate(texts):
+        if i > first and size(first, i + 1) > style.capacity:
             runs.append((first, i))
             first = i
-        text = joined(texts[first : i + 1], lang)
-        if style.capacity > 0 and text and text[-1] in STRONG_PUNCTUATION and len(text) >= style.capacity / 4:
+        if style.capacity > 0 and text and text[-1] in STRONG_PUNCTUATION and size(first, i + 1) >= style.capacity / 4:
             runs.append((first, i + 1))
             first = i + 1
     if first < len(texts):
