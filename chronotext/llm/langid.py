@@ -6,7 +6,7 @@ the words that maximises the summed scores less a penalty for each switch of lan
 
 Defined results: a null text or one without letters has no spans, language ``und`` and score 0; a word in a script of
 no learned language takes part with equal scores; with no evidence at all the most frequent learned language is named
-with score 1 / number of languages. Rows are kept one for one, repeated rows and null ids included.
+with score 1 / number of languages; a model without languages names none (``und``). Rows are kept one for one, repeated rows and null ids included.
 """
 
 from __future__ import annotations
@@ -237,6 +237,8 @@ def learn(labelled: DataFrame, label: str = "lang", text: str = "text", key: str
 
 def label_texts(model: Model, texts: list[str]):
     """For each text (language, score, spans); a span is (begin, end, language) in characters."""
+    if not model.languages:
+        return [("und", 0.0, ([], [], []))] * len(texts)
     s = scan(texts)
     scores = model.word_scores(s)
     labels = viterbi(scores, s.first, model.penalty, model.prior)
@@ -244,7 +246,7 @@ def label_texts(model: Model, texts: list[str]):
     evidence = scores.max(axis=1, initial=0) - scores.min(axis=1, initial=0) > 0 if scores.size else np.zeros(0, bool)
     for i in range(len(texts)):
         a, b = int(s.first[i]), int(s.first[i + 1])
-        if a == b or not model.languages:
+        if a == b:
             out.append(("und", 0.0, ([], [], [])))
             continue
         own, size = labels[a:b], letters[a:b]
@@ -275,7 +277,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                     scores.append(score)
                     if spans:
                         sizes.append(sizes[-1] + len(a))
-                        begin.append(a), end.append(b), of.append(names[x] if len(a) else [])
+                        begin.append(np.asarray(a, np.int64)), end.append(np.asarray(b, np.int64)), of.append(names[x] if len(a) else np.zeros(0, object))
             columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if spans:
                 flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
