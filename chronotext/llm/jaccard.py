@@ -96,14 +96,14 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(bytescan.mix(np.array([total]))[0].view(np.int64))
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """A hashed bitmap of 16 to 32 bits for each shingle, up to MOST_BITS; halves can be OR-ed to a smaller one.
+def bitmap(shingles: np.ndarray, each: int = 16) -> bytes:
+    """A hashed bitmap of at least `each` bits for each shingle, up to MOST_BITS; halves can be OR-ed to a smaller one.
 
-    So few shingles share a bit that the bound is close to the overlap itself, and pairs just below the threshold, of
-    which a large group of near copies has very many, fall here.
+    With 16 bits so few shingles share one that the bound is close to the overlap itself, and pairs just below the
+    threshold, of which a large group of near copies has very many, fall here. With 2 it tells unrelated sets apart.
     """
     width = LEAST_BITS
-    while width < 16 * len(shingles) and width < MOST_BITS:
+    while width < each * len(shingles) and width < MOST_BITS:
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(shingles & U64(width - 1)).astype(np.int64)] = 1
@@ -178,8 +178,8 @@ class ShingleJoin:
 
         return self.docs.select(self.text).mapInArrow(emit, "tile long, node long")
 
-    def nodes(self, wanted: DataFrame) -> DataFrame:
-        """(node, n_shingles, bitmap, shingles) of the wanted nodes, one row each."""
+    def _of_nodes(self, wanted: DataFrame, schema: str, columns) -> DataFrame:
+        """(node, what `columns` makes of the sets) of the wanted nodes, one row each, from one pass over the texts."""
         sets, shared = self._sets(), self.context.broadcast(member_bits(wanted, "node", FILTER_BITS))
 
         def emit(batches):
@@ -193,13 +193,25 @@ class ShingleJoin:
                             seen.add(keys[i])
                             out.append(i)
                     if out:
-                        yield pa.record_batch([pa.array(keys[out]), pa.array([len(found[i]) for i in out], pa.int64()), pa.array([bitmap(found[i]) for i in out], pa.binary()), pa.array([found[i].view(np.int64) for i in out], pa.list_(pa.int64()))], ["node", "n_shingles", "bitmap", "shingles"])
+                        yield pa.record_batch({"node": pa.array(keys[out])} | columns([found[i] for i in out]))
 
-        every = self.docs.select(self.text).mapInArrow(emit, "node long, n_shingles long, bitmap binary, shingles array<long>")
+        every = self.docs.select(self.text).mapInArrow(emit, f"node long, {schema}")
         return every.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
+    def nodes(self, wanted: DataFrame) -> DataFrame:
+        """(node, n_shingles, narrow, bitmap) of the wanted nodes."""
+
+        def describe(sets: list[np.ndarray]) -> dict:
+            return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "narrow": pa.array([bitmap(s, 2) for s in sets], pa.binary()), "bitmap": pa.array([bitmap(s) for s in sets], pa.binary())}
+
+        return self._of_nodes(wanted, "n_shingles long, narrow binary, bitmap binary", describe)
+
+    def arrays(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes."""
+        return self._of_nodes(wanted, "shingles array<long>", lambda sets: {"shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
     def screened(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sizes and bitmaps leave."""
+        """The pairs (a, b) that sizes and narrow bitmaps leave."""
         num, den = self.num, self.den
 
         def screen(batches):
@@ -212,12 +224,14 @@ class ShingleJoin:
                     keep[i] = may_link(num, den, n[0][i], n[1][i], m[0], m[1])
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bitmap").alias(f"m_{x}"))
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("narrow").alias(f"m_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(screen, "a long, b long")
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs that link: the exact intersection of their sorted arrays."""
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link: the exact intersection of their sorted arrays. `pairs` is a table."""
         num, den = self.num, self.den
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        arrays = written(self.arrays(ends), "arrays")
 
         def intersect(batches):
             for batch in batches:
@@ -231,7 +245,7 @@ class ShingleJoin:
                     keep[i] = den * common >= num * (len(a) + len(b) - common)
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+        side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(intersect, "a long, b long")
 
     def rest(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -281,14 +295,14 @@ class ShingleJoin:
         members = written(self.tiles(member_bits(shared, "tile", FILTER_BITS)).join(shared, "tile").distinct(), "members")
         nodes = written(self.nodes(members), "nodes")
         stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
-        first = written(self.verified(self.screened(stars, nodes), nodes), "star-links")
+        first = written(self.verified(written(self.screened(stars, nodes), "screened")), "star-links")
         rooted = members.join(components(first).withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # members of one class, and tiles of two members (which have been compared), are done
         left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile")
         pairs = written(self.rest(written(rooted.join(left, "tile", "left_semi").select("tile", "node", "root"), "left"), nodes), "pairs")
         if pairs.isEmpty():
             return first
-        return first.unionAll(written(self.verified(pairs, nodes), "rest-links"))
+        return first.unionAll(written(self.verified(pairs), "rest-links"))
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
