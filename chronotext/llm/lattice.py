@@ -30,8 +30,9 @@ from .shared import written
 
 SPACE = "▁"
 MOST_CHARS = 60
-BLOCK_CHARS = 2 << 20
-_TABLE = 0x2600
+BLOCK_CHARS = 1 << 20
+#: Characters below this, and the space, have a table of pairs; others are looked up.
+_NEAR = 0x250
 
 _models: dict[str, object] = {}
 
@@ -76,39 +77,39 @@ class Pieces:
         back = {i: f"{b:02X}" for b, i in self.byte.items()}
         return [back.get(i) or (p.encode().hex().upper() if self.normal[i] else "") for i, p in enumerate(self.piece)]
 
-    def inner_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of adjacent characters inside pieces: a table for the low code points, and all as sorted numbers."""
-        pairs = {(ord(a) << 21) | ord(b) for p, ok in zip(self.piece, self.normal, strict=True) if ok for a, b in zip(p, p[1:], strict=False)}
-        every = np.array(sorted(pairs), np.int64)
-        low = np.zeros((_TABLE, _TABLE), bool)
-        a, b = every >> 21, every & 0x1FFFFF
-        inside = (a < _TABLE) & (b < _TABLE)
-        low[a[inside], b[inside]] = True
-        return low, every
+    def inner_pairs(self) -> np.ndarray:
+        """Pairs of adjacent characters inside pieces, as sorted numbers."""
+        return np.array(sorted({(ord(a) << 21) | ord(b) for p, ok in zip(self.piece, self.normal, strict=True) if ok for a, b in zip(p, p[1:], strict=False)}), np.int64)
 
 
 class Splitter:
     """Cuts whole texts in units; pickled with the pairs alone."""
 
     def __init__(self, pieces: Pieces):
-        _, self.every = pieces.inner_pairs()
-        self.low = None
+        self.every = pieces.inner_pairs()
+        self.table = None
 
     def __getstate__(self):
-        return {"every": self.every, "low": None}
+        return {"every": self.every, "table": None}
+
+    @staticmethod
+    def _near(chars: np.ndarray) -> np.ndarray:
+        """Places in the table: the character itself, _NEAR for the space, _NEAR + 1 for all others."""
+        return np.where(chars == ord(SPACE), _NEAR, np.where(chars < _NEAR, chars, _NEAR + 1)).astype(np.int32)
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if self.low is None:
-            self.low = np.zeros(_TABLE * _TABLE, bool)
-            x, y = self.every >> 21, self.every & 0x1FFFFF
-            inside = (x < _TABLE) & (y < _TABLE)
-            self.low[x[inside] * _TABLE + y[inside]] = True
-        out = self.low[np.minimum(a, _TABLE - 1) * _TABLE + np.minimum(b, _TABLE - 1)]
-        far = np.flatnonzero((a >= _TABLE - 1) | (b >= _TABLE - 1))
-        if len(far):
+        """Whether some piece has b right after a."""
+        if self.table is None:
+            self.table = np.zeros((_NEAR + 2) ** 2, bool)
+            x, y = self._near(self.every >> 21), self._near(self.every & 0x1FFFFF)
+            inside = (x <= _NEAR) & (y <= _NEAR)
+            self.table[x[inside] * (_NEAR + 2) + y[inside]] = True
+        x, y = self._near(a), self._near(b)
+        out = self.table[x * (_NEAR + 2) + y]
+        far = np.flatnonzero((x > _NEAR) | (y > _NEAR))
+        if len(far) and len(self.every):
             pair = (a[far].astype(np.int64) << 21) | b[far]
-            at = np.minimum(np.searchsorted(self.every, pair), max(len(self.every) - 1, 0))
-            out[far] = self.every[at] == pair if len(self.every) else False
+            out[far] = self.every[np.minimum(np.searchsorted(self.every, pair), len(self.every) - 1)] == pair
         return out
 
     def __call__(self, column: pa.Array):
@@ -125,7 +126,7 @@ class Splitter:
 
     def _units(self, start: int, run: list[str]):
         whole = "".join(run)
-        chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.frombuffer(whole.encode("utf-32-le"), np.int32)
         base = np.zeros(len(run) + 1, np.int64)
         np.cumsum([len(t) for t in run], out=base[1:])
         begins = np.ones(len(chars), bool)
@@ -173,7 +174,8 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n, ids) of distinct units (unit, n). If `units` is dealt by unit already, nothing is shuffled."""
     spark = units.sparkSession
     table = F.broadcast(pieces.table(spark))  # as many rows as the model has pieces
-    sized = units.withColumn("chars", F.char_length("unit"))
+    # the length hangs on n, an aggregate, so that no filter goes below the exchange and both branches read the same one
+    sized = units.withColumn("chars", F.when(F.col("n") > 0, F.char_length("unit")))
     short = sized.where(F.col("chars") <= MOST_CHARS)
     cut = short.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("chars") - 1))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))))
     edges = cut.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
