@@ -273,18 +273,16 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     def assemble(batches):
         words, lists = shared.value
         for batch in batches:
-            own = batch.column(2).to_pylist()
             out: list = []
             for row, begin, units in split(batch.column(1)):
                 coded = units.dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                extra = {u["unit"]: u["ids"] for x in own[row : row + len(begin) - 1] for u in x or ()}
+                # the run's own units, each once, with their ids
+                own = batch.column(2).slice(row, len(begin) - 1).flatten()
+                named = own.field("unit").dictionary_encode()
+                first = np.unique(named.indices.to_numpy(zero_copy_only=False), return_index=True)[1]
+                place = pc.index_in(coded.dictionary, value_set=named.dictionary)
                 at = pc.index_in(coded.dictionary, value_set=words)
-                found = lists.take(at)
-                names = list(extra)
-                place = pc.index_in(coded.dictionary, value_set=pa.array(names, pa.string()))
-                both = pa.array([extra[x] for x in names], pa.list_(pa.int32())).take(place)
-                merged = pc.if_else(pc.is_null(at), both, found)
+                merged = pc.if_else(pc.is_null(at), own.field("ids").take(pa.array(first)).take(place), lists.take(at))
                 # the ids of every unit in order, as one list for each row
                 chosen = merged.take(coded.indices)
                 sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chosen), 0).to_numpy(zero_copy_only=False))])

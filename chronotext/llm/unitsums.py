@@ -23,7 +23,7 @@ from .shared import written
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 19
 #: Units and counts that a task holds before it hands partial counts on.
-PARTIAL_UNITS = 400_000
+PARTIAL_UNITS = 250_000
 
 #: From a column of whole texts to runs of (first row, first unit of each row, units).
 Splitter = Callable[[pa.Array], Iterator[tuple[int, np.ndarray, pa.Array]]]
