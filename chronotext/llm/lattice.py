@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import unitsums
+from . import bytescan, unitsums
 from .shared import written
 
 SPACE = "▁"
 MOST_CHARS = 60
-BLOCK_CHARS = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Characters below this, and the space, have a table of pairs; others are looked up.
 _NEAR = 0x250
 
@@ -95,34 +95,32 @@ class Splitter:
     @staticmethod
     def _near(chars: np.ndarray) -> np.ndarray:
         """Places in the table: the character itself, _NEAR for the space, _NEAR + 1 for all others."""
-        return np.where(chars == ord(SPACE), _NEAR, np.where(chars < _NEAR, chars, _NEAR + 1)).astype(np.int32)
+        out = np.minimum(chars, _NEAR + 1).astype(np.int32)
+        out[chars == _NEAR] = _NEAR + 1
+        out[chars == ord(SPACE)] = _NEAR
+        return out
 
-    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether some piece has b right after a."""
+    def joined(self, chars: np.ndarray) -> np.ndarray:
+        """Of each character but the first whether some piece has it right after the one before."""
         if self.table is None:
             self.table = np.zeros((_NEAR + 2) ** 2, bool)
             x, y = self._near(self.every >> 21), self._near(self.every & 0x1FFFFF)
             inside = (x <= _NEAR) & (y <= _NEAR)
             self.table[x[inside] * (_NEAR + 2) + y[inside]] = True
-        x, y = self._near(a), self._near(b)
-        out = self.table[x * (_NEAR + 2) + y]
-        far = np.flatnonzero((x > _NEAR) | (y > _NEAR))
+        near = self._near(chars)
+        out = self.table[near[:-1] * (_NEAR + 2) + near[1:]]
+        far = np.flatnonzero((near[:-1] > _NEAR) | (near[1:] > _NEAR))
         if len(far) and len(self.every):
-            pair = (a[far].astype(np.int64) << 21) | b[far]
+            pair = (chars[far].astype(np.int64) << 21) | chars[far + 1]
             out[far] = self.every[np.minimum(np.searchsorted(self.every, pair), len(self.every) - 1)] == pair
         return out
 
     def __call__(self, column: pa.Array):
-        texts, start, size, run = column.to_pylist(), 0, 0, []
-        for i, t in enumerate(texts):
-            t = f"{SPACE}{t.replace(' ', SPACE)}" if t else ""
-            if run and size + len(t) > BLOCK_CHARS:
-                yield self._units(start, run)
-                start, size, run = i, 0, []
-            run.append(t)
-            size += len(t)
-        if run:
-            yield self._units(start, run)
+        column = column.cast(pa.large_string())
+        for row, offsets, _ in bytescan.blocks(column, BLOCK_BYTES):
+            # a few texts at a time become Python strings, never the whole batch
+            texts = column.slice(row, len(offsets) - 1).to_pylist()
+            yield self._units(row, [f"{SPACE}{t.replace(' ', SPACE)}" if t else "" for t in texts])
 
     def _units(self, start: int, run: list[str]):
         whole = "".join(run)
@@ -131,7 +129,7 @@ class Splitter:
         np.cumsum([len(t) for t in run], out=base[1:])
         begins = np.ones(len(chars), bool)
         if len(chars):
-            begins[1:] = ~self.joined(chars[:-1], chars[1:])
+            np.logical_not(self.joined(chars), out=begins[1:])
             begins[base[:-1][base[:-1] < len(chars)]] = True
         begin = np.flatnonzero(begins)
         wide = 1 + (chars > 0x7F).astype(np.int8) + (chars > 0x7FF) + (chars > 0xFFFF)
@@ -256,7 +254,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
         words, _ = shared.value
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, begin, units in split(batch.column(1)):
+            for row, begin, units in unitsums.together(split(batch.column(1))):
                 coded = units.dictionary_encode()
                 codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 cold = pc.is_null(pc.index_in(coded.dictionary, value_set=words)).to_numpy(zero_copy_only=False)
@@ -274,7 +272,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
         words, lists = shared.value
         for batch in batches:
             out: list = []
-            for row, begin, units in split(batch.column(1)):
+            for row, begin, units in unitsums.together(split(batch.column(1))):
                 coded = units.dictionary_encode()
                 # the run's own units, each once, with their ids
                 own = batch.column(2).slice(row, len(begin) - 1).flatten()

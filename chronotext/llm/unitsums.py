@@ -21,14 +21,35 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Most units that are broadcast.
-HOT_UNITS = 1 << 19
+HOT_UNITS = 1 << 18
 #: Units and counts that a task holds before it hands partial counts on.
-PARTIAL_UNITS = 250_000
+PARTIAL_UNITS = 200_000
 
 #: From a column of whole texts to runs of (first row, first unit of each row, units).
 Splitter = Callable[[pa.Array], Iterator[tuple[int, np.ndarray, pa.Array]]]
 
 
+def together(runs: Iterator[tuple[int, np.ndarray, pa.Array]], most: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Consecutive runs as one, up to `most` bytes of units: a lookup in the broadcast units has a cost of its own."""
+    held, size = [], 0
+
+    def one() -> tuple[int, np.ndarray, pa.Array]:
+        firsts, base = [np.zeros(1, np.int64)], 0
+        for _, first, units in held:
+            firsts.append(first[1:] + base)
+            base += len(units)
+        return held[0][0], np.concatenate(firsts), pa.concat_arrays([u for _, _, u in held])
+
+    for run in runs:
+        held.append(run)
+        size += run[2].nbytes
+        if size >= most:
+            yield one()
+            held, size = [], 0
+    if held:
+        yield one()
+
+
 def vocabulary(docs: DataFrame, text: str, split: Splitter) -> DataFrame:
     """(unit, n): the distinct units of all texts and how often they occur."""
 
@@ -84,7 +105,7 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, sizes = batch.column(0), pc.fill_null(pc.binary_length(batch.column(1).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
-            for row, first, units in split(batch.column(1)):
+            for row, first, units in together(split(batch.column(1))):
                 n_rows = len(first) - 1
                 coded = units.dictionary_encode()
                 codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
