@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import streams, text, timing
-from ..operators import packing, quality, sequence, stats
+from ..operators import packing, phonetics, quality, sequence, signal, stats, translate
 from ..sources import sinks
 from ..sources.tables import intervals, segments, table, turns
+from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -342,3 +343,76 @@ SELECT count(*) AS total, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NO
 def batch_summary(spark, sf_dir):
     results = table(spark, sf_dir, "documents").select((F.col("n_chars") >= 200).alias("ok"), F.lit("too short").alias("error"))
     return stats.batch_summary(results).select("total", "succeeded", "failed", F.size("errors").cast("long").alias("kinds"))
+
+
+@query()
+def spanish_ipa(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", phonetics.ipa("text", "lang").alias("ipa"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 5) AS rms, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 5) AS peak,
+CAST(list_sum(list_transform(range(1, len(embedding)), lambda i: CASE WHEN (embedding[i] >= 0) <> (embedding[i + 1] >= 0) THEN 1 ELSE 0 END)) AS INTEGER) AS crossings FROM embeddings""")
+def signal_rms_peak_zcr(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(signal.rms("embedding"), 5).alias("rms"), F.round(signal.peak("embedding"), 5).alias("peak"), signal.crossings("embedding").alias("crossings"))
+
+
+@query("""WITH g AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) AS r, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS p FROM embeddings),
+f AS (SELECT *, least(pow(10, -1.0) / r, pow(10, -1.0 / 20) / p) AS k FROM g)
+SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: pow((x * k)::FLOAT::DOUBLE, 2))) / len(embedding)), 4) AS rms, round(list_max(list_transform(embedding, lambda x: abs((x * k)::FLOAT::DOUBLE))), 4) AS peak FROM f""")
+def loudness_normalize(spark, sf_dir):
+    loud = table(spark, sf_dir, "embeddings").select("vec_id", signal.normalize_loudness("embedding").alias("x"))
+    return loud.select("vec_id", F.round(signal.rms("x"), 4).alias("rms"), F.round(signal.peak("x"), 4).alias("peak"))
+
+
+@query("""WITH p AS (SELECT a.label, a.vec_id, unnest(a.embedding)::DOUBLE AS l, unnest(b.embedding)::DOUBLE AS r FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(corr(l, r), 5) AS correlation FROM p GROUP BY vec_id""")
+def channel_correlation(spark, sf_dir):
+    one = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("l"))
+    two = one.select((F.col("vec_id") - 1).alias("vec_id"), F.col("l").alias("r"))
+    pairs = one.join(two, "vec_id").select("vec_id", F.explode(F.arrays_zip("l", "r")).alias("x")).select("vec_id", F.col("x.l").cast("double").alias("l"), F.col("x.r").cast("double").alias("r"))
+    return signal.correlation(pairs, ["vec_id"], "l", "r").withColumn("correlation", F.round("correlation", 5))
+
+
+@query()
+def fft_power(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", signal.apply("embedding", signal.fft_power).alias("power"))
+
+
+@query()
+def highpass(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", signal.apply("embedding", lambda x: signal.high_pass(x, 16000, 100)).alias("samples"))
+
+
+@query()
+def resample(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", signal.apply("embedding", lambda x: signal.resample_sinc(x, 16000, 8000)).alias("samples"))
+
+
+@query()
+def translate_blocks(spark, sf_dir):
+    return translate.translate_cues(turns(spark, sf_dir), ["conv_id"], "turn", "text", "en", "es")
+
+
+@query("""WITH l AS (SELECT unnest(['es', 'en', 'zh']) AS x) SELECT a.x AS source, b.x AS target,
+CASE WHEN a.x = b.x THEN '' WHEN a.x = 'en' OR b.x = 'en' THEN a.x || '>' || b.x ELSE a.x || '>en>' || b.x END AS route FROM l a, l b""")
+def translation_routes(spark, sf_dir):
+    grid = spark.createDataFrame([(a, b) for a in translate.LANGUAGES for b in translate.LANGUAGES], "source string, target string")
+    return translate.routes(grid).withColumn("route", F.array_join("route", ">"))
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, g AS (SELECT *, max(end_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) AS k FROM ev),
+s AS (SELECT user_id, k, start_ms AS s, end_ms AS e, 1 AS n, 0 AS no FROM g WHERE k = 1
+      UNION ALL SELECT g.user_id, g.k, CASE WHEN c THEN g.start_ms ELSE s.s END, CASE WHEN c THEN g.end_ms ELSE greatest(s.e, g.end_ms) END, CASE WHEN c THEN 1 ELSE s.n + 1 END, CASE WHEN c THEN s.no + 1 ELSE s.no END
+      FROM s, LATERAL (SELECT g.*, g.start_ms - g.before >= 3600000 OR g.end_ms - s.s >= 14400000 AS c FROM g WHERE g.user_id = s.user_id AND g.k = s.k + 1) g)
+SELECT user_id, CAST(s AS DOUBLE) AS start_ms, CAST(max(e) AS DOUBLE) AS end_ms, CAST(max(n) AS INTEGER) AS n_rows FROM s GROUP BY user_id, no, s""")
+def live_sessions(spark, sf_dir):
+    return live.sessions_by_gap(intervals(spark, sf_dir), ["user_id"], ["start_ms", "event_id"], 3_600_000, 14_400_000)
+
+
+@query()
+def live_events(spark, sf_dir):
+    """Sentences of documents as the updates of live sessions."""
+    said = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "hypothesis"))
+    now = (F.col("pos") + 1) * 1500.0
+    updates = said.select(F.col("doc_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("seq"), F.lit("audio").alias("kind"), now.alias("consumed_ms"), (now - 1400).alias("speech_start_ms"), (now - F.when(F.col("pos") % 2 == 0, 700).otherwise(100)).alias("speech_end_ms"), "hypothesis")
+    return live.batch(updates)
