@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
+from .shared import tidy
 
 WINDOW = 10
 #: Symbols of one shard's index, and rows that wait for it, at most (a text of more symbols is a shard alone).
@@ -280,7 +281,7 @@ def _one_pass(docs: DataFrame, wanted: Phrases, key: str, text: str) -> DataFram
         if shard.ids:
             yield out(shard, kind)
 
-    return docs.select(F.col(key), F.xxhash64(text).alias("text_key"), F.col(text)).mapInArrow(find, schema)
+    return docs.select(F.col(key), F.xxhash64(text).alias("text_key"), F.col(text)).mapInArrow(tidy(find), schema)
 
 
 def _blocks(benchmark: DataFrame, window: int, item: str, item_text: str, block_bytes: int) -> list[Phrases]:
@@ -352,7 +353,7 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
                     keep[i] = n[i] > sum(b - a for a, b, _, _ in spans)
                 yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type)).filter(pa.array(keep))
 
-        return docs.mapInArrow(clean, docs.schema)
+        return docs.mapInArrow(tidy(clean), docs.schema)
     hit = find(docs.select(key, text), benchmark, window, key, text, item, item_text, block_bytes).where(F.size("spans") > 0)
     hit = hit.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"), (F.col("n_words") - F.expr("aggregate(spans, 0L, (a, s) -> a + s.end_word - s.first_word)")).alias("_left")).dropDuplicates(["_key", "_text_key"])
     joined = docs.join(hit, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text_key")), "left").where(F.col("_left").isNull() | (F.col("_left") > 0))
@@ -365,4 +366,4 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type)).select(docs_columns)
 
     docs_columns = docs.columns
-    return joined.select(*columns).mapInArrow(apply, docs.schema)
+    return joined.select(*columns).mapInArrow(tidy(apply), docs.schema)

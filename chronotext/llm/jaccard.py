@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .components import components
-from .shared import has_bit, member_bits, written
+from .shared import has_bit, member_bits, tidy, written
 
 U64 = np.uint64
 BLOCK = 256
@@ -152,7 +152,7 @@ class ShingleJoin:
                 for row, found in sets(batch.column(1)):
                     yield pa.record_batch([batch.column(0).slice(row, len(found)), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())], [key, "n_shingles", "node"])
 
-        return self.docs.select(self.key, self.text).mapInArrow(describe, f"{self.key} {self.docs.schema[self.key].dataType.simpleString()}, n_shingles long, node long")
+        return self.docs.select(self.key, self.text).mapInArrow(tidy(describe), f"{self.key} {self.docs.schema[self.key].dataType.simpleString()}, n_shingles long, node long")
 
     def tiles(self, only: np.ndarray | None = None) -> DataFrame:
         """(tile, node) of every text; with `only`, of those tiles that may be in that filter. Copies within a task count once."""
@@ -176,7 +176,7 @@ class ShingleJoin:
                     for i in range(0, len(tile), 50_000):
                         yield pa.record_batch([pa.array(tile[i : i + 50_000]), pa.array(node[i : i + 50_000])], ["tile", "node"])
 
-        return self.docs.select(self.text).mapInArrow(emit, "tile long, node long")
+        return self.docs.select(self.text).mapInArrow(tidy(emit), "tile long, node long")
 
     def _of_nodes(self, wanted: DataFrame, schema: str, columns) -> DataFrame:
         """(node, what `columns` makes of the sets) of the wanted nodes, one row each, from one pass over the texts."""
@@ -195,7 +195,7 @@ class ShingleJoin:
                     if out:
                         yield pa.record_batch({"node": pa.array(keys[out])} | columns([found[i] for i in out]))
 
-        every = self.docs.select(self.text).mapInArrow(emit, f"node long, {schema}")
+        every = self.docs.select(self.text).mapInArrow(tidy(emit), f"node long, {schema}")
         return every.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
     def nodes(self, wanted: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ class ShingleJoin:
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("narrow").alias(f"m_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(screen, "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(tidy(screen), "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link: the exact intersection of their sorted arrays. `pairs` is a table."""
@@ -246,7 +246,7 @@ class ShingleJoin:
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
         side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(intersect, "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidy(intersect), "a long, b long")
 
     def rest(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of different classes that bitmaps leave, of tiles compared block by block. members: (tile, node, root)."""
@@ -287,7 +287,7 @@ class ShingleJoin:
             if out := compare(held):
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-        return full.mapInArrow(walk, "a long, b long").distinct()
+        return full.mapInArrow(tidy(walk), "a long, b long").distinct()
 
     def links(self) -> DataFrame:
         """Links (a, b) between nodes, enough of them that their components are those of all links."""

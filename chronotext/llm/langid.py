@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample
+from .shared import bounded_sample, tidy
 
 #: First and last code point of the ranges of each script.
 SCRIPTS = {
@@ -219,7 +219,7 @@ def learn(labelled: DataFrame, label: str = "lang", text: str = "text", key: str
                 used = np.flatnonzero(v)
                 yield pa.record_batch({"label": pa.array([name] * len(used), pa.string()), "kind": pa.array([kind] * len(used), pa.string()), "at": pa.array(used, pa.int64()), "n": pa.array(np.asarray(v)[used].astype(np.int64), pa.int64())})
 
-    found = sample.mapInArrow(count, "label string, kind string, at long, n long").groupBy("label", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(tidy(count), "label string, kind string, at long, n long").groupBy("label", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["label"].unique())
     if not names:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros((OTHER + 1, 0), bool), np.zeros(0))
@@ -285,7 +285,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each))
             yield pa.RecordBatch.from_arrays(columns, [key, "lang_pred", "score", "spans"][: len(columns)])
 
-    return docs.select(key, text).mapInArrow(predict, schema)
+    return docs.select(key, text).mapInArrow(tidy(predict), schema)
 
 
 def kept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -297,7 +297,7 @@ def kept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text")
             found = [x for _, texts in _runs(batch.column(at)) for x in label_texts(shared.value, texts)]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def narrow(text: pa.Array) -> list[str]:

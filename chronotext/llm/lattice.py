@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan, unitsums
-from .shared import written
+from .shared import tidy, written
 
 SPACE = "▁"
 MOST_CHARS = 60
@@ -200,7 +200,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             out = [_raw_ids(_library(path_of), u) for u in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
-    return plain.unionAll(sized.where(F.col("chars") > MOST_CHARS).select("unit", "n").mapInArrow(by_library, "unit string, n long, ids array<int>"))
+    return plain.unionAll(sized.where(F.col("chars") > MOST_CHARS).select("unit", "n").mapInArrow(tidy(by_library), "unit string, n long, ids array<int>"))
 
 
 def _raw_ids(model, unit: str) -> list[int]:
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
                     pairs = np.unique(numbers * len(coded.dictionary) + codes[pick])
                     yield pa.record_batch([pa.array(places[pairs // len(coded.dictionary)]), coded.dictionary.take(pa.array(pairs % len(coded.dictionary)))], ["_row", "unit"])
 
-    asked = numbered.select("_row", text).mapInArrow(rare, "_row long, unit string")
+    asked = numbered.select("_row", text).mapInArrow(tidy(rare), "_row long, unit string")
     answers = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_own"))
 
     def assemble(batches):
@@ -287,5 +287,5 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
                 out.append(pa.ListArray.from_arrays(pa.array(sizes[begin].astype(np.int32)), chosen.flatten().cast(pa.int32())))
             yield pa.record_batch([batch.column(0), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], ["_row", "_ids"])
 
-    made = numbered.select("_row", text).join(answers, "_row", "left").mapInArrow(assemble, "_row long, _ids array<int>")
+    made = numbered.select("_row", text).join(answers, "_row", "left").mapInArrow(tidy(assemble), "_row long, _ids array<int>")
     return numbered.join(made.withColumnRenamed("_ids", ids), "_row").drop("_row")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +73,19 @@ def has_bit(found: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which int64 values may be in the column that member_bits() read."""
     at = np.mod(values, np.int64(len(found) * 32))
     return (found[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over Arrow batches that hands its freed memory back at the end: Spark keeps the worker for later tasks,
+    and beside it the executor needs the memory for stages without Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run

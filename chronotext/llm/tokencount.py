@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan, unitsums
+from .shared import tidy
 
 #: White space beyond ASCII, as Unicode's White_Space has it (RE2 and Python read it alike). Fixed values.
 WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -71,7 +72,7 @@ def piece_counts(units: DataFrame, tokenizer: str) -> DataFrame:
                 sizes += [len(e) for e in one.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["unit", "n", "n_tokens"])
 
-    return units.mapInArrow(count, "unit string, n long, n_tokens long")
+    return units.mapInArrow(tidy(count), "unit string, n long, n_tokens long")
 
 
 def count(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", hot: int = unitsums.HOT_UNITS) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import bounded_sample, written
+from .shared import bounded_sample, tidy, written
 
 PREFIXES = (4, 5, 6)
 OCCURRENCES = 4
@@ -187,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
                     n = np.diff(np.append(first[i : i + 50_001], len(label)))[: len(at)]
                     yield pa.record_batch([pa.array(label[at].astype(np.int32)), pa.array(term[at].view(np.int64)), pa.array(occurrence[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["label", "term", "occurrence", "n"])
 
-    df = sample.select("label", "text").mapInArrow(each, "label int, term long, occurrence int, n long")
+    df = sample.select("label", "text").mapInArrow(tidy(each), "label int, term long, occurrence int, n long")
     counted = df.groupBy("term", "occurrence").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     both = written(counted, "term-counts")
     n_terms = max(2, both.count())
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
     kind = sample.schema["key"].dataType.simpleString()
     # bounded: rows of the sample, terms of the vocabulary
-    examples = sample.mapInArrow(vectors, f"key {kind}, label int, terms array<long>, weights array<double>").orderBy("key", "label").toArrow()
+    examples = sample.mapInArrow(tidy(vectors), f"key {kind}, label int, terms array<long>, weights array<double>").orderBy("key", "label").toArrow()
     at, weight = (examples[c].combine_chunks() for c in ("terms", "weights"))
     first = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if len(at) else np.zeros(1, np.int64)
     at, weight = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weight.flatten().to_numpy(zero_copy_only=False)
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.record_batch(columns, [key, "score", "predicted", "evidence"][: len(columns)])
 
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, score double, predicted int" + ", evidence array<struct<example:string,cosine:double,label:int>>" * evidence
-    return docs.select(key, text).mapInArrow(predict, schema)
+    return docs.select(key, text).mapInArrow(tidy(predict), schema)
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -272,4 +272,4 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     fine[row + i] = m.score(*m.index.nearest(number[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], m.k)) < 0.5
             yield batch.filter(pa.array(fine))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, written
 
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 18
@@ -66,7 +66,7 @@ def vocabulary(docs: DataFrame, text: str, split: Splitter) -> DataFrame:
         if held:
             yield from _merged(held)
 
-    return docs.select(text).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(count), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _merged(held: list[pa.Table]) -> list[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
                 number += n_rows
 
     # a row of a document itself stands under a unit that no text has, so that these rows spread as well
-    rows = docs.select(key, text).mapInArrow(spread, f"rid long, unit string, {key} {kind}, n_bytes long, freq long, " + ", ".join(f"own_{m} long" for m in measures))
+    rows = docs.select(key, text).mapInArrow(tidy(spread), f"rid long, unit string, {key} {kind}, n_bytes long, freq long, " + ", ".join(f"own_{m} long" for m in measures))
     joined = rows.join(known.where(F.col("n") < least).select("unit", *measures), "unit", "left")
     # sums of hashes wrap around, as a checksum may
     each = [F.coalesce(F.col(f"own_{m}"), F.call_function("try_multiply", F.col("freq"), F.col(m)), F.lit(0).cast("long")).alias(f"v_{m}") for m in measures]
