@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
 
 MOST_ROUNDS = 60
 
@@ -32,7 +32,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
     state = None
     for _ in range(MOST_ROUNDS):
-        edges = written(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        drop(before)
         # all nodes but the centres hang on a smaller one; once the table stands still they hang on the smallest
         now = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if now == state:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .components import components
-from .shared import has_bit, member_bits, tidy, written
+from .shared import drop, has_bit, member_bits, tidy, written
 
 U64 = np.uint64
 BLOCK = 256
@@ -228,7 +228,7 @@ class ShingleJoin:
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(tidy(screen), "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link: the exact intersection of their sorted arrays. `pairs` is a table."""
+        """The pairs that link, as a table: the exact intersection of their sorted arrays. `pairs` is a table."""
         num, den = self.num, self.den
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         arrays = written(self.arrays(ends), "arrays")
@@ -246,7 +246,9 @@ class ShingleJoin:
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
         side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidy(intersect), "a long, b long")
+        found = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidy(intersect), "a long, b long"), "linked")
+        drop(arrays)
+        return found
 
     def rest(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of different classes that bitmaps leave, of tiles compared block by block. members: (tile, node, root)."""
@@ -295,14 +297,19 @@ class ShingleJoin:
         members = written(self.tiles(member_bits(shared, "tile", FILTER_BITS)).join(shared, "tile").distinct(), "members")
         nodes = written(self.nodes(members), "nodes")
         stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
-        first = written(self.verified(written(self.screened(stars, nodes), "screened")), "star-links")
-        rooted = members.join(components(first).withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        close = written(self.screened(stars, nodes), "screened")
+        first = self.verified(close)
+        of = components(first)
+        rooted = members.join(of.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # members of one class, and tiles of two members (which have been compared), are done
         left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile")
-        pairs = written(self.rest(written(rooted.join(left, "tile", "left_semi").select("tile", "node", "root"), "left"), nodes), "pairs")
-        if pairs.isEmpty():
-            return first
-        return first.unionAll(written(self.verified(pairs), "rest-links"))
+        open_tiles = written(rooted.join(left, "tile", "left_semi").select("tile", "node", "root"), "left")
+        drop(shared, members, close)
+        pairs = written(self.rest(open_tiles, nodes), "pairs")
+        drop(open_tiles, nodes)
+        every = first if pairs.isEmpty() else first.unionAll(self.verified(pairs))
+        drop(pairs)
+        return every
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -268,14 +268,16 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     asked = numbered.select("_row", text).mapInArrow(tidy(rare), "_row long, unit string")
     answers = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_own"))
 
+    at_text, n_columns, names = docs.columns.index(text), len(docs.columns), [*docs.columns, ids]
+
     def assemble(batches):
         words, lists = shared.value
         for batch in batches:
             out: list = []
-            for row, begin, units in unitsums.together(split(batch.column(1))):
+            for row, begin, units in unitsums.together(split(batch.column(at_text))):
                 coded = units.dictionary_encode()
                 # the run's own units, each once, with their ids
-                own = batch.column(2).slice(row, len(begin) - 1).flatten()
+                own = batch.column(n_columns).slice(row, len(begin) - 1).flatten()
                 named = own.field("unit").dictionary_encode()
                 first = np.unique(named.indices.to_numpy(zero_copy_only=False), return_index=True)[1]
                 place = pc.index_in(coded.dictionary, value_set=named.dictionary)
@@ -285,7 +287,9 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
                 chosen = merged.take(coded.indices)
                 sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chosen), 0).to_numpy(zero_copy_only=False))])
                 out.append(pa.ListArray.from_arrays(pa.array(sizes[begin].astype(np.int32)), chosen.flatten().cast(pa.int32())))
-            yield pa.record_batch([batch.column(0), pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], ["_row", "_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], names)
 
-    made = numbered.select("_row", text).join(answers, "_row", "left").mapInArrow(tidy(assemble), "_row long, _ids array<int>")
-    return numbered.join(made.withColumnRenamed("_ids", ids), "_row").drop("_row")
+    # the rest of a row goes through with its text, so texts are shuffled once
+    joined = numbered.join(answers, "_row", "left").select(*docs.columns, "_own")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return joined.mapInArrow(tidy(assemble), f"{fields}, `{ids}` array<int>")

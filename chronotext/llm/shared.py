@@ -24,11 +24,36 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Tables that written() has made and nobody has dropped, and the application of each.
+_tables: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[path] = df.sparkSession.sparkContext.applicationId
+    out._written_to = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables that written() has made, once all that reads them is written itself."""
+    for df in frames:
+        _delete(df.sparkSession, [df._written_to])
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that written() has made in this application: for callers whose results are stored elsewhere."""
+    _delete(spark, [p for p, a in _tables.items() if a == spark.sparkContext.applicationId])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _tables.pop(path, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

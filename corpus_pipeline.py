@@ -13,6 +13,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,17 @@ from pyspark.sql import functions as F
 
 from chronotext.llm import decontam, jaccard, langid, lattice, toxicity
 from chronotext.llm.queries import tokenizer_path, toxic_labels
-from chronotext.llm.shared import held_out, table, written
+from chronotext.llm.shared import held_out, shared_dir, sweep, table
+
+
+def _alone(stage):
+    """A stage whose docs are stored, so that what the stages before have left in the shared folder can go."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +58,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("language ID", keep_languages),
-    ("n-gram Jaccard join", drop_near_duplicates),
-    ("benchmark decontamination", cut_benchmark),
-    ("SentencePiece encoding and decoding", encode),
+    ("toxicity", _alone(drop_toxic)),
+    ("language ID", _alone(keep_languages)),
+    ("n-gram Jaccard join", _alone(drop_near_duplicates)),
+    ("benchmark decontamination", _alone(cut_benchmark)),
+    ("SentencePiece encoding and decoding", _alone(encode)),
 ]
 
 #: Nearest neighbours, Viterbi paths and byte-pair merges have no form in SQL; the tests hold the stages against brute force.
@@ -59,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    """All stages over `documents`, each stage's result a Parquet table in the shared folder; others stay for a look."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    sweep(spark)
     return docs
