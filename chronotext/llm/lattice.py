@@ -227,7 +227,7 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text"
 def encoded_vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """(unit, n, ids, n_pieces, ids_sum, n_changed) of every distinct unit of the texts, as a table."""
     known = encode_units(unitsums.vocabulary(docs, text, Splitter(pieces)), pieces)
-    return written(known.select("unit", "n", "ids", F.size("ids").cast("long").alias("n_pieces"), F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_sum"), F.when(decoded(F.col("ids"), pieces) == F.col("unit"), 0).otherwise(1).cast("long").alias("n_changed")), "units")
+    return unitsums.stored(known.select("unit", "n", "ids", F.size("ids").cast("long").alias("n_pieces"), F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_sum"), F.when(decoded(F.col("ids"), pieces) == F.col("unit"), 0).otherwise(1).cast("long").alias("n_changed")), "units")
 
 
 def totals(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", hot: int = unitsums.HOT_UNITS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tidy, written
+from .shared import smaller_batches, tidy, written
 
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 18
@@ -140,8 +140,11 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
     # sums of hashes wrap around, as a checksum may
     each = [F.coalesce(F.col(f"own_{m}"), F.call_function("try_multiply", F.col("freq"), F.col(m)), F.lit(0).cast("long")).alias(f"v_{m}") for m in measures]
     itself = F.col("n_bytes").isNotNull()
-    return joined.select("rid", key, "n_bytes", itself.alias("itself"), *each).groupBy("rid").agg(F.first(F.when(F.col("itself"), F.col(key)), ignorenulls=True).alias(key), F.max("n_bytes").alias("n_bytes"), *(F.sum(f"v_{m}").alias(m) for m in measures)).select(key, "n_bytes", *measures)
+    summed = joined.select("rid", key, "n_bytes", itself.alias("itself"), *each).groupBy("rid").agg(F.first(F.when(F.col("itself"), F.col(key)), ignorenulls=True).alias(key), F.max("n_bytes").alias("n_bytes"), *(F.sum(f"v_{m}").alias(m) for m in measures)).select(key, "n_bytes", *measures)
+    with smaller_batches(docs.sparkSession):
+        return written(summed, "sums")
 
 
 def stored(known: DataFrame, name: str) -> DataFrame:
-    return written(known, name)
+    with smaller_batches(known.sparkSession):
+        return written(known, name)
