@@ -108,8 +108,11 @@ def _events(key: str, state: Session, rows: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"cue_id": "Int32"})
 
 
-def events(updates: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """The events of a stream of updates. State is a row for each live session; sessions that stop or fall idle leave it."""
+def events(updates: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The events of a stream of updates. State is a row for each live session; sessions idle for `idle_ms` leave it.
+
+    With None none leaves, and a query over what is available now ends by itself.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -119,9 +122,10 @@ def events(updates: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         rows = pd.concat(list(batches))
         yield _events(key[0], session, rows)
         state.update(tuple(asdict(session).values()))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return updates.groupBy("session_id").applyInPandasWithState(step, EVENTS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return updates.groupBy("session_id").applyInPandasWithState(step, EVENTS, _STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def batch(updates: DataFrame) -> DataFrame:

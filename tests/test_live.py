@@ -37,8 +37,8 @@ def test_stream_gives_the_same_events(spark, tmp_path):
     for i, part in enumerate((ROWS[:3], ROWS[3:])):
         spark.createDataFrame(part, live.UPDATES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(live.UPDATES).parquet(str(tmp_path / "in"))
-        query = live.events(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        query.awaitTermination(120)
+        query = live.events(stream, idle_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
         assert query.exception() is None and i < 2
     assert said(spark.read.parquet(str(tmp_path / "out")).collect()) == WANT
 
