@@ -129,8 +129,8 @@ def may_link(num: int, den: int, sizes_a, sizes_b, maps_a: np.ndarray, maps_b: n
 class ShingleJoin:
     """The join over one table; every intermediate table is in the shared folder."""
 
-    def __init__(self, docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text"):
-        self.docs, self.k, self.num, self.den, self.key, self.text = docs, k, num, den, key, text
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text", bits: int = 16):
+        self.docs, self.k, self.num, self.den, self.key, self.text, self.bits = docs, k, num, den, key, text, bits
         self.bands = Bands(num, den)
         self.context = docs.sparkSession.sparkContext
 
@@ -200,9 +200,10 @@ class ShingleJoin:
 
     def nodes(self, wanted: DataFrame) -> DataFrame:
         """(node, n_shingles, narrow, bitmap) of the wanted nodes."""
+        bits = self.bits
 
         def describe(sets: list[np.ndarray]) -> dict:
-            return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "narrow": pa.array([bitmap(s, 2) for s in sets], pa.binary()), "bitmap": pa.array([bitmap(s) for s in sets], pa.binary())}
+            return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "narrow": pa.array([bitmap(s, 2) for s in sets], pa.binary()), "bitmap": pa.array([bitmap(s, bits) for s in sets], pa.binary())}
 
         return self._of_nodes(wanted, "n_shingles long, narrow binary, bitmap binary", describe)
 
@@ -312,9 +313,12 @@ class ShingleJoin:
         return every
 
 
-def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: key, n_shingles, component_id (the smallest key that links reach, itself included)."""
-    join = ShingleJoin(docs, k, num, den, key, text)
+def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text", bits: int = 16) -> DataFrame:
+    """One row per row of `docs`: key, n_shingles, component_id (the smallest key that links reach, itself included).
+
+    bits: of the wide bitmaps, for each shingle; more let fewer pairs through to the arrays, fewer are less to shuffle.
+    """
+    join = ShingleJoin(docs, k, num, den, key, text, bits)
     described = written(join.described(), "described")
     of = components(join.links())
     members = described.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least"))
@@ -324,9 +328,9 @@ def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     return described.join(least, "node", "left").select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", bits: int = 8) -> DataFrame:
     """The rows of `docs` of which each class keeps the one of the smallest key (of equal keys, the first row)."""
     numbered = written(docs.withColumn("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "numbered")
-    found = classes(numbered, k, num, den, key="_row", text=text)
+    found = classes(numbered, k, num, den, key="_row", text=text, bits=bits)
     first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row.row").alias("_keep"))
     return numbered.join(first, F.col("_row.row") == F.col("_keep"), "left_semi").drop("_row")
