@@ -3,8 +3,10 @@
 The nearest vectors x of a query q are those of the largest q.x - |x|^2 / 2. q.x is estimated from codes: the vector is
 cut in subspaces, each with 16 centres, and codes and centres minimise a loss in which the part of the residual that is
 parallel to x, which is what distorts large inner products, costs `eta` times the part across it; |x|^2 is kept exactly.
-Two four-bit codes make a byte, and a scan adds one entry of a table of 256 per byte and query. The best `rerank` of each
-batch are then measured exactly, in double precision, and a partition hands on its `k` nearest of each query.
+Two four-bit codes make a byte, and a scan adds one entry of a table of 256 per byte and query. Equal vectors of a batch
+are one node. The best `rerank` of each batch are measured exactly, in double precision; then every other node whose
+estimate, with all that its quantisation error can add, may be as near as the k-th nearest so far. So nothing is lost to
+the estimate, and a partition hands on its `k` nearest of each query.
 
 Centres are fitted on at most `sample` vectors; every vector is indexed and every query scans all of them. Queries are
 taken in blocks of bounded size.
@@ -93,6 +95,11 @@ class Codebook:
             along[:, j] = ((cut[:, j] - self.centres[j][codes[:, j]]) * unit[:, j]).sum(1)
             total = rest + along[:, j]
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The vectors that packed codes stand for."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : len(self.centres)]
+        return self.centres[np.arange(len(self.centres)), codes].reshape(len(packed), -1)[:, : self.dimension].astype(np.float64)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """For each query and byte of a code the estimated inner product: queries x bytes x 256."""
         cut = self._cut(queries)
@@ -146,14 +153,40 @@ def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sa
     return written(rows.mapInArrow(encode, "id long, vector array<float>, code binary"), "ann-index"), book
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest distinct ids to q among x, without `own`, by exact distance."""
-    distance = np.sqrt(((x.astype(np.float64) - q) ** 2).sum(1))
-    order = np.lexsort((ids, distance))
-    order = order[ids[order] != own]
-    _, first = np.unique(ids[order], return_index=True)
-    order = order[np.sort(first)][:k]
-    return ids[order], distance[order]
+class Nodes:
+    """The distinct vectors of a batch, each with its k + 1 smallest ids: one of them may be the query's own."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, book: Codebook, k: int):
+        x = np.ascontiguousarray(x + np.float32(0))  # -0 and 0 are one value
+        coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(x)]).dictionary_encode()
+        node = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((ids, node))
+        node, names = node[order], ids[order]
+        fresh = np.ones(len(node), bool)
+        fresh[1:] = (node[1:] != node[:-1]) | (names[1:] != names[:-1])
+        node, names, order = node[fresh], names[fresh], order[fresh]
+        begin = np.searchsorted(node, np.arange(len(coded.dictionary)))
+        few = np.arange(len(node)) - begin[node] <= k
+        rows = order[begin]
+        self.names, self.count = names[few], np.bincount(node[few], minlength=len(begin))
+        self.begin = np.cumsum(self.count) - self.count
+        self.x, self.codes = x[rows].astype(np.float64), codes[:, rows]
+        self.half = (self.x**2).sum(1) / 2
+        said = book.decode(self.codes.T)
+        # what the estimate of q.x may be off by, for each unit of |q|: quantisation, and the rounding of its sum
+        self.error = np.sqrt(((self.x - said) ** 2).sum(1)) + (len(self.codes) + 8) * 2.4e-7 * np.linalg.norm(said, axis=1) + 1e-30
+
+    def nearer(self, best: tuple[np.ndarray, np.ndarray], found: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest distinct ids of `best` and the nodes `found`, without `own`, by exact distance."""
+        distance = np.sqrt(((self.x[found] - q) ** 2).sum(1))
+        count = self.count[found]
+        ids = self.names[np.arange(count.sum()) + np.repeat(self.begin[found] - np.cumsum(count) + count, count)]
+        a, d = np.concatenate([best[0], ids]), np.concatenate([best[1], np.repeat(distance, count)])
+        order = np.lexsort((a, d))
+        order = order[a[order] != own]
+        _, first = np.unique(a[order], return_index=True)
+        order = order[np.sort(first)][:k]
+        return a[order], d[order]
 
 
 def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int = 10, rerank: int = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
@@ -176,21 +209,33 @@ def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1).T.copy()
-                half = (x.astype(np.float64) ** 2).sum(1) / 2
+                nodes = Nodes(own, x, codes, book, k)
+                n = len(nodes.half)
                 for i in range(0, len(ids), 64):
+                    some = q[i : i + 64].astype(np.float64)
                     table = book.tables(q[i : i + 64])
-                    estimate = np.repeat(-half[None, :].astype(np.float32), len(table), 0)
-                    for byte in range(len(codes)):
-                        estimate += np.take(table[:, byte], codes[byte], axis=1)
+                    inner = np.zeros((len(table), n), np.float32)
+                    for byte in range(len(nodes.codes)):
+                        inner += np.take(table[:, byte], nodes.codes[byte], axis=1)
+                    estimate = inner - nodes.half
                     m = min(n, rerank + k)
                     near = np.argpartition(-estimate, m - 1, axis=1)[:, :m] if m < n else np.repeat(np.arange(n)[None, :], len(table), 0)
                     for j, found in enumerate(near, i):
-                        a, d = _nearest(own[found], x[found], q[j].astype(np.float64), ids[j], k)
-                        a, d = np.concatenate([best[j][0], a]), np.concatenate([best[j][1], d])
-                        order = np.lexsort((a, d))
-                        _, first = np.unique(a[order], return_index=True)
-                        order = order[np.sort(first)][:k]
-                        best[j] = a[order], d[order]
+                        best[j] = nodes.nearer(best[j], found, q[j].astype(np.float64), ids[j], k)
+                    if m == n:
+                        continue
+                    # all others that the error of their estimate lets be as near as the k-th nearest
+                    square = (some**2).sum(1)
+                    last = np.array([d[-1] ** 2 if len(d) == k else np.inf for _, d in best[i : i + 64]])
+                    cut = ((square - last) / 2 - 1e-14 * (square + last))[:, None]
+                    rest = ~(estimate + np.sqrt(square)[:, None] * nodes.error < cut)
+                    np.put_along_axis(rest, near, False, axis=1)
+                    left = np.flatnonzero(rest.any(0))
+                    exact = some @ nodes.x[left].T - nodes.half[left]
+                    rounding = 1e-15 * (nodes.x.shape[1] + 8) * (np.sqrt(square)[:, None] * np.sqrt(2 * nodes.half[left]) + nodes.half[left])
+                    rest = rest[:, left] & (exact + rounding >= cut)
+                    for j in np.flatnonzero(rest.any(1)).tolist():
+                        best[i + j] = nodes.nearer(best[i + j], left[rest[j]], some[j], ids[i + j], k)
             for i in range(0, len(ids), 4096):
                 some = best[i : i + 4096]
                 yield pa.record_batch([pa.array(np.repeat(ids[i : i + 4096], [len(a) for a, _ in some])), pa.array(np.concatenate([a for a, _ in some])), pa.array(np.concatenate([d for _, d in some]))], ["query_id", "vec_id", "score"])

@@ -160,6 +160,24 @@ def test_nearest_neighbours(spark):
     assert ann.search(none, book, none.select("id", "vector")).count() == 0
 
 
+def test_nearest_neighbours_of_hot_groups(spark):
+    """More copies, and more near copies, in a batch than are reranked: the smallest ids and distances still come back."""
+    random = np.random.default_rng(11)
+    x = random.normal(size=(4000, 16)).astype(np.float32)
+    copies = random.permutation(4000)
+    x[copies[:1300]] = x[copies[0]]
+    x[copies[1300:2600]] = x[copies[1300]] + random.normal(scale=1e-4, size=(1300, 16)).astype(np.float32)
+    asked = [int(i) for i in (*copies[:6], *copies[1300:1306], *copies[2600:2606])]
+    shuffled = [(int(i), x[i].tolist()) for i in random.permutation(4000)]
+    indexed, book = ann.index(spark.createDataFrame(shuffled, "vec_id long, embedding array<float>").repartition(1))
+    got = defaultdict(list)
+    for r in ann.search(indexed, book, indexed.where(indexed.id.isin(asked)).select("id", "vector")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in asked:
+        distance = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        assert got[q] == [int(i) for i in np.lexsort((np.arange(4000), distance)) if i != q][:10]
+
+
 def test_archive_round_trip(spark, tmp_path):
     long = "<html>" + "ä" * 100
     rows = [(5, "http://a/1", long), (2, "http://a/2", long), (9, None, long), (1, "http://b/\r\nX: y", "small"), (3, "u", "small"), (4, "u", None), (6, "u", ""), (7, "u", long + "!"), (None, "u", long), (8, "u", "z" * 100), (8, "u", "z" * 100)]
