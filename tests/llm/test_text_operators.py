@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chronotext.llm import bytescan, decontam, langid, lattice, tokencount, toxicity
+from chronotext.llm import bytescan, decontam, langid, lattice, queries, tokencount, toxicity
 from chronotext.llm.queries import tokenizer_path
 
 TEXTS = ["Hello  world\n\tfoo ﬁ １", "", None, " ", "   a", "a   ", "中文字 かな", "😀 ok!!!...", "x" * 100, "https://example.com/" + "ab1" * 60, "été naïve Ünï", "<s> </s> <0x0A> <|endoftext|>", "a▁b", "tab\tsep\r\n", "0123456789", "ΟΔΟΣ İstanbul", "it'S DON'T", "x y　z\x1cr\x85t", "same", "same", "word " * 3000]
@@ -110,6 +110,20 @@ def test_sentencepiece_matches_the_library_and_decodes(spark, docs, hot):
     assert sorted(r["n_pieces"] for r in sums) == sorted(len(library.encode(t or "")) for t in TEXTS)
 
 
+def test_sentencepiece_query_gives_whole_texts(spark, docs, tmp_path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = [*TEXTS, "a▁b", "the cat saw the dog", "the dog saw the cat"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op8_sentencepiece(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert list(r["ids"]) == library.encode(t or "") and r["n_pieces"] == len(r["ids"]) and r["n_bytes"] == len((t or "").encode())
+        assert r["round_trip"] == ("▁" not in (t or ""))
+
+
 def brute_hits(text, items, window=10):
     lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
