@@ -338,6 +338,45 @@ def strip_overlap(spark, sf_dir):
     return w.select("doc_id", streams.strip_overlap(part(1, 10), part(8, 10)).alias("rest"))
 
 
+def _windows(spark, sf_dir, count, window):
+    """doc_id and the fields of window(w, n, i) for i from 1 to count(n), w the n words of a document; rows carry their window only."""
+    w, n = F.col("w"), F.size("w")
+    words = table(spark, sf_dir, "documents").select("doc_id", text.spaced_tokens("text").alias("w")).where(n > 0)
+    return words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), count(n).cast("int")), lambda i: window(w, n, i))).alias("x")).select("doc_id", "x.*")
+
+
+@query()
+def stable_prefix_whole(spark, sf_dir):
+    """What h_(k-1) and h_k share for every k of a whole text, h_k being its first 5 k words, the last one altered when k is even.
+
+    Both begin with the same `n_before` words, so `committed` is what follows them."""
+
+    def said(w, n, k, skip):
+        m = F.least(5 * k, n) - skip
+        even = F.concat(F.slice(w, skip + 1, m - 1), F.array(F.concat(F.lit("xx"), k.cast("string"))))
+        return F.array_join(F.when(k % 2 == 0, even).otherwise(F.slice(w, skip + 1, m)), " ")
+
+    def window(w, n, k):
+        skip = F.greatest(5 * (k - 2), F.lit(0))
+        previous = F.when(k > 1, said(w, n, k - 1, skip)).otherwise("")
+        return F.struct(k.alias("k"), skip.alias("n_before"), previous.alias("previous"), said(w, n, k, skip).alias("hypothesis"))
+
+    told = _windows(spark, sf_dir, lambda n: F.ceil(n / 5), window)
+    return told.select("doc_id", "k", "n_before", streams.stable_prefix("previous", "hypothesis").alias("committed"))
+
+
+@query()
+def strip_overlap_whole(spark, sf_dir):
+    """Windows of 10 words at step 7 over whole texts, each without what the one before ends with; the first is whole."""
+
+    def window(w, n, i):
+        part = lambda k: F.array_join(F.slice(w, 7 * k - 6, F.lit(10)), " ")
+        return F.struct(i.alias("window"), F.when(i > 1, part(i - 1)).otherwise("").alias("a"), part(i).alias("b"))
+
+    told = _windows(spark, sf_dir, lambda n: F.greatest(F.ceil((n - 10) / 7), F.lit(0)) + 1, window)
+    return told.select("doc_id", "window", streams.strip_overlap("a", "b").alias("rest"))
+
+
 @query("""WITH d AS (SELECT doc_id, n_chars >= 200 AS ok, CASE WHEN n_chars < 200 THEN 'too short' END AS error FROM documents)
 SELECT count(*) AS total, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, count(DISTINCT error) AS kinds FROM d""")
 def batch_summary(spark, sf_dir):
