@@ -215,6 +215,26 @@ def test_licences(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+def test_licence_texts_and_headers(spark):
+    """Full texts, headers as comment blocks, and statements over two lines or inside a longer one."""
+    texts = dict(licences.long_templates()[len(licences.HEADERS) :])
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program. If not, see <https://www.gnu.org/licenses/>."
+    code = "\n".join(f"total{i} = first{i} + second{i}" for i in range(40))
+    prose = "the words of this sentence are not a license of any kind " * 30
+    rows = [
+        ("mit/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + texts["MIT"], "MIT"),
+        ("mit/src/a.py", code, "MIT"),
+        ("gpl/a.py", "#!/bin/python\n" + "\n".join("# " + x for x in gpl.split("\n")) + "\n" + code, "GPL-3.0"),
+        ("wrap/a.txt", prose + "\nThis work is licensed under the GNU\nGeneral Public License, version 3.\n" + prose, "GPL-3.0"),
+        ("inside/a.txt", prose + " Released under the MIT License. " + prose, "MIT"),
+        ("none/a.txt", prose, None),
+        *((f"full-{name}/COPYING", "Some project\n" + t, name) for name, t in texts.items()),
+    ]
+    files = spark.createDataFrame([r[:2] for r in rows], "path string, text string").repartition(2)
+    got = {r["path"]: (r["licence"], r["how"]) for r in licences.scan(files).collect()}
+    assert got == {p: (w, "inherited" if p == "mit/src/a.py" else "own" if w else "none") for p, _, w in rows}
+
+
 def test_cosine_matches_plain_arithmetic():
     from collections import Counter
 
