@@ -128,3 +128,15 @@ def smaller_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a table's making has shuffled goes when the table is there, not at some later garbage collection of the driver."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shuffles_dropped, written
 
 LEAST_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,9 +56,10 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("payload_bytes")).cast("string")),
         F.lit("\r\n"),
     )
-    records.select("id", "record_type", F.when(revisit, F.col("first_id")).alias("refers_to"), "digest", F.encode(block, "UTF-8").alias("header")).write.parquet(f"{path}/records")
-    # payloads: every distinct one is kept once; equal payloads meet as partial firsts, never as rows of one task
-    rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    with shuffles_dropped(pages.sparkSession):
+        records.select("id", "record_type", F.when(revisit, F.col("first_id")).alias("refers_to"), "digest", F.encode(block, "UTF-8").alias("header")).write.parquet(f"{path}/records")
+        # payloads: every distinct one is kept once; equal payloads meet as partial firsts, never as rows of one task
+        rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
 _HEADER = re.compile(rb"\r\n([A-Za-z-]+): ([^\r\n]*)")
@@ -67,16 +68,18 @@ _HEADER = re.compile(rb"\r\n([A-Za-z-]+): ([^\r\n]*)")
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive: id, header, payload (of a revisit, that of the record it refers to), and what the header says.
 
-    Payloads whose bytes do not give their digest raise an error.
+    Payloads whose bytes do not give their digest raise an error wherever the payload, or what is made of it, is read.
     """
     records = spark.read.parquet(f"{path}/records")
     payloads = spark.read.parquet(f"{path}/payloads")
-    checked = payloads.select("digest", "payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest")))).alias("verified"))
+    # the payload itself hangs on the check, so no reader's choice of columns can leave it out
+    wrong = F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest")))
+    checked = payloads.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
     said = F.decode("header", "UTF-8")
     found = lambda field: F.regexp_extract(said, rf"\r\n{field}: ([^\r\n]*)", 1)
     refers = F.regexp_extract(found("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)
     joined = records.join(checked, "digest", "inner")
-    return joined.select("id", "header", "payload", "verified", found("WARC-Type").alias("record_type"), F.regexp_extract(found("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("payload_digest"), F.when((refers != "") & (refers != "none"), refers).alias("refers_to"), found("Content-Length").cast("long").alias("content_length"), found("WARC-Target-URI").alias("target_uri"))
+    return joined.select("id", "header", "payload", F.col("payload").isNotNull().alias("verified"), found("WARC-Type").alias("record_type"), F.regexp_extract(found("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("payload_digest"), F.when((refers != "") & (refers != "none"), refers).alias("refers_to"), found("Content-Length").cast("long").alias("content_length"), found("WARC-Target-URI").alias("target_uri"))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronotext.llm import ann, components, jaccard, licences, sharding, warc
 
@@ -205,6 +206,19 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_damaged_payloads_raise(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (3, "u", "y")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "good"))
+    good = spark.read.parquet(str(tmp_path / "good/payloads"))
+    spark.read.parquet(str(tmp_path / "good/records")).write.parquet(str(tmp_path / "bad/records"))
+    good.withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(str(tmp_path / "bad/payloads"))
+    for read in (lambda a: a.select("id", F.length("payload")), lambda a: a.select("id", "payload"), warc.record_bytes, lambda a: a.select("verified")):
+        assert read(warc.read_archive(spark, str(tmp_path / "good"))).count() == 3
+        assert len(read(warc.read_archive(spark, str(tmp_path / "good"))).collect()) == 3
+        with pytest.raises(Exception, match="payload does not match its digest"):
+            read(warc.read_archive(spark, str(tmp_path / "bad"))).collect()
+
+
 def test_licences(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [("a/LICENSE", mit), ("a/b/c/x.txt", "nothing here\nat all"), ("a/b/COPYING", gpl), ("a/y.txt", "long text " * 50 + "\n" + "Licensed under the Apache License, Version 2.0.\nmore"), ("d/z.txt", None), (None, mit), ("a/b/e/w.txt", ""), ("", "x"), ("a/LICENSE", mit)]
