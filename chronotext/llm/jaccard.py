@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: all links between texts whose sets of word shingles overlap enough, and the classes they make.
+"""N-gram Jaccard join: links between texts whose sets of word shingles overlap enough, and the classes they make.
 
 A text is the set of its distinct k-word shingles (64-bit hashes). Two texts link when the Jaccard similarity of their
 sets is at least num / den.
@@ -14,6 +14,8 @@ sets is at least num / den.
   sorted arrays.
 * A tile's members are first compared with its smallest and largest node. Those already in one class then need no
   comparison with each other; what is left of a tile is compared block by block, so a tile of any size is many tasks.
+* The links found are thus a spanning set, all that classes need; where every link is asked for (links(every=True),
+  link_counts), all members of a tile are compared.
 
 Defined results: a text without words has no shingles and is linked with nothing; a text of fewer than k words, but
 not none, is one shingle; nodes are told apart by a 64-bit hash of the whole set.
@@ -292,11 +294,18 @@ class ShingleJoin:
 
         return full.mapInArrow(tidy(walk), "a long, b long").distinct()
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between nodes, enough of them that their components are those of all links."""
+    def links(self, every: bool = False) -> DataFrame:
+        """Links (a, b) between nodes, enough of them that their components are those of all links; or every link."""
         shared = written(self.tiles().groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "tiles")
         members = written(self.tiles(member_bits(shared, "tile", FILTER_BITS)).join(shared, "tile").distinct(), "members")
         nodes = written(self.nodes(members), "nodes")
+        if every:
+            # each node a class of its own: nothing is skipped
+            pairs = written(self.rest(members.select("tile", "node", F.col("node").alias("root")), nodes), "pairs")
+            drop(shared, members, nodes)
+            found = self.verified(pairs)
+            drop(pairs)
+            return found
         stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
         close = written(self.screened(stars, nodes), "screened")
         first = self.verified(close)
@@ -328,6 +337,18 @@ def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     return described.join(least, "node", "left").select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text", bits: int = 16) -> DataFrame:
+    """One row per row of `docs`: key, and n_links, the number of other rows that it links with, its exact copies among them."""
+    join = ShingleJoin(docs, k, num, den, key, text, bits)
+    described = written(join.described(), "described")
+    links = join.links(every=True)
+    copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
+    ends = links.select(F.col("a").alias("of"), F.col("b").alias("node")).unionAll(links.select(F.col("b").alias("of"), F.col("a").alias("node")))
+    near = ends.join(copies, "node").groupBy("of").agg(F.sum("copies").alias("near")).withColumnRenamed("of", "node")
+    counts = written(copies.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0).cast("long"))).alias("n_links")), "counts")
+    return described.join(counts, "node", "left").select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", bits: int = 8) -> DataFrame:
     """The rows of `docs` of which each class keeps the one of the smallest key (of equal keys, the first row)."""
     numbered = written(docs.withColumn("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "numbered")

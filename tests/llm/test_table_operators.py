@@ -94,6 +94,22 @@ def test_jaccard_classes_match_brute_force(spark, monkeypatch, k, num, den, bloc
     assert got == brute_classes(rows, k, num, den)
 
 
+def test_link_counts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    random = np.random.default_rng(12)
+    texts = ["", None, "one", "one"]
+    for _ in range(3):
+        base = [f"w{i}" for i in random.integers(0, 300, 60)]
+        texts += [" ".join(base)] * 3
+        for i in range(12):
+            texts.append(" ".join(f"x{i}" if j == (i * 5) % 60 else w for j, w in enumerate(base)))
+    sets = [{tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set() for w in ((t or "").split() for t in texts)]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(docs, 3, 80, 100).collect()} == want
+
+
 def test_one_of_each_keeps_one_row_of_each_class(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text), (1, text), (1, text), (None, text), (None, None), (7, None), (8, "")], "doc_id long, text string")
