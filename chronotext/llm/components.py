@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Each round is two joins and two minima over the links, which is all that any task sees: no component, however large,
-is gathered anywhere. Every round's links are a table in the shared folder, so lineage stays short.
+Each round is two joins and two minima over the links. Minima combine before they are shuffled and the joins broadcast the
+smallest neighbours of hubs, so no component and no hub, however large, is gathered in a task. Every round's links are a
+table in the shared folder, so lineage stays short; rounds go on until the links stand still.
 """
 
 from __future__ import annotations
@@ -9,35 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, written
-
-MOST_ROUNDS = 60
+from .shared import drop, join_hot, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = stored(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    out = stored(join_hot(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+    drop(both)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    down = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    out = stored(join_hot(down, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+    drop(down)
+    return out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link to another; component is the smallest node that links reach."""
-    edges = written(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
+    edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
     state = None
-    for _ in range(MOST_ROUNDS):
-        before, edges = edges, written(_small_star(_large_star(edges)), "stars")
-        drop(before)
+    while True:
+        large = _large_star(edges)
+        before, edges = edges, _small_star(large)
+        drop(before, large)
         # all nodes but the centres hang on a smaller one; once the table stands still they hang on the smallest
         now = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if now == state:
             centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(centres)
         state = now
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

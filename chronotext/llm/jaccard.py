@@ -6,9 +6,12 @@ sets is at least num / den.
 * Equal sets are one node from the start, so exact copies cost nothing further.
 * Size bands: sizes fall in bands of a fixed ratio; a set that may link into the band above is a guest there.
 * Tiles: within a band two linking sets differ in at most d shingles. Shingles are dealt by hash to d + 1 + e parts, so
-  at least e + 1 parts are equal in both sets, and of a set with at most e empty parts one of those holds something: it
-  is a tile, named by band, part and content. (A set with more empty parts also takes the tiles of its empty parts.)
-  No linking pair is without a common tile.
+  at least e + 1 parts hold the same in both sets. A part is a tile, named by band, part and content.
+* All tiles have one order: those of empty parts first, then from the most frequent to the rarest. Each set leaves out
+  the first e of its tiles. Two linking sets share at least e + 1, and the last of those stands behind e others in both,
+  so it stays in both: no linking pair is without a common tile, while passages that many texts share make few.
+  Frequencies come from one count over all texts; the most frequent (a fixed number) are told one by one, the others
+  only as "more than once" or not, which is an order too.
 * Within tiles, hashed bitmap signatures: the set bits of the XOR of two bitmaps are no more than the shingles that
   differ, which bounds the overlap from above; only pairs that may still link go on to the exact intersection of their
   sorted arrays.
@@ -32,12 +35,28 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .components import components
-from .shared import drop, has_bit, member_bits, tidy, written
+from .shared import drop, filter_bits, fresh_name, has_bit, hottest, join_hot, member_bits, stored, tidy
 
 U64 = np.uint64
-BLOCK = 256
+BLOCK = 2048
 LEAST_BITS, MOST_BITS = 64, 65536
-FILTER_BITS = 1 << 25
+#: Tiles whose frequency every task knows.
+HOT_TILES = 1 << 17
+
+
+class Tiled:
+    """The tiles of some sets: of entry i (a set in one band) those from first[i] to first[i + 1]."""
+
+    def __init__(self, owner: np.ndarray, first: np.ndarray, tile: np.ndarray, filled: np.ndarray, spare: np.ndarray):
+        self.owner, self.first, self.tile, self.filled, self.spare = owner, first, tile, filled, spare
+
+    def kept(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, tile) of the tiles behind the first `spare` of each entry, of those that another set may have."""
+        entry = np.repeat(np.arange(len(self.owner)), np.diff(self.first))
+        order = np.lexsort((self.tile, -frequency, self.filled, entry))
+        place = np.arange(len(order)) - self.first[entry]
+        keep = (place >= self.spare[entry]) & ~(self.filled[order] & (frequency[order] == 0))
+        return self.owner[entry[keep]], self.tile[order[keep]]
 
 
 class Bands:
@@ -45,8 +64,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        ratio = 1.5 if 10 * num > 8.5 * den else 1.75
-        ratio = max(ratio, 1.05 * den / num)
+        ratio = max(1.5 if 10 * num > 8.5 * den else 1.3, 1.05 * den / num)
         lows, x = [1], 1.0
         while lows[-1] < 1 << 40:
             x *= ratio
@@ -54,14 +72,14 @@ class Bands:
                 lows.append(max(math.ceil(x), lows[-1] + 1))
         self.lows = np.array(lows, np.int64)
         self.differ = (2 * (self.lows[1:] - 1) * (den - num)) // (den + num)
-        self.spare = np.where(self.differ > 0, np.maximum(1, -(-(self.differ + 1) * 3 // 20)), 0)
+        self.spare = np.where(self.differ > 0, -(-(self.differ + 1) * 3 // 10) + 2, 0)
         self.parts = self.differ + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, side="right") - 1
 
-    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(which set, tile) of all sets, in own bands and as guests."""
+    def tiles(self, sets: list[np.ndarray]) -> Tiled:
+        """The tiles of all sets, in own bands and as guests."""
         sizes = np.array([len(s) for s in sets], np.int64)
         band = self.of(sizes)
         own = np.flatnonzero(sizes > 0)
@@ -84,12 +102,26 @@ class Bands:
                 slot = base[row] + ((flat >> U64(20)) % parts[row].astype(U64)).astype(np.int64)
                 np.add.at(content, slot, bytescan.mix(flat ^ U64(0x5851F42D4C957F2D)))
                 filled[slot] = True
-            owner = np.repeat(np.arange(len(which)), parts)
-            part = np.arange(total) - base[owner]
-            empty = np.bincount(owner[~filled], minlength=len(which)) if total else np.zeros(0, np.int64)
-            keep = filled | (empty > self.spare[at])[owner]
-            tile = bytescan.mix(content + at[owner].astype(U64) * U64(0x9E3779B97F4A7C15) + bytescan.mix(part.astype(U64) + U64(0xA5A5)))
-        return which[owner[keep]], tile[keep].view(np.int64)
+            entry = np.repeat(np.arange(len(which)), parts)
+            part = np.arange(total) - base[entry]
+            tile = bytescan.mix(content + at[entry].astype(U64) * U64(0x9E3779B97F4A7C15) + bytescan.mix(part.astype(U64) + U64(0xA5A5)))
+        return Tiled(which, base, tile.view(np.int64), filled, self.spare[at])
+
+
+class Frequencies:
+    """How often tiles stand in the corpus: the most frequent ones exactly, others 1 where they may be repeated, else 0."""
+
+    def __init__(self, tiles: np.ndarray, counts: np.ndarray, repeated: np.ndarray):
+        order = np.argsort(tiles)
+        self.tiles, self.counts, self.repeated = tiles[order], counts[order], repeated
+
+    def __call__(self, tile: np.ndarray) -> np.ndarray:
+        out = has_bit(self.repeated, tile).astype(np.int64)
+        if len(self.tiles):
+            at = np.minimum(np.searchsorted(self.tiles, tile), len(self.tiles) - 1)
+            hot = self.tiles[at] == tile
+            out[hot] = self.counts[at[hot]]
+        return out
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -156,12 +188,12 @@ class ShingleJoin:
 
         return self.docs.select(self.key, self.text).mapInArrow(tidy(describe), f"{self.key} {self.docs.schema[self.key].dataType.simpleString()}, n_shingles long, node long")
 
-    def tiles(self, only: np.ndarray | None = None) -> DataFrame:
-        """(tile, node) of every text; with `only`, of those tiles that may be in that filter. Copies within a task count once."""
-        sets, bands, shared = self._sets(), self.bands, self.context.broadcast(only)
+    def _tiled(self, schema: str, emit) -> DataFrame:
+        """What `emit` makes of (nodes, their tiles) for the texts of each block; copies within a task count once."""
+        sets, bands = self._sets(), self.bands
 
-        def emit(batches):
-            seen, wanted = set(), shared.value
+        def each(batches):
+            seen = set()
             for batch in batches:
                 for _, found in sets(batch.column(0)):
                     fresh, nodes = [], []
@@ -170,48 +202,53 @@ class ShingleJoin:
                             seen.add(node)
                             fresh.append(s)
                             nodes.append(node)
-                    which, tile = bands.signatures(fresh)
-                    node = np.array(nodes, np.int64)[which] if len(which) else np.zeros(0, np.int64)
-                    if wanted is not None:
-                        keep = has_bit(wanted, tile)
-                        tile, node = tile[keep], node[keep]
-                    for i in range(0, len(tile), 50_000):
-                        yield pa.record_batch([pa.array(tile[i : i + 50_000]), pa.array(node[i : i + 50_000])], ["tile", "node"])
+                    columns = emit(np.array(nodes, np.int64), bands.tiles(fresh))
+                    for i in range(0, len(columns[0]), 50_000):
+                        yield pa.record_batch([pa.array(c[i : i + 50_000]) for c in columns], [f.split()[0] for f in schema.split(", ")])
+
+        return self.docs.select(self.text).mapInArrow(tidy(each), schema)
+
+    def frequencies(self) -> Frequencies:
+        """From one pass over all texts; what the driver holds of it is bounded."""
+        counted = stored(self._tiled("tile long", lambda _, t: [t.tile[t.filled]]).groupBy("tile").agg(F.count("*").alias("n")).where("n > 1"), "tiles")
+        hot = counted.where(F.col("n") >= hottest(counted, HOT_TILES)).toArrow()
+        repeated = member_bits(counted, "tile", filter_bits(counted.count()))
+        drop(counted)
+        return Frequencies(hot["tile"].to_numpy().astype(np.int64), hot["n"].to_numpy().astype(np.int64), repeated)
 
-        return self.docs.select(self.text).mapInArrow(tidy(emit), "tile long, node long")
+    def members(self) -> DataFrame:
+        """(tile, node) of the tiles that sets keep and that more than one node may have."""
+        shared = self.context.broadcast(self.frequencies())
 
-    def _of_nodes(self, wanted: DataFrame, schema: str, columns) -> DataFrame:
-        """(node, what `columns` makes of the sets) of the wanted nodes, one row each, from one pass over the texts."""
-        sets, shared = self._sets(), self.context.broadcast(member_bits(wanted, "node", FILTER_BITS))
+        def emit(nodes: np.ndarray, tiled: Tiled):
+            which, tile = tiled.kept(shared.value(tiled.tile))
+            return [tile, nodes[which] if len(which) else np.zeros(0, np.int64)]
+
+        return stored(self._tiled("tile long, node long", emit).distinct(), "members")
+
+    def nodes(self, wanted: DataFrame) -> DataFrame:
+        """(node, n_shingles, narrow, bitmap, shingles) of the wanted nodes (a table), one row each, from one pass over the texts."""
+        sets, bits, shared = self._sets(), self.bits, self.context.broadcast(member_bits(wanted, "node", filter_bits(wanted.count())))
 
         def emit(batches):
-            seen, bits = set(), shared.value
+            seen, wanted_bits = set(), shared.value
             for batch in batches:
                 for _, found in sets(batch.column(0)):
                     keys = np.array([fingerprint(s) for s in found], np.int64)
                     out = []
-                    for i in np.flatnonzero(has_bit(bits, keys)).tolist():
+                    for i in np.flatnonzero(has_bit(wanted_bits, keys)).tolist():
                         if len(found[i]) and keys[i] not in seen:
                             seen.add(keys[i])
                             out.append(i)
-                    if out:
-                        yield pa.record_batch({"node": pa.array(keys[out])} | columns([found[i] for i in out]))
-
-        every = self.docs.select(self.text).mapInArrow(tidy(emit), f"node long, {schema}")
-        return every.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-
-    def nodes(self, wanted: DataFrame) -> DataFrame:
-        """(node, n_shingles, narrow, bitmap) of the wanted nodes."""
-        bits = self.bits
+                    for i in range(0, len(out), 500):
+                        some = [found[j] for j in out[i : i + 500]]
+                        yield pa.record_batch({
+                            "node": pa.array(keys[out[i : i + 500]]), "n_shingles": pa.array([len(s) for s in some], pa.int64()), "narrow": pa.array([bitmap(s, 2) for s in some], pa.binary()),
+                            "bitmap": pa.array([bitmap(s, bits) for s in some], pa.binary()), "shingles": pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64())),
+                        })
 
-        def describe(sets: list[np.ndarray]) -> dict:
-            return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "narrow": pa.array([bitmap(s, 2) for s in sets], pa.binary()), "bitmap": pa.array([bitmap(s, bits) for s in sets], pa.binary())}
-
-        return self._of_nodes(wanted, "n_shingles long, narrow binary, bitmap binary", describe)
-
-    def arrays(self, wanted: DataFrame) -> DataFrame:
-        """(node, shingles) of the wanted nodes."""
-        return self._of_nodes(wanted, "shingles array<long>", lambda sets: {"shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+        every = self.docs.select(self.text).mapInArrow(tidy(emit), "node long, n_shingles long, narrow binary, bitmap binary, shingles array<long>")
+        return stored(every.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "nodes")
 
     def screened(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and narrow bitmaps leave."""
@@ -230,11 +267,9 @@ class ShingleJoin:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("narrow").alias(f"m_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(tidy(screen), "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, as a table: the exact intersection of their sorted arrays. `pairs` is a table."""
+    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs that link, as a table: the exact intersection of their sorted arrays."""
         num, den = self.num, self.den
-        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        arrays = written(self.arrays(ends), "arrays")
 
         def intersect(batches):
             for batch in batches:
@@ -248,10 +283,8 @@ class ShingleJoin:
                     keep[i] = den * common >= num * (len(a) + len(b) - common)
                 yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-        side = lambda x: arrays.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-        found = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidy(intersect), "a long, b long"), "linked")
-        drop(arrays)
-        return found
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+        return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(tidy(intersect), "a long, b long"), "linked")
 
     def rest(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of different classes that bitmaps leave, of tiles compared block by block. members: (tile, node, root)."""
@@ -259,66 +292,68 @@ class ShingleJoin:
         # tiles of the same members are one: told by their number and two sums of hashes
         sums = members.groupBy("tile").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
         one = sums.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        placed = members.join(one, "tile").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+        placed = join_hot(members, one, "tile").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
         cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
-        full = cells.join(nodes.select("node", "n_shingles", "bitmap"), "node").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-
-        def compare(group: list[dict]):
-            if len(group) < 2:
-                return []
-            size = np.array([g["n_shingles"] for g in group], np.int64)
-            root, block = np.array([g["root"] for g in group]), np.array([g["block"] for g in group])
-            maps, across = _folded([g["bitmap"] for g in group]), group[0]["i"] != group[0]["j"]
-            out = []
-            for i in range(len(group) - 1):
+        full = cells.join(nodes.select("node", "n_shingles", "bitmap"), "node").select("tile", "i", "j", "block", "node", "root", "n_shingles", "bitmap").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+
+        def compare(group: pa.Table) -> pa.RecordBatch:
+            across = group["i"][0].as_py() != group["j"][0].as_py()
+            block, node, root, size = (group[c].to_numpy() for c in ("block", "node", "root", "n_shingles"))
+            maps, a, b = _folded(group["bitmap"].to_pylist()), [], []
+            for i in range(len(node) - 1):
                 live = np.flatnonzero((root[i + 1 :] != root[i]) & ((block[i + 1 :] != block[i]) if across else True) & (np.minimum(size[i + 1 :], size[i]) * den >= np.maximum(size[i + 1 :], size[i]) * num)) + i + 1
                 if len(live):
                     live = live[may_link(num, den, size[i], size[live], maps[i], maps[live])]
-                    out += [(min(group[i]["node"], group[j]["node"]), max(group[i]["node"], group[j]["node"])) for j in live.tolist()]
-            return out
+                    a.append(np.minimum(node[i], node[live]))
+                    b.append(np.maximum(node[i], node[live]))
+            return pa.record_batch([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
 
         def walk(batches):
-            held, at = [], None
+            held = None  # the rows of the cell that the batches so far end in
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    here = (row["tile"], row["i"], row["j"])
-                    if here != at:
-                        out += compare(held)
-                        held, at = [], here
-                    held.append(row)
-                if out:
-                    yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-            if out := compare(held):
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                rows = pa.Table.from_batches([batch])
+                if held is not None:
+                    rows = pa.concat_tables([held, rows])
+                cell = [rows[c].to_numpy() for c in ("tile", "i", "j")]
+                ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+                    if b - a > 1:
+                        yield compare(rows.slice(a, b - a))
+                held = rows.slice(int(ends[-1]) if len(ends) else 0)
+            if held is not None and len(held) > 1:
+                yield compare(held)
 
         return full.mapInArrow(tidy(walk), "a long, b long").distinct()
 
     def links(self, every: bool = False) -> DataFrame:
         """Links (a, b) between nodes, enough of them that their components are those of all links; or every link."""
-        shared = written(self.tiles().groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "tiles")
-        members = written(self.tiles(member_bits(shared, "tile", FILTER_BITS)).join(shared, "tile").distinct(), "members")
-        nodes = written(self.nodes(members), "nodes")
+        kept = self.members()
+        shared = kept.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        members = stored(join_hot(kept, shared, "tile"), "members")
+        drop(kept)
+        wanted = stored(members.select("node").distinct(), "wanted")
+        nodes = self.nodes(wanted)
+        drop(wanted)
         if every:
             # each node a class of its own: nothing is skipped
-            pairs = written(self.rest(members.select("tile", "node", F.col("node").alias("root")), nodes), "pairs")
-            drop(shared, members, nodes)
-            found = self.verified(pairs)
-            drop(pairs)
+            pairs = stored(self.rest(members.select("tile", "node", F.col("node").alias("root")), nodes), "pairs")
+            drop(members)
+            found = self.verified(pairs, nodes)
+            drop(pairs, nodes)
             return found
         stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
-        close = written(self.screened(stars, nodes), "screened")
-        first = self.verified(close)
+        close = stored(self.screened(stars, nodes), "screened")
+        first = self.verified(close, nodes)
         of = components(first)
-        rooted = members.join(of.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = stored(members.join(of.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         # members of one class, and tiles of two members (which have been compared), are done
-        left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile")
-        open_tiles = written(rooted.join(left, "tile", "left_semi").select("tile", "node", "root"), "left")
-        drop(shared, members, close)
-        pairs = written(self.rest(open_tiles, nodes), "pairs")
-        drop(open_tiles, nodes)
-        every = first if pairs.isEmpty() else first.unionAll(self.verified(pairs))
-        drop(pairs)
+        left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile", F.lit(True).alias("open"))
+        open_tiles = stored(join_hot(rooted, left, "tile").select("tile", "node", "root"), "left")
+        drop(members, close, rooted)
+        pairs = stored(self.rest(open_tiles, nodes), "pairs")
+        drop(open_tiles)
+        every = first if pairs.isEmpty() else first.unionAll(self.verified(pairs, nodes))
+        drop(pairs, nodes)
         return every
 
 
@@ -328,30 +363,36 @@ def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     bits: of the wide bitmaps, for each shingle; more let fewer pairs through to the arrays, fewer are less to shuffle.
     """
     join = ShingleJoin(docs, k, num, den, key, text, bits)
-    described = written(join.described(), "described")
+    described = stored(join.described(), "described")
     of = components(join.links())
     members = described.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least"))
-    rooted = members.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    rooted = stored(members.join(of, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "rooted")
     # the smallest key of each component, then of each node
-    least = written(rooted.join(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id"), "classes")
-    return described.join(least, "node", "left").select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    smallest = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = stored(join_hot(rooted, smallest, "component").select("node", "component_id"), "classes")
+    drop(rooted)
+    return join_hot(described, least, "node", "left").select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def link_counts(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text", bits: int = 16) -> DataFrame:
     """One row per row of `docs`: key, and n_links, the number of other rows that it links with, its exact copies among them."""
     join = ShingleJoin(docs, k, num, den, key, text, bits)
-    described = written(join.described(), "described")
+    described = stored(join.described(), "described")
     links = join.links(every=True)
     copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
     ends = links.select(F.col("a").alias("of"), F.col("b").alias("node")).unionAll(links.select(F.col("b").alias("of"), F.col("a").alias("node")))
     near = ends.join(copies, "node").groupBy("of").agg(F.sum("copies").alias("near")).withColumnRenamed("of", "node")
-    counts = written(copies.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0).cast("long"))).alias("n_links")), "counts")
-    return described.join(counts, "node", "left").select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    counts = stored(copies.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0).cast("long"))).alias("n_links")), "counts")
+    return join_hot(described, counts, "node", "left").select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", bits: int = 8) -> DataFrame:
-    """The rows of `docs` of which each class keeps the one of the smallest key (of equal keys, the first row)."""
-    numbered = written(docs.withColumn("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "numbered")
-    found = classes(numbered, k, num, den, key="_row", text=text, bits=bits)
-    first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row.row").alias("_keep"))
-    return numbered.join(first, F.col("_row.row") == F.col("_keep"), "left_semi").drop("_row")
+    """The rows of `docs` of which each class keeps the one of the smallest key (of equal keys, the first row).
+
+    A null key comes last; columns of any names go through as they are.
+    """
+    row = fresh_name(docs.columns, "_row")
+    numbered = stored(docs.withColumn(row, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "numbered")
+    found = classes(numbered.select(F.col(row).alias("row"), F.col(text).alias("text")), k, num, den, key="row", text="text", bits=bits)
+    first = found.where(F.col("row") == F.col("component_id")).select(F.col("row.row").alias("_keep"))
+    return numbered.join(first, F.col(f"{row}.row") == F.col("_keep"), "left_semi").drop(row)

@@ -39,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """written(), after which what the table's making has shuffled is gone from the disks."""
+    with shuffles_dropped(df.sparkSession):
+        return written(df, name)
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes tables that written() has made, once all that reads them is written itself."""
     for df in frames:
@@ -81,6 +87,11 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def filter_bits(rows: int) -> int:
+    """The bits of a filter over so many rows: 8 for each, from half a megabyte to 8 megabytes."""
+    return min(max(1 << (8 * rows).bit_length(), 1 << 22), 1 << 26)
+
+
 def member_bits(df: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
     """A bit for each residue of the 64-bit values of a column: a filter of fixed size whatever the number of rows.
 
@@ -90,11 +101,51 @@ def member_bits(df: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
     word = df.select((at / 32).cast("long").alias("w"), F.pmod(at, F.lit(32)).cast("int").alias("b"))
     packed = word.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
     out = np.zeros(bits // 32, np.uint32)
-    for w, v in packed.toLocalIterator(prefetchPartitions=True):
-        out[w] = v & 0xFFFFFFFF
+    found = packed.toArrow()  # as many rows as the filter has words, at most
+    out[found["w"].to_numpy()] = (found["v"].to_numpy() & 0xFFFFFFFF).astype(np.uint32)
     return out
 
 
+def hottest(counted: DataFrame, most: int) -> int:
+    """The frequency n from which on there are at most `most` rows."""
+    sizes = counted.groupBy("n").agg(F.count("*").alias("rows")).where(F.col("n") > 1)
+    # frequencies from 2 on, each at most once: as many rows as distinct frequencies
+    total, least = 0, 1 << 62
+    for n, rows in sorted(((r["n"], r["rows"]) for r in sizes.toLocalIterator()), reverse=True):
+        total += rows
+        if total > most:
+            break
+        least = n
+    return least
+
+
+#: A key of so many rows is hot, and of all keys of a table at most so many are.
+HOT_ROWS, HOT_KEYS = 1 << 14, 1 << 14
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows (a table) joined to lookup (one small row for each key), inner or left, without one task for a hot key.
+
+    The lookup rows of hot keys are broadcast: a key is hot with HOT_ROWS rows or the HOT_KEYS-th part of all, whichever
+    is more, so there are at most HOT_KEYS of them whatever the table holds. All other keys meet in a shuffle.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") >= max(HOT_ROWS, rows.count() // HOT_KEYS)).select(key).toArrow()
+    if not len(hot):
+        return rows.join(lookup, key, how)
+    keys = F.broadcast(rows.sparkSession.createDataFrame(hot))
+    cold = rows.join(keys, key, "left_anti").join(lookup, key, how)
+    return cold.unionByName(rows.join(F.broadcast(lookup.join(keys, key, "left_semi")), key))
+
+
+def fresh_name(columns: list[str], name: str) -> str:
+    """A column name like `name` that is not among `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def has_bit(found: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which int64 values may be in the column that member_bits() read."""
     at = np.mod(values, np.int64(len(found) * 32))

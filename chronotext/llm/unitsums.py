@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import smaller_batches, tidy, written
+from .shared import hottest, smaller_batches, tidy, written
 
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 18
@@ -74,19 +74,6 @@ def _merged(held: list[pa.Table]) -> list[pa.RecordBatch]:
     return pa.table({"unit": both["unit"].cast(pa.string()), "n": both["n_sum"].cast(pa.int64())}).combine_chunks().to_batches(max_chunksize=50_000)
 
 
-def hottest(known: DataFrame, most: int = HOT_UNITS) -> int:
-    """The frequency from which on there are at most `most` units."""
-    sizes = known.groupBy("n").agg(F.count("*").alias("units")).where(F.col("n") > 1)
-    # frequencies from 2 on, each at most once: as many rows as distinct frequencies
-    total, least = 0, 1 << 62
-    for n, units in sorted(((r["n"], r["units"]) for r in sizes.toLocalIterator()), reverse=True):
-        total += units
-        if total > most:
-            break
-        least = n
-    return least
-
-
 def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split: Splitter, key: str = "doc_id", text: str = "text", hot: int = HOT_UNITS) -> DataFrame:
     """One row per row of `docs`: its key, n_bytes, and the sum over its units of each measure (long) of `known` (unit, n, measures).
 

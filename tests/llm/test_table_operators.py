@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotext.llm import ann, components, jaccard, licences, sharding, warc
+from chronotext.llm import ann, components, jaccard, licences, shared, sharding, warc
 
 
 def scalar_jump(key, n):
@@ -112,9 +112,11 @@ def test_link_counts_match_brute_force(spark, monkeypatch):
 
 def test_one_of_each_keeps_one_row_of_each_class(spark):
     text = " ".join(f"w{i}" for i in range(50))
-    docs = spark.createDataFrame([(3, text), (1, text), (1, text), (None, text), (None, None), (7, None), (8, "")], "doc_id long, text string")
-    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.one_of_each(docs).collect())
-    assert kept == [(0, ""), (1, text), (7, ""), (8, "")]
+    docs = spark.createDataFrame([(3, text, "c"), (1, text, "a"), (1, text, "a"), (None, text, "n"), (None, None, "n"), (7, None, "s"), (8, "", "e")], "doc_id long, text string, _row string")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["_row"]) for r in out.collect())
+    assert kept == [(0, "", "n"), (1, text, "a"), (7, "", "s"), (8, "", "e")]
     assert jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
@@ -128,11 +130,25 @@ def test_bounds_never_drop_a_link():
         maps = jaccard._folded([jaccard.bitmap(a), jaccard.bitmap(b)])
         if 100 * both >= 80 * (len(a) + len(b) - both):
             assert jaccard.may_link(80, 100, len(a), len(b), maps[0], maps[1])
-            which, tile = jaccard.Bands(80, 100).signatures([a, b])
+            # whatever the tiles' frequencies are
+            frequency = lambda tile: np.maximum(tile % 7 - 3, 1)
+            tiled = jaccard.Bands(80, 100).tiles([a, b])
+            which, tile = tiled.kept(frequency(tiled.tile))
             assert set(tile[which == 0].tolist()) & set(tile[which == 1].tolist())
 
 
-def test_components(spark):
+def test_a_key_with_half_of_the_rows_joins_whole(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 50)
+    rows = spark.createDataFrame([(7 if i % 2 else i, i) for i in range(400)] + [(None, -1)], "k long, v long")
+    lookup = spark.createDataFrame([(i, i * 10) for i in range(0, 400, 4)] + [(7, 70)], "k long, w long")
+    plan = shared.join_hot(rows, lookup, "k", "left")
+    assert sorted(map(str, plan.collect())) == sorted(map(str, rows.join(lookup, "k", "left").collect()))
+    assert sorted(map(str, shared.join_hot(rows, lookup, "k").collect())) == sorted(map(str, rows.join(lookup, "k").collect()))
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 14])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
     random = np.random.default_rng(6)
     pairs = [(int(a), int(b)) for a, b in random.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
