@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan, unitsums
-from .shared import tidy, written
+from .shared import drop, fresh_name, tidy, written
 
 SPACE = "▁"
 MOST_CHARS = 60
@@ -239,7 +239,8 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     """`docs` with the ids of every whole text.
 
     The ids of the most frequent units, a fixed number at most, are broadcast. Of its other units each row keeps the
-    distinct ones, which are joined to the vocabulary and come back to the row as one list of its own size.
+    distinct ones, which are joined to the vocabulary and come back to the row as one list of its own size. A column named
+    `ids` is replaced; columns of any other names go through as they are.
     """
     spark = docs.sparkSession
     known = encoded_vocabulary(docs, pieces, text)
@@ -248,7 +249,10 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     words, first = table["unit"].combine_chunks().cast(pa.string()), table["ids"].combine_chunks()
     shared = spark.sparkContext.broadcast((words, first))
     split = Splitter(pieces)
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row_name = fresh_name([*docs.columns, ids], "_row")
+    own_name = fresh_name([*docs.columns, ids], "_own")
+    docs = docs.drop(ids) if ids in docs.columns else docs
+    numbered = written(docs.withColumn(row_name, F.monotonically_increasing_id()), "numbered")
 
     def rare(batches):
         words, _ = shared.value
@@ -265,8 +269,10 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
                     pairs = np.unique(numbers * len(coded.dictionary) + codes[pick])
                     yield pa.record_batch([pa.array(places[pairs // len(coded.dictionary)]), coded.dictionary.take(pa.array(pairs % len(coded.dictionary)))], ["_row", "unit"])
 
-    asked = numbered.select("_row", text).mapInArrow(tidy(rare), "_row long, unit string")
-    answers = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_own"))
+    asked = numbered.select(row_name, text).mapInArrow(tidy(rare), "_row long, unit string")
+    found = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_own"))
+    answers = unitsums.stored(found.select(F.col("_row").alias(row_name), F.col("_own").alias(own_name)), "answers")
+    drop(known)
 
     at_text, n_columns, names = docs.columns.index(text), len(docs.columns), [*docs.columns, ids]
 
@@ -290,6 +296,6 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], names)
 
     # the rest of a row goes through with its text, so texts are shuffled once
-    joined = numbered.join(answers, "_row", "left").select(*docs.columns, "_own")
+    joined = numbered.join(answers, row_name, "left").select(*docs.columns, own_name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(tidy(assemble), f"{fields}, `{ids}` array<int>")

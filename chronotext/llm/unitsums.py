@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hottest, smaller_batches, tidy, written
+from . import shared
+from .shared import hottest, smaller_batches, tidy
 
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 18
@@ -83,12 +84,12 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
     table = known.where(F.col("n") >= least).select("unit", *measures).toArrow()
     words = table["unit"].combine_chunks().cast(pa.string())
     weights = np.array([table[m].to_numpy() for m in measures], np.int64).reshape(len(measures), -1)
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+    hot_units = docs.sparkSession.sparkContext.broadcast((words, weights))
     kind = docs.schema[key].dataType.simpleString()
     outs = ", ".join(f"{m} long" for m in measures)
 
     def spread(batches):
-        words, weights = shared.value
+        words, weights = hot_units.value
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, sizes = batch.column(0), pc.fill_null(pc.binary_length(batch.column(1).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
@@ -129,9 +130,9 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
     itself = F.col("n_bytes").isNotNull()
     summed = joined.select("rid", key, "n_bytes", itself.alias("itself"), *each).groupBy("rid").agg(F.first(F.when(F.col("itself"), F.col(key)), ignorenulls=True).alias(key), F.max("n_bytes").alias("n_bytes"), *(F.sum(f"v_{m}").alias(m) for m in measures)).select(key, "n_bytes", *measures)
     with smaller_batches(docs.sparkSession):
-        return written(summed, "sums")
+        return shared.stored(summed, "sums")
 
 
 def stored(known: DataFrame, name: str) -> DataFrame:
     with smaller_batches(known.sparkSession):
-        return written(known, name)
+        return shared.stored(known, name)
