@@ -8,8 +8,9 @@ the edges of its lattice, edges are grouped by unit, and a higher-order aggregat
 The model at hand is byte-pair encoding, whose segmentation a Viterbi search over summed scores does not give. The fold
 therefore takes the edges by score (then from the left) over a set of borders: an edge whose ends are borders with
 exactly one border between them joins two symbols, and that border goes. What is left is the library's segmentation.
-Characters without a piece become byte pieces. Units of more than MOST_CHARS characters, whose borders do not fit in a
-long, are encoded by the library itself.
+Characters without a piece become byte pieces. Borders of a unit of at most MOST_CHARS characters are one long, those of a
+longer one an array of words of 32. Only units of more than LONG_CHARS characters, whose fold would take minutes, are
+encoded by the library itself.
 
 Defined results: null and empty texts have no pieces; U+2581 in a text cannot be told from a space, as in the library.
 """
@@ -17,6 +18,7 @@ Defined results: null and empty texts have no pieces; U+2581 in a text cannot be
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan, unitsums
-from .shared import drop, fresh_name, tidy, written
+from .shared import drop, fresh_name, hottest, stored, tidy
 
 SPACE = "▁"
-MOST_CHARS = 60
+MOST_CHARS, LONG_CHARS = 60, 1 << 14
 BLOCK_BYTES = 1 << 19
 #: Characters below this, and the space, have a table of pairs; others are looked up.
 _NEAR = 0x250
@@ -168,39 +170,91 @@ def _path(edges: F.Column, chars: F.Column) -> F.Column:
     return F.aggregate(edges, left(one, chars + 1) - one, step, finish)
 
 
+def _long_path(edges: F.Column, chars: F.Column) -> F.Column:
+    """_path() for units of any length: edges are sorted structs (order, start, size, id), the path structs (start, id)."""
+    one, low = F.lit(1).cast("long"), F.lit(0xFFFFFFFF).cast("long")
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+    word = lambda e: F.floor(e["start"] / 32).cast("int")
+    # an edge of up to 32 characters lies in two words of 32 borders
+    both = lambda borders, e: F.get(borders, word(e)).bitwiseOR(left(F.get(borders, word(e) + 1), F.lit(32)))
+    inside = lambda borders, e: F.call_function("shiftrightunsigned", both(borders, e), e["start"] % 32).bitwiseAND(left(one, e["size"] + 1) - one)
+
+    def step(borders: F.Column, e: F.Column) -> F.Column:
+        here = inside(borders, e)
+        joins = (e["size"] > 1) & (here.bitwiseAND(one) == one) & (F.call_function("shiftright", here, e["size"]) == one) & (F.bit_count(here) == 3)
+        rest = both(borders, e).bitwiseAND(F.bitwise_not(left(left(one, e["size"] - 1) - one, e["start"] % 32 + 1)))
+        gone = F.transform(borders, lambda x, i: F.when(i == word(e), rest.bitwiseAND(low)).when(i == word(e) + 1, F.shiftrightunsigned(rest, 32)).otherwise(x))
+        return F.when(joins, gone).otherwise(borders)
+
+    def finish(borders: F.Column) -> F.Column:
+        kept = F.filter(edges, lambda e: inside(borders, e) == left(one, e["size"]) + one)
+        return F.sort_array(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+
+    return F.aggregate(edges, F.transform(F.sequence(F.lit(0), F.floor(chars / 32) + 1), lambda _: low), step, finish)
+
+
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n, ids) of distinct units (unit, n). If `units` is dealt by unit already, nothing is shuffled."""
+    """(unit, n, ids) of distinct units (unit, n), a table. Only the units are shuffled, never their edges."""
     spark = units.sparkSession
-    table = F.broadcast(pieces.table(spark))  # as many rows as the model has pieces
-    # the length hangs on n, an aggregate, so that no filter goes below the exchange and both branches read the same one
-    sized = units.withColumn("chars", F.when(F.col("n") > 0, F.char_length("unit")))
-    short = sized.where(F.col("chars") <= MOST_CHARS)
-    cut = short.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("chars") - 1))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))))
-    edges = cut.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    longest = units.agg(F.max(F.char_length("unit"))).first()[0] or 0
+    dealt = units.repartition("unit").withColumn("chars", F.char_length("unit"))
+    found = [_folded_units(dealt.where(F.col("chars") <= MOST_CHARS), pieces)]
+    # an edge must lie in two words
+    most = LONG_CHARS if pieces.longest <= 32 else MOST_CHARS
+    if longest > MOST_CHARS:
+        found.append(_folded_long_units(dealt.where((F.col("chars") > MOST_CHARS) & (F.col("chars") <= most)), pieces))
+    if longest > most:
+        path = pieces.path
+
+        def by_library(batches):
+            for batch in batches:
+                # a unit may stand without the space that the library puts in front of a text
+                out = [_raw_ids(_library(path), u) for u in batch.column(0).to_pylist()]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["unit", "n", "ids"])
+
+        found.append(dealt.where(F.col("chars") > most).select("unit", "n").mapInArrow(tidy(by_library), "unit string, n long, ids array<int>"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _edges(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """The edges of every unit's lattice: substrings of bounded length that are pieces, and single characters (order and id null if no piece)."""
+    table = F.broadcast(pieces.table(units.sparkSession))  # as many rows as the model has pieces
+    cut = units.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("chars") - 1))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))))
+    return cut.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+
+
+def _bytes_of(char: F.Column, pieces: Pieces) -> F.Column:
+    """The ids of a character that is no piece: those of its bytes, or the unknown piece."""
+    if not pieces.byte:
+        return F.array(F.lit(pieces.unknown))
+    by_byte = F.array(*[F.lit(pieces.byte.get(b, pieces.unknown)) for b in range(256)])
+    spell = F.hex(F.encode(char, "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.length(spell) - 1, F.lit(2)), lambda k: F.element_at(by_byte, F.conv(F.substring(spell, k, F.lit(2)), 16, 10).cast("int") + 1))
+
+
+def _folded_long_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    named = units.withColumn("key", F.sha2("unit", 256))  # edges carry this and not the unit
+    entry = F.struct(F.coalesce("order", F.lit((1 << 20) - 1)).cast("int").alias("order"), F.col("start"), F.col("size"), F.coalesce("id", F.lit(pieces.unknown)).alias("id"))
+    grouped = _edges(named, pieces).groupBy("key", "chars").agg(F.sort_array(F.collect_list(entry)).alias("edges"))
+    placed = grouped.select("key", _long_path(F.col("edges"), F.col("chars")).alias("path")).join(named.select("key", "unit", "n"), "key")
+    spelled = lambda p: F.when(p["id"] == pieces.unknown, _bytes_of(F.substring(F.col("unit"), p["start"] + 1, F.lit(1)), pieces)).otherwise(F.array(p["id"]))
+    return placed.select("unit", "n", F.flatten(F.transform("path", spelled)).alias("ids"))
+
+
+def _folded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    edges = _edges(units, pieces)
     # order, id, start and length in one long; a character without a piece has the id of the unknown piece and comes last
     packed = F.shiftleft(F.coalesce("order", F.lit((1 << 20) - 1)).cast("long"), 36).bitwiseOR(F.shiftleft(F.coalesce("id", F.lit(pieces.unknown)).cast("long"), 16)).bitwiseOR((F.col("start") * 256 + F.col("size")).cast("long"))
     grouped = edges.groupBy("unit", "n", "chars").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
     placed = grouped.withColumn("path", _path(F.col("edges"), F.col("chars")))
     ids = F.transform("path", lambda p: p.bitwiseAND(F.lit(0xFFFFF).cast("long")).cast("int"))
     none = F.lit(pieces.unknown)
-    by_byte = F.array(*[F.lit(pieces.byte.get(b, pieces.unknown)) for b in range(256)])
 
     def spelled(p):
         i = p.bitwiseAND(F.lit(0xFFFFF).cast("long")).cast("int")
-        spell = F.hex(F.encode(F.substring(F.col("unit"), F.shiftright(p, 32).cast("int") + 1, F.lit(1)), "UTF-8"))
-        each = F.transform(F.sequence(F.lit(1), F.length(spell) - 1, F.lit(2)), lambda k: F.element_at(by_byte, F.conv(F.substring(spell, k, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(i == none, each if pieces.byte else F.array(none)).otherwise(F.array(i))
-
-    plain = placed.select("unit", "n", F.when(F.array_contains(ids, pieces.unknown), F.flatten(F.transform("path", spelled))).otherwise(ids).alias("ids"))
-    path_of = pieces.path
-
-    def by_library(batches):
-        for batch in batches:
-            # a unit may stand without the space that the library puts in front of a text
-            out = [_raw_ids(_library(path_of), u) for u in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["unit", "n", "ids"])
+        return F.when(i == none, _bytes_of(F.substring(F.col("unit"), F.shiftright(p, 32).cast("int") + 1, F.lit(1)), pieces)).otherwise(F.array(i))
 
-    return plain.unionAll(sized.where(F.col("chars") > MOST_CHARS).select("unit", "n").mapInArrow(tidy(by_library), "unit string, n long, ids array<int>"))
+    return placed.select("unit", "n", F.when(F.array_contains(ids, pieces.unknown), F.flatten(F.transform("path", spelled))).otherwise(ids).alias("ids"))
 
 
 def _raw_ids(model, unit: str) -> list[int]:
@@ -226,8 +280,11 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text"
 
 def encoded_vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """(unit, n, ids, n_pieces, ids_sum, n_changed) of every distinct unit of the texts, as a table."""
-    known = encode_units(unitsums.vocabulary(docs, text, Splitter(pieces)), pieces)
-    return unitsums.stored(known.select("unit", "n", "ids", F.size("ids").cast("long").alias("n_pieces"), F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_sum"), F.when(decoded(F.col("ids"), pieces) == F.col("unit"), 0).otherwise(1).cast("long").alias("n_changed")), "units")
+    words = stored(unitsums.vocabulary(docs, text, Splitter(pieces)), "vocabulary")
+    known = encode_units(words, pieces)
+    out = stored(known.select("unit", "n", "ids", F.size("ids").cast("long").alias("n_pieces"), F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_sum"), F.when(decoded(F.col("ids"), pieces) == F.col("unit"), 0).otherwise(1).cast("long").alias("n_changed")), "units")
+    drop(words)
+    return out
 
 
 def totals(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", hot: int = unitsums.HOT_UNITS) -> DataFrame:
@@ -235,45 +292,53 @@ def totals(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "te
     return unitsums.weighted_sums(docs, encoded_vocabulary(docs, pieces, text), ["n_pieces", "ids_sum", "n_changed"], Splitter(pieces), key, text, hot)
 
 
+def _cold(coded: pa.DictionaryArray, begin: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run of rows: (row, code, ordinal) of the distinct units of each row that are not among `words`, in order of their first place."""
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(codes):
+        return (np.zeros(0, np.int64),) * 3
+    cold = pc.is_null(pc.index_in(coded.dictionary, value_set=words)).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    pick = np.flatnonzero(cold[codes])
+    pairs, first = np.unique(of[pick] * len(cold) + codes[pick], return_index=True)
+    order = np.argsort(first, kind="stable")  # rows stand in order, so first places do too
+    row, code = pairs[order] // len(cold), pairs[order] % len(cold)
+    return row, code, np.arange(len(row)) - np.searchsorted(row, row)
+
+
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids", hot: int = unitsums.HOT_UNITS) -> DataFrame:
     """`docs` with the ids of every whole text.
 
-    The ids of the most frequent units, a fixed number at most, are broadcast. Of its other units each row keeps the
-    distinct ones, which are joined to the vocabulary and come back to the row as one list of its own size. A column named
-    `ids` is replaced; columns of any other names go through as they are.
+    The ids of the most frequent units, a fixed number at most, are broadcast. For its other units, each once, a row asks
+    the vocabulary, and gets their ids back as one list in the order of its units. A row is told by two hashes of all its
+    columns, which a lost executor's work gives again; equal rows share their answers. A column named `ids` is replaced;
+    columns of any other names go through as they are.
     """
-    spark = docs.sparkSession
+    docs = docs.drop(ids)
     known = encoded_vocabulary(docs, pieces, text)
-    least = unitsums.hottest(known, hot)
+    least = hottest(known, hot)
     table = known.where(F.col("n") >= least).select("unit", "ids").toArrow()
     words, first = table["unit"].combine_chunks().cast(pa.string()), table["ids"].combine_chunks()
-    shared = spark.sparkContext.broadcast((words, first))
+    shared = docs.sparkSession.sparkContext.broadcast((words, first))
     split = Splitter(pieces)
-    row_name = fresh_name([*docs.columns, ids], "_row")
-    own_name = fresh_name([*docs.columns, ids], "_own")
-    docs = docs.drop(ids) if ids in docs.columns else docs
-    numbered = written(docs.withColumn(row_name, F.monotonically_increasing_id()), "numbered")
+    keys = [fresh_name(docs.columns, "_key"), fresh_name(docs.columns, "_key2")]
+    own_name = fresh_name(docs.columns, "_own")
+    told = [f.name for f in docs.schema if "map" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({keys[0]: F.xxhash64(*told), keys[1]: F.xxhash64(F.lit(1), *told)})
 
     def rare(batches):
         words, _ = shared.value
         for batch in batches:
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, begin, units in unitsums.together(split(batch.column(1))):
+            for row, begin, units in unitsums.together(split(batch.column(2))):
                 coded = units.dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                cold = pc.is_null(pc.index_in(coded.dictionary, value_set=words)).to_numpy(zero_copy_only=False)
-                of = np.repeat(rows[row : row + len(begin) - 1], np.diff(begin))
-                pick = np.flatnonzero(cold[codes]) if len(codes) else np.zeros(0, np.int64)
-                if len(pick):
-                    places, numbers = np.unique(of[pick], return_inverse=True)
-                    pairs = np.unique(numbers * len(coded.dictionary) + codes[pick])
-                    yield pa.record_batch([pa.array(places[pairs // len(coded.dictionary)]), coded.dictionary.take(pa.array(pairs % len(coded.dictionary)))], ["_row", "unit"])
-
-    asked = numbered.select(row_name, text).mapInArrow(tidy(rare), "_row long, unit string")
-    found = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_own"))
-    answers = unitsums.stored(found.select(F.col("_row").alias(row_name), F.col("_own").alias(own_name)), "answers")
-    drop(known)
+                at, code, ordinal = _cold(coded, begin, words)
+                at = pa.array(at + row)
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(ordinal.astype(np.int32)), coded.dictionary.take(pa.array(code))], ["key", "key2", "at", "unit"])
 
+    asked = keyed.select(*keys, text).mapInArrow(tidy(rare), "key long, key2 long, at int, unit string").repartition("unit").dropDuplicates(["unit", "key", "key2", "at"])
+    found = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("key", "key2").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("own"))
+    answers = stored(found.select(F.col("key").alias(keys[0]), F.col("key2").alias(keys[1]), F.transform("own", lambda x: x["ids"]).alias(own_name)), "answers")
+    drop(known)
     at_text, n_columns, names = docs.columns.index(text), len(docs.columns), [*docs.columns, ids]
 
     def assemble(batches):
@@ -282,13 +347,18 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
             out: list = []
             for row, begin, units in unitsums.together(split(batch.column(at_text))):
                 coded = units.dictionary_encode()
-                # the run's own units, each once, with their ids
-                own = batch.column(n_columns).slice(row, len(begin) - 1).flatten()
-                named = own.field("unit").dictionary_encode()
-                first = np.unique(named.indices.to_numpy(zero_copy_only=False), return_index=True)[1]
-                place = pc.index_in(coded.dictionary, value_set=named.dictionary)
-                at = pc.index_in(coded.dictionary, value_set=words)
-                merged = pc.if_else(pc.is_null(at), own.field("ids").take(pa.array(first)).take(place), lists.take(at))
+                answered = batch.column(n_columns).slice(row, len(begin) - 1)
+                given = answered.flatten()
+                at, code, ordinal = _cold(coded, begin, words)
+                if len(given) != len(at):
+                    raise ValueError("a row has not got all the ids that it asked for")
+                # of each of the run's units one place among the answers, or among the broadcast ones
+                place = np.full(len(coded.dictionary), -1, np.int64)
+                place[code] = np.arange(len(at))
+                asked_at = pa.array(place, mask=place < 0)
+                own = given.take(asked_at) if len(given) else pa.nulls(len(place), pa.list_(pa.int32()))
+                hot_at = pc.index_in(coded.dictionary, value_set=words)
+                merged = pc.if_else(pc.is_null(hot_at), own.cast(lists.type), lists.take(hot_at))
                 # the ids of every unit in order, as one list for each row
                 chosen = merged.take(coded.indices)
                 sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chosen), 0).to_numpy(zero_copy_only=False))])
@@ -296,6 +366,6 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], names)
 
     # the rest of a row goes through with its text, so texts are shuffled once
-    joined = numbered.join(answers, row_name, "left").select(*docs.columns, own_name)
+    joined = keyed.join(answers, keys, "left").select(*docs.columns, own_name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(tidy(assemble), f"{fields}, `{ids}` array<int>")

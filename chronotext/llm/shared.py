@@ -40,8 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """written(), after which what the table's making has shuffled is gone from the disks."""
-    with shuffles_dropped(df.sparkSession):
+    """written() in small Arrow batches, after which what the table's making has shuffled is gone from the disks."""
+    with smaller_batches(df.sparkSession), shuffles_dropped(df.sparkSession):
         return written(df, name)
 
 

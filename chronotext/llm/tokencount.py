@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan, unitsums
-from .shared import tidy
+from .shared import stored, tidy
 
 #: White space beyond ASCII, as Unicode's White_Space has it (RE2 and Python read it alike). Fixed values.
 WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -77,7 +77,7 @@ def piece_counts(units: DataFrame, tokenizer: str) -> DataFrame:
 
 def count(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", hot: int = unitsums.HOT_UNITS) -> DataFrame:
     """One row per row of `docs`: its key, n_bytes and n_tokens. `tokenizer`: a tokenizers file that every executor can open."""
-    known = unitsums.stored(piece_counts(unitsums.vocabulary(docs, text, spaced_units), tokenizer), "pretokens")
+    known = stored(piece_counts(unitsums.vocabulary(docs, text, spaced_units), tokenizer), "pretokens")
     return unitsums.weighted_sums(docs, known, ["n_tokens"], spaced_units, key, text, hot)
 
 

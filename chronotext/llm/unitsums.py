@@ -18,8 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
-from .shared import hottest, smaller_batches, tidy
+from .shared import hottest, stored, tidy
 
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 18
@@ -129,10 +128,4 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
     each = [F.coalesce(F.col(f"own_{m}"), F.call_function("try_multiply", F.col("freq"), F.col(m)), F.lit(0).cast("long")).alias(f"v_{m}") for m in measures]
     itself = F.col("n_bytes").isNotNull()
     summed = joined.select("rid", key, "n_bytes", itself.alias("itself"), *each).groupBy("rid").agg(F.first(F.when(F.col("itself"), F.col(key)), ignorenulls=True).alias(key), F.max("n_bytes").alias("n_bytes"), *(F.sum(f"v_{m}").alias(m) for m in measures)).select(key, "n_bytes", *measures)
-    with smaller_batches(docs.sparkSession):
-        return shared.stored(summed, "sums")
-
-
-def stored(known: DataFrame, name: str) -> DataFrame:
-    with smaller_batches(known.sparkSession):
-        return shared.stored(known, name)
+    return stored(summed, "sums")

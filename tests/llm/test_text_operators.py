@@ -94,10 +94,12 @@ def test_token_counts_match_the_library(spark, docs, hot):
     assert tokencount.count(docs.limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 0])
-def test_sentencepiece_matches_the_library_and_decodes(spark, docs, hot):
+@pytest.mark.parametrize(("hot", "short", "long"), [(1 << 19, 60, 1 << 14), (0, 60, 1 << 14), (0, 4, 1 << 14), (0, 4, 30)])
+def test_sentencepiece_matches_the_library_and_decodes(spark, docs, monkeypatch, hot, short, long):
     import sentencepiece
 
+    monkeypatch.setattr(lattice, "MOST_CHARS", short)
+    monkeypatch.setattr(lattice, "LONG_CHARS", long)
     path = tokenizer_path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = lattice.Pieces.load(path)
@@ -110,6 +112,21 @@ def test_sentencepiece_matches_the_library_and_decodes(spark, docs, hot):
     assert sorted(r["n_pieces"] for r in sums) == sorted(len(library.encode(t or "")) for t in TEXTS)
 
 
+def test_sentencepiece_of_a_long_unit_and_of_clashing_columns(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=path), lattice.Pieces.load(path)
+    random = np.random.default_rng(3)
+    long = "".join(random.choice(list("aeinrst"), 3000))
+    texts = [long, long, "a" * 2000, "the end"]
+    docs = spark.createDataFrame([(t, [1], "x", "y", "z", {"a": 1}) for t in texts], "text string, ids array<int>, _row string, _own string, _key string, m map<string,int>").repartition(2)
+    out = lattice.encode(docs, pieces, hot=0)
+    assert out.columns == ["text", "_row", "_own", "_key", "m", "ids"]
+    rows = out.collect()
+    assert len(rows) == 4 and all(list(r["ids"]) == library.encode(r["text"]) and (r["_row"], r["_own"], r["_key"], r["m"]) == ("x", "y", "z", {"a": 1}) for r in rows)
+
+
 def test_sentencepiece_query_gives_whole_texts(spark, docs, tmp_path):
     import sentencepiece
 
