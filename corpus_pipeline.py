@@ -21,14 +21,23 @@ from pyspark.sql import functions as F
 
 from chronotext.llm import decontam, jaccard, langid, lattice, toxicity
 from chronotext.llm.queries import tokenizer_path, toxic_labels
-from chronotext.llm.shared import held_out, shared_dir, sweep, table
+from chronotext.llm.shared import fresh_name, held_out, shared_dir, sweep, table
+
+#: Rows of an Arrow batch, at most: of whole texts, batches of Spark's default size are tens of MB on both sides of a task.
+BATCH_ROWS = 2000
 
 
 def _alone(stage):
-    """A stage whose docs are stored, so that what the stages before have left in the shared folder can go."""
+    """A stage whose docs are stored, so that what the stages before have left in the shared folder can go.
+
+    A smaller batch size that the session has set already is kept.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         sweep(spark)
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -53,8 +62,9 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
-    back = lattice.decode(lattice.encode(docs, pieces), pieces, text="_back")
-    return back.withColumn("n_pieces", F.size("ids")).withColumn("round_trip", F.col("_back") == F.coalesce("text", F.lit(""))).drop("_back")
+    name = fresh_name(docs.columns, "_back")
+    back = lattice.decode(lattice.encode(docs, pieces), pieces, text=name)
+    return back.withColumn("n_pieces", F.size("ids")).withColumn("round_trip", F.col(name) == F.coalesce("text", F.lit(""))).drop(name)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
