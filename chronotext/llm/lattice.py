@@ -32,7 +32,7 @@ from .shared import drop, fresh_name, hottest, stored, tidy
 
 SPACE = "▁"
 MOST_CHARS, LONG_CHARS = 60, 1 << 14
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES, PART_UNITS = 1 << 19, 20_000
 #: Characters below this, and the space, have a table of pairs; others are looked up.
 _NEAR = 0x250
 
@@ -196,8 +196,9 @@ def _long_path(edges: F.Column, chars: F.Column) -> F.Column:
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n, ids) of distinct units (unit, n), a table. Only the units are shuffled, never their edges."""
     spark = units.sparkSession
-    longest = units.agg(F.max(F.char_length("unit"))).first()[0] or 0
-    dealt = units.repartition("unit").withColumn("chars", F.char_length("unit"))
+    many, longest = units.agg(F.count("*"), F.coalesce(F.max(F.char_length("unit")), F.lit(0))).first()
+    # their edges are many times their size, so the parts are counted in units
+    dealt = units.repartition(max(1, many // PART_UNITS), "unit").withColumn("chars", F.char_length("unit"))
     found = [_folded_units(dealt.where(F.col("chars") <= MOST_CHARS), pieces)]
     # an edge must lie in two words
     most = LONG_CHARS if pieces.longest <= 32 else MOST_CHARS

@@ -157,6 +157,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     and beside it the executor needs the memory for stages without Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # large buffers go back as soon as they are free
         try:
             yield from f(batches)
         finally:
@@ -168,6 +169,14 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     return run
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows from now on, for applications over whole texts; a lower setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 @contextmanager
 def smaller_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Arrow batches of at most `rows` rows while a table is made: of long texts, whole default batches are tens of MB on
