@@ -21,23 +21,15 @@ from pyspark.sql import functions as F
 
 from chronotext.llm import decontam, jaccard, langid, lattice, toxicity
 from chronotext.llm.queries import tokenizer_path, toxic_labels
-from chronotext.llm.shared import fresh_name, held_out, shared_dir, sweep, table
-
-#: Rows of an Arrow batch, at most: of whole texts, batches of Spark's default size are tens of MB on both sides of a task.
-BATCH_ROWS = 2000
+from chronotext.llm.shared import bound_batches, fresh_name, held_out, shared_dir, sweep, table
 
 
 def _alone(stage):
-    """A stage whose docs are stored, so that what the stages before have left in the shared folder can go.
-
-    A smaller batch size that the session has set already is kept.
-    """
+    """A stage whose docs are stored, so that what the stages before have left in the shared folder can go."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         sweep(spark)
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        now = int(spark.conf.get(key))
-        spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+        bound_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
