@@ -63,6 +63,14 @@ def clock(ms: Column | str, millis: bool = False) -> Column:
     return F.concat(whole, F.format_string(".%03d", t % 1000)) if millis else whole
 
 
+def clock_tenths(ms: Column | str) -> Column:
+    """mm:ss.s or h:mm:ss.s; tenths are rounded, and 59.96 seconds are written as 60.0."""
+    t = col(ms).cast("double") / 1000
+    seconds = F.lpad(F.format_string("%.1f", t % 60), 4, "0")
+    short = F.concat(F.format_string("%02d", F.floor(t % 3600 / 60)), F.lit(":"), seconds)
+    return F.when(t >= 3600, F.concat(F.floor(t / 3600).cast("string"), F.lit(":"), short)).otherwise(short)
+
+
 def expired(created: Column | str, age: str = "1 HOUR") -> Column:
     return col(created) < F.current_timestamp() - F.expr(f"INTERVAL {age}")
 

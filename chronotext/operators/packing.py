@@ -6,14 +6,18 @@ functions. A kernel sees one medium's rows in order; media are dealt over the cl
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CJK_STYLE, LATIN_STYLE, STRONG_PUNCTUATION, Style
+from .media_runs import begins, by_medium
 
 _SPACE = "\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _HAN = regex.compile("[㐀-䶿一-鿿]")
@@ -29,6 +33,8 @@ def cjk_language(lang: str | None) -> bool:
 
 
 def script(text: str) -> str:
+    if text.isascii():
+        return "latin"
     han, latin = len(_HAN.findall(text)), len(_LATIN.findall(text))
     if not han:
         return "latin"
@@ -42,6 +48,7 @@ def collapse(text: str) -> str:
     return _SPACES.sub(" ", text).strip(" ")
 
 
+@lru_cache(1 << 16)
 def visible_length(text: str) -> int:
     if text.isascii():
         return len(_SPACES.sub("", text))
@@ -71,6 +78,9 @@ def balanced(widths: list[int], gaps: list[int], lines: int) -> list[int] | None
     ends = [0]
     for w, g in zip(widths, gaps, strict=True):
         ends.append(ends[-1] + w + g)
+    if lines == 2:
+        longest = [max(ends[p] - gaps[0], ends[n] - ends[p] - gaps[p]) for p in range(1, n)]
+        return [0, longest.index(min(longest)) + 1]
     width = lambda a, b: ends[b] - ends[a] - gaps[a]
     cost: list[dict[int, int]] = [{0: 0}]
     back: list[dict[int, int]] = [{}]
@@ -165,9 +175,19 @@ def wrap_lines(text: str, style: Style, lang: str | None) -> list[str]:
     return wrap_mixed(plain, style) if kind == "mixed" and cjk_language(lang) else wrap_latin(plain, style)
 
 
+def wrapped(text: Column, lang: Column, style: Style = LATIN_STYLE, cjk_style: Style = CJK_STYLE) -> Column:
+    """wrap_lines() over a column, in the style of each row's language."""
+
+    @F.pandas_udf("array<string>")
+    def lines(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([wrap_lines(t or "", cjk_style if cjk_language(x) else style, x) for t, x in zip(texts, langs, strict=True)])
+
+    return lines(text, lang)
+
+
 def pack(texts: list[str], style: Style, lang: str | None) -> list[tuple[int, int]]:
     """Runs (first, end) of words: cut where the next word would not fit, and after strong punctuation from a quarter full on."""
-    if cjk_language(lang) or any(_HAN.search(t) for t in texts):
+    if cjk_language(lang) or _HAN.search(" ".join(texts)):
         size = lambda a, b: len(joined(texts[a:b], lang))
     else:
         ends = [0]
@@ -195,41 +215,66 @@ def _both(a: str, b: str, lang: str | None) -> str:
     return joined([x for x in (a, b) if x], lang) if a and b else a or b
 
 
-def merge_short(cues: list[dict], style: Style, lang: str | None) -> list[dict]:
-    """Cues shorter than the least duration join the next, else the one before, else last longer where there is room."""
-    out = [dict(c) for c in cues]
+#: A cue as start, end, the text to show, and the first and last (excluded) of what it is made of.
+Span = tuple[float, float, str, int, int]
+
+
+def merge_spans(spans: list[Span], style: Style, lang: str | None, said: Callable[[Span], str]) -> list[Span]:
+    """A cue shorter than the least duration joins the next, else the one before, else lasts longer where there is room.
 
-    def together(a: dict, b: dict) -> dict | None:
-        text = _both(_cue_text(a, lang), _cue_text(b, lang), lang)
-        if b["end_ms"] - a["start_ms"] > style.max_duration_ms or len(text) > style.capacity:
+    `said` gives the text of a cue as it goes into another.
+    """
+
+    def together(a: Span, b: Span) -> Span | None:
+        if b[1] - a[0] > style.max_duration_ms:
             return None
-        words = a["words"] + b["words"] if a["words"] is not None and b["words"] is not None else None
-        return {"start_ms": a["start_ms"], "end_ms": b["end_ms"], "lines": wrap_lines(text, style, lang), "words": words}
-
-    at = 0
-    while at < len(out):
-        cue = out[at]
-        if cue["end_ms"] - cue["start_ms"] >= style.min_duration_ms:
-            at += 1
-        elif at + 1 < len(out) and (new := together(cue, out[at + 1])):
-            out[at : at + 2] = [new]
-        elif at and (new := together(out[at - 1], cue)):
-            at -= 1
-            out[at : at + 2] = [new]
+        text = _both(said(a), said(b), lang)
+        return None if len(text) > style.capacity else (a[0], b[1], text, a[3], b[4])
+
+    done: list[Span] = []  # what stands before the cue at hand
+    todo = spans[::-1]
+    while todo:
+        cue = todo.pop()
+        if cue[1] - cue[0] >= style.min_duration_ms:
+            done.append(cue)
+        elif todo and (new := together(cue, todo[-1])):
+            todo[-1] = new
+        elif done and (new := together(done[-1], cue)):
+            done.pop()
+            todo.append(new)
         else:
-            room = cue["start_ms"] + style.max_duration_ms
-            if at + 1 < len(out):
-                room = min(room, out[at + 1]["start_ms"] - style.min_gap_ms)
-            cue["end_ms"] = max(cue["end_ms"], min(cue["start_ms"] + style.min_duration_ms, room))
-            at += 1
+            room = cue[0] + style.max_duration_ms
+            if todo:
+                room = min(room, todo[-1][0] - style.min_gap_ms)
+            done.append((cue[0], max(cue[1], min(cue[0] + style.min_duration_ms, room)), *cue[2:]))
+    return done
+
+
+def merge_short(cues: list[dict], style: Style, lang: str | None) -> list[dict]:
+    """merge_spans() over cues with lines and words; a merged cue has words only if all its parts have."""
+    spans = [(c["start_ms"], c["end_ms"], _cue_text(c, lang), i, i + 1) for i, c in enumerate(cues)]
+
+    def words_of(a: int, b: int) -> list[dict] | None:
+        return None if any(c["words"] is None for c in cues[a:b]) else [w for c in cues[a:b] for w in c["words"]]
+
+    def said(s: Span) -> str:
+        if words := words_of(s[3], s[4]):
+            return joined([w["text"] for w in words], lang)
+        return s[2] if s[4] - s[3] == 1 else joined(wrap_lines(s[2], style, lang), lang)
+
+    out = []
+    for start, end, text, a, b in merge_spans(spans, style, lang, said):
+        if b - a == 1:
+            out.append(cues[a] | {"start_ms": start, "end_ms": end})
+        else:
+            out.append({"start_ms": start, "end_ms": end, "lines": wrap_lines(text, style, lang), "words": words_of(a, b)})
     return out
 
 
-def group_blocks(texts: list[str], most: int = 6, most_chars: int = 400) -> list[int]:
-    """The block of each text: consecutive ones, up to `most` and `most_chars` visible UTF-16 units together."""
+def blocks_of(sizes: list[int], most: int = 6, most_chars: int = 400) -> list[int]:
+    """The block of each size: consecutive ones, up to `most` and `most_chars` together."""
     out, block, count, size = [], 0, 0, 0
-    for t in texts:
-        n = len(_SPACES.sub("", t).encode("utf-16-le")) // 2
+    for n in sizes:
         if count and (count >= most or size + n > most_chars):
             block, count, size = block + 1, 0, 0
         out.append(block)
@@ -237,6 +282,11 @@ def group_blocks(texts: list[str], most: int = 6, most_chars: int = 400) -> list
     return out
 
 
+def group_blocks(texts: list[str], most: int = 6, most_chars: int = 400) -> list[int]:
+    """The block of each text, by visible UTF-16 units."""
+    return blocks_of([len(_SPACES.sub("", t).encode("utf-16-le")) // 2 for t in texts], most, most_chars)
+
+
 def split_proportionally(text: str, parts: list[str]) -> list[str]:
     """A text cut in as many pieces as `parts`, by their visible lengths, at the nearest white space where one serves."""
     text = text.strip()
@@ -267,25 +317,40 @@ CUE_SCHEMA = "cue int, start_ms double, end_ms double, lines array<string>, word
 def packed_cues(words: DataFrame, by: list[str], segment: str, place: str, lang: str, style: Style = LATIN_STYLE, cjk_style: Style = CJK_STYLE, merge: bool = True) -> DataFrame:
     """Cues from words with times (by, segment, place, lang, text, start_ms, end_ms), before overlaps are mended.
 
-    A medium's words are one group; groups are dealt over the cluster.
+    A cue is a run of words; the words of all cues stay one Arrow array, of which each cue has a part.
     """
     types = dict(words.dtypes)
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([segment, place], kind="stable")
-        code = group[lang].iloc[0]
-        use = cjk_style if cjk_language(code) else style
-        cues: list[dict] = []
-        for _, part in group.groupby(segment, sort=True):
-            texts, rows = part["text"].tolist(), part[["text", "start_ms", "end_ms"]].to_dict("records")
-            for a, b in pack(texts, use, code):
-                cues.append({"start_ms": rows[a]["start_ms"], "end_ms": rows[b - 1]["end_ms"], "lines": wrap_lines(joined(texts[a:b], code), use, code), "words": rows[a:b]})
-        if merge:
-            cues = merge_short(cues, use, code)
-        keys = {k: group[k].iloc[0] for k in by}
-        return pd.DataFrame([keys | {"cue": i} | c for i, c in enumerate(cues)], columns=[*by, "cue", "start_ms", "end_ms", "lines", "words"])
-
-    return words.select(*by, segment, place, lang, "text", "start_ms", "end_ms").groupBy(*by).applyInPandas(build, ", ".join(f"{k} {types[k]}" for k in by) + ", " + CUE_SCHEMA)
+    def build(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        texts, starts, ends, codes = rows["text"].to_pylist(), rows["start_ms"].to_pylist(), rows["end_ms"].to_pylist(), rows[lang].to_pylist()
+        parts = np.union1d(begins(rows["_segment"]), at).tolist()
+        spans, medium, number, lines, where = [], [], [], [], 0
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            code = codes[a]
+            use = cjk_style if cjk_language(code) else style
+            own = []
+            while parts[where] < b:
+                first, last = parts[where], parts[where + 1]
+                said = texts[first:last]
+                own += [(starts[first + i], ends[first + j - 1], joined(said[i:j], code), first + i, first + j) for i, j in pack(said, use, code)]
+                where += 1
+            if merge:
+                own = merge_spans(own, use, code, lambda s, code=code: joined(texts[s[3] : s[4]], code))
+            spans += own
+            lines += [wrap_lines(s[2], use, code) for s in own]
+            medium += [a] * len(own)
+            number += range(len(own))
+        first = pa.array([s[3] for s in spans] + [len(texts)], pa.int32())
+        column = lambda c, t: rows[c].combine_chunks().cast(t) if isinstance(rows[c], pa.ChunkedArray) else rows[c].cast(t)
+        timed = pa.StructArray.from_arrays([column("text", pa.string()), column("start_ms", pa.float64()), column("end_ms", pa.float64())], ["text", "start_ms", "end_ms"])
+        keys = [rows[k].take(pa.array(medium, pa.int64())).combine_chunks() for k in by]
+        return pa.RecordBatch.from_arrays(
+            [*keys, pa.array(number, pa.int32()), pa.array([s[0] for s in spans], pa.float64()), pa.array([s[1] for s in spans], pa.float64()), pa.array(lines, pa.list_(pa.string())), pa.ListArray.from_arrays(first, timed)],
+            [*by, "cue", "start_ms", "end_ms", "lines", "words"],
+        )
+
+    told = words.select(*by, F.col(place).alias("_place"), F.col(segment).alias("_order"), F.xxhash64(segment).alias("_segment"), lang, "text", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"))
+    return by_medium(told, by, ["_order", "_place"], build, ", ".join(f"`{k}` {types[k]}" for k in by) + ", " + CUE_SCHEMA)
 
 
 def cps(lines: Column | str, start: Column | str, end: Column | str) -> Column:
@@ -298,17 +363,16 @@ def cps(lines: Column | str, start: Column | str, end: Column | str) -> Column:
 
 
 def cue_blocks(cues: DataFrame, by: list[str], order: str, text: str, most: int = 6, most_chars: int = 400) -> DataFrame:
-    """`cues` with their block, by a fold over each medium's texts in order."""
+    """`cues` with their block, from one pass over each medium's texts in order."""
     from ..functions.text import utf16_length
 
-    held = cues.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), utf16_length(F.coalesce(F.col(text), F.lit("")), spaces=False).alias("n")))).alias("_t"))
-    start = F.expr("struct(0 as block, 0 as count, 0 as size, cast(array() as array<int>) as out)")
+    names = cues.columns
 
-    def step(a, t):
-        full = (a["count"] > 0) & ((a["count"] >= most) | (a["size"] + t["n"] > most_chars))
-        block = F.when(full, a["block"] + 1).otherwise(a["block"])
-        return F.struct(block.alias("block"), F.when(full, 1).otherwise(a["count"] + 1).alias("count"), F.when(full, t["n"]).otherwise(a["size"] + t["n"]).alias("size"), F.concat(a["out"], F.array(block)).alias("out"))
+    def number(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        sizes, out = rows["_size"].to_pylist(), []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out += blocks_of(sizes[a:b], most, most_chars)
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in names), pa.array(out, pa.int32())], [*names, "block"])
 
-    numbered = held.withColumn("_b", F.aggregate("_t", start, step, lambda a: a["out"]))
-    zipped = numbered.select(*by, F.explode(F.arrays_zip("_t", "_b")).alias("z")).select(*by, F.col("z._t.o").alias(order), F.col("z._b").alias("block"))
-    return cues.join(zipped, [*by, order])
+    told = cues.withColumn("_size", utf16_length(F.coalesce(F.col(text), F.lit("")), spaces=False))
+    return by_medium(told, by, [order], number, ", ".join(f"`{c}` {t}" for c, t in [*cues.dtypes, ("block", "int")]))

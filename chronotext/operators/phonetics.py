@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import HAN, col, halfwidth
+
 # ARPAbet to IPA.
 CONSONANTS = {"B": "b", "CH": "tʃ", "D": "d", "DH": "ð", "F": "f", "G": "ɡ", "HH": "h", "JH": "dʒ", "K": "k", "L": "l", "M": "m", "N": "n", "NG": "ŋ", "P": "p", "R": "ɹ", "S": "s", "SH": "ʃ", "T": "t", "TH": "θ", "V": "v", "W": "w", "Y": "j", "Z": "z", "ZH": "ʒ"}
 VOWELS = {"AA": "ɑ", "AE": "æ", "AO": "ɔ", "AW": "aʊ", "AY": "aɪ", "EH": "ɛ", "EY": "eɪ", "IH": "ɪ", "IY": "i", "OW": "oʊ", "OY": "ɔɪ", "UH": "ʊ", "UW": "u"}
@@ -199,6 +201,35 @@ def pinyin(text: str, reading: Callable[[str], str]) -> str:
     return tidy("".join(out))
 
 
+def tidied(reading: Column) -> Column:
+    """tidy() as a column."""
+    plain = F.regexp_replace(halfwidth(reading), r"\s+([,.!?;:、。)\]}”’」』》】])", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"([(\[{“‘「『《【])\s+", "$1"), r"\s+", " "))
+
+
+def pinyin_of(text: Column | str, readings: dict[str, str]) -> Column:
+    """Pinyin of texts from the readings of single characters (a small dictionary); other characters stay, sandhi ends at marks and spaces."""
+    table = F.create_map(*(F.lit(x) for pair in readings.items() for x in pair))
+
+    def said(part: Column) -> Column:
+        syllables = F.transform(F.regexp_extract_all(part, F.lit(f"[{HAN}]|[^{HAN}]+"), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return third_tone(F.array_join(syllables, " "))
+
+    parts = F.regexp_extract_all(col(text), F.lit(r"\s+|[^\p{L}\p{N}\s]+|[\p{L}\p{N}]+"), F.lit(0))
+    spaced = F.transform(parts, lambda p: F.when(p.rlike(r"^\s"), " ").when(p.rlike(r"^[\p{L}\p{N}]"), said(p)).otherwise(F.concat(F.lit(" "), p, F.lit(" "))))
+    return tidied(F.array_join(spaced, ""))
+
+
+def pinyin_of_words(words: Column | str, readings: dict[str, str], text: str = "text") -> Column:
+    """One reading for each word of an array, by place."""
+    return F.transform(col(words), lambda w: pinyin_of(w[text], readings))
+
+
+def annotate_pinyin(cues: DataFrame, readings: dict[str, str], lines: str = "lines") -> DataFrame:
+    """Cues with `pinyin` of their lines."""
+    return cues.withColumn("pinyin", pinyin_of(F.array_join(lines, " "), readings))
+
+
 def annotate(cues: DataFrame, lang: str, dictionary: dict[str, str] | None = None) -> DataFrame:
     """Cues with `ipa` of their lines."""
     return cues.withColumn("ipa", ipa(F.array_join("lines", " "), F.col(lang), dictionary))

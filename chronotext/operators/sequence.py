@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, visible_length
 from ..functions.timing import rounded
+from . import quality
 
 
 def _over(by: list[str], order: list[str]):
@@ -163,6 +164,25 @@ def snap_to_regions(segments: DataFrame, regions: DataFrame, by: list[str], orde
     return repaired.withColumn("words", F.transform("words", raised))
 
 
+def normalize_segments(segments: DataFrame, words: DataFrame, regions: DataFrame, by: list[str], segment: str, place: str, least_ms: float = 50, tolerance: float = 250, deloop: bool = True) -> DataFrame:
+    """Recognised segments cleaned: (by, segment, text, start_ms, end_ms, words).
+
+    Words (by, segment, place, text, start_ms, end_ms) that are too short go, times are smoothed and drawn to the edges of
+    speech, boilerplate goes, and a segment with words takes text and times from them. One without keeps its text, its loops
+    (with `deloop`) said once, and its words are null.
+    """
+    key = [*by, segment]
+    kept = smooth_timings(drop_micro_words(words, least_ms).select(*key, place, "text", "start_ms", "end_ms"), key, [place])
+    entry = F.struct(F.col(place).alias("o"), F.col("text").alias("t"), F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e"))
+    held = kept.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_w")).select(*key, F.transform("_w", lambda w: F.struct(w["t"].alias("text"), w["s"].alias("start_ms"), w["e"].alias("end_ms"))).alias("words"))
+    plain = quality.deloop("text") if deloop else F.col("text")
+    ready = segments.select(*key, "text", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms")).join(held, key, "left")
+    said = ready.withColumn("text", F.when(F.col("words").isNotNull(), F.array_join(F.transform("words", lambda w: w["text"]), " ")).otherwise(plain))
+    snapped = snap_to_regions(said, regions, by, [segment], tolerance).where(~quality.hallucinated("text"))
+    ends = {"start_ms": F.element_at("words", 1)["start_ms"], "end_ms": F.element_at("words", -1)["end_ms"]}
+    return snapped.withColumns({c: F.when(F.col("words").isNotNull(), v).otherwise(F.col(c)) for c, v in ends.items()})
+
+
 def zip_by_place(left: DataFrame, right: DataFrame, by: list[str], place: str, **fallback: Column) -> DataFrame:
     """Rows of equal place together; where the right has none, its columns take the fallback."""
     joined = left.join(right, [*by, place], "left")

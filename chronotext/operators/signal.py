@@ -63,7 +63,7 @@ def normalize_loudness(samples: Column | str, target_db: float = TARGET_DB) -> C
 def resample_linear(samples: Column | str, source: int, target: int) -> Column:
     s, n = _col(samples), F.size(_col(samples))
     count = F.floor(n * F.lit(target / source) + 0.5).cast("int")
-    at = lambda i: F.element_at(s, F.least(F.greatest(i, F.lit(0)), n - 1).cast("int") + 1)
+    at = lambda i: F.element_at(s, F.least(F.greatest(i, F.lit(0)), n - 1).cast("int") + 1).cast("double")
 
     def value(i):
         place = i * F.lit(source / target)
@@ -138,11 +138,27 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
+def fft(re: np.ndarray, im: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Real and imaginary part of the spectrum; the length must be a power of two."""
+    if len(re) & (len(re) - 1) or not len(re):
+        raise ValueError("the length must be a power of two")
+    out = np.fft.fft(np.asarray(re, np.float64) + 1j * (np.zeros(len(re)) if im is None else np.asarray(im, np.float64)))
+    return out.real, out.imag
+
+
+def ifft(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signal of a spectrum, divided by its length."""
+    if len(re) & (len(re) - 1) or not len(re):
+        raise ValueError("the length must be a power of two")
+    out = np.fft.ifft(np.asarray(re, np.float64) + 1j * np.asarray(im, np.float64))
+    return out.real, out.imag
+
+
 def fft_power(samples: np.ndarray) -> np.ndarray:
     """Power of the bins up to half the rate; the length must be a power of two."""
     if len(samples) & (len(samples) - 1) or not len(samples):
         raise ValueError("the length must be a power of two")
-    return np.abs(np.fft.rfft(samples)) ** 2
+    return np.abs(np.fft.rfft(np.asarray(samples, np.float64))) ** 2
 
 
 def high_pass(x: np.ndarray, rate: float, hz: float) -> np.ndarray:
@@ -279,3 +295,40 @@ def apply(samples: Column | str, kernel: Callable[[np.ndarray], np.ndarray], *mo
         return pd.Series([None if row[0] is None else np.asarray(kernel(np.asarray(row[0], np.float32), *row[1:]), np.float32) for row in zip(*columns, strict=True)])
 
     return run(samples, *more)
+
+
+def measure(samples: Column | str, kernel: Callable[..., float | None], *more: Column | str) -> Column:
+    """A kernel that gives one number for a column of sample arrays."""
+
+    @F.pandas_udf("double")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if row[0] is None else kernel(np.asarray(row[0], np.float32), *row[1:]) for row in zip(*columns, strict=True)], dtype="float64")
+
+    return run(samples, *more)
+
+
+#: Below this ratio of speech to the rest a signal is denoised; voices in music are heard above this frequency.
+NOISY_DB, VOICE_HZ = 10.0, 80.0
+
+
+def isolated(samples: Column | str, channels: Column | str, rate: Column | str) -> Column:
+    """What the first two channels share above VOICE_HZ; of fewer channels the samples above it."""
+
+    def kernel(x: np.ndarray, sides, hz: float) -> np.ndarray:
+        if sides is None or len(sides) < 2:
+            return high_pass(x, hz, VOICE_HZ)
+        return centre_channel(*(high_pass(np.asarray(s, np.float32), hz, VOICE_HZ) for s in sides[:2]), hz)
+
+    return apply(samples, kernel, channels, rate)
+
+
+def prepared(media: DataFrame, by: list[str], samples: str = "samples", rate: str = "rate", channels: str = "channel_data", vocals: bool = False) -> DataFrame:
+    """`media` ready for a recogniser: voices apart from music (with `vocals`), of even loudness, and denoised where the speech
+    stands less than NOISY_DB above the rest; `snr_db` is what was measured."""
+    if vocals:
+        sides = F.col(channels) if channels in media.columns else F.lit(None).cast("array<array<float>>")
+        media = media.withColumn(samples, isolated(samples, sides, rate))
+    loud = media.withColumn(samples, normalize_loudness(samples))
+    heard = speech_regions(loud, by, samples, rate).groupBy(*by).agg(F.sort_array(F.collect_list(F.array("start_ms", "end_ms"))).alias("_regions"))
+    told = loud.join(heard, by, "left").withColumn("snr_db", measure(samples, lambda x, hz, r: snr_db(x, hz, [] if r is None else [tuple(p) for p in r]), rate, "_regions")).drop("_regions")
+    return told.withColumn(samples, F.when(F.col("snr_db") < NOISY_DB, apply(samples, lambda x, hz, snr: denoise(x, hz) if snr is not None and snr < NOISY_DB else x, rate, "snr_db")).otherwise(F.col(samples)))

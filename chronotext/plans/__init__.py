@@ -1 +1,6 @@
+"""Registered queries and the entry API."""
 
+from . import catalogue, catalogue_jobs, catalogue_text  # noqa: F401 (registering)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

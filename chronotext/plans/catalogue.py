@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import streams, text, timing
@@ -12,20 +10,9 @@ from ..operators import packing, phonetics, quality, sequence, signal, stats, tr
 from ..sources import sinks
 from ..sources.tables import intervals, segments, table, turns
 from ..streaming import live
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+__all__ = ["ORACLES", "QUERIES"]
 
 _LINES = r"""
 lines AS (SELECT doc_id, lang, line, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text
@@ -197,11 +184,6 @@ def _cues(spark, sf_dir, merge=True):
     return sequence.reindex(sequence.fix_overlaps(made, ["doc_id"], ["cue"], 80), ["doc_id"], ["cue"]).drop("cue")
 
 
-@query()
-def greedy_chunks(spark, sf_dir):
-    return _cues(spark, sf_dir, merge=False).select("doc_id", "index", "start_ms", "end_ms", F.size("words").alias("n_words"), F.array_join("lines", "\n").alias("text"))
-
-
 @query()
 def build_cues(spark, sf_dir):
     return _cues(spark, sf_dir).select("doc_id", "index", "start_ms", "end_ms", F.size("words").alias("n_words"), F.array_join("lines", "\n").alias("text"))
@@ -255,13 +237,6 @@ def subtitles_plain_text(spark, sf_dir):
     return sinks.srt(_line_cues(spark, sf_dir), ["doc_id"]).select("doc_id", text.plain_text("srt").alias("plain"))
 
 
-@query()
-def study_document(spark, sf_dir):
-    cues = _line_cues(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    timed = cues.withColumn("words", F.array(F.struct(F.element_at("lines", 1).alias("text"), "start_ms", "end_ms")))
-    return sinks.study(timed, ["doc_id"], "lang")
-
-
 _NOISE = r"""m AS (SELECT doc_id, seg_no, text, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM seg),
 k AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS w, length(regexp_replace(text, '[\s\p{P}\p{S}]+', '', 'g')) AS clean FROM m)"""
 
@@ -272,16 +247,6 @@ def hallucination_rules(spark, sf_dir):
     return segments(spark, sf_dir).select("doc_id", "seg_no", quality.low_diversity("text").alias("low_diversity"), (clean == quality.NOISE_CHARS).alias("one_char"))
 
 
-@query()
-def hallucination_filter(spark, sf_dir):
-    return segments(spark, sf_dir).where(~quality.hallucinated("text")).select("doc_id", "seg_no", "text")
-
-
-@query()
-def deloop_text(spark, sf_dir):
-    return segments(spark, sf_dir).select("doc_id", "seg_no", quality.deloop("text").alias("text"))
-
-
 @query(f"""WITH {_LINES}, {_NOISE}, f AS (SELECT doc_id, max(CASE WHEN len(w) >= 4 AND len(list_distinct(w)) <= greatest(1, len(w) // 3) THEN 1 ELSE 0 END) AS flagged FROM k GROUP BY doc_id)
 SELECT l.quality, f.flagged, count(*) AS n FROM f JOIN labels l USING (doc_id) GROUP BY ALL""")
 def quality_confusion(spark, sf_dir):
@@ -345,7 +310,13 @@ def _windows(spark, sf_dir, count, window):
     return words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), count(n).cast("int")), lambda i: window(w, n, i))).alias("x")).select("doc_id", "x.*")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, CAST(ceil(len(w) / 5.0) AS BIGINT) + 1)) AS k FROM t WHERE len(w) > 0),
+p AS (SELECT doc_id, k, greatest(5 * (k - 2), 0) AS skip, least(5 * k, n) - greatest(5 * (k - 2), 0) AS m, least(5 * (k - 1), n) - greatest(5 * (k - 2), 0) AS mp, w[greatest(5 * (k - 2), 0) + 1:least(5 * k, n)] AS part FROM k),
+h AS (SELECT doc_id, k, skip, CASE WHEN k % 2 = 0 THEN list_concat(part[1:m - 1], ['xx' || k]) ELSE part END AS w, CASE WHEN k = 1 THEN [] WHEN k % 2 = 1 THEN list_concat(part[1:mp - 1], ['xx' || (k - 1)]) ELSE part[1:mp] END AS p FROM p),
+q AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS a, list_transform(p, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS b FROM h),
+c AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS c FROM q)
+SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(skip AS INTEGER) AS n_before, array_to_string(w[1:c], ' ') AS committed FROM c""")
 def stable_prefix_whole(spark, sf_dir):
     """What h_(k-1) and h_k share for every k of a whole text, h_k being its first 5 k words, the last one altered when k is even.
 
@@ -365,7 +336,12 @@ def stable_prefix_whole(spark, sf_dir):
     return told.select("doc_id", "k", "n_before", streams.stable_prefix("previous", "hypothesis").alias("committed"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, CAST(greatest(ceil((len(w) - 10) / 7.0), 0) AS BIGINT) + 2)) AS i FROM t WHERE len(w) > 0),
+h AS (SELECT doc_id, i, CASE WHEN i = 1 THEN [] ELSE w[7 * i - 13:7 * i - 4] END AS a, w[7 * i - 6:7 * i + 3] AS b FROM i),
+m AS (SELECT *, list_transform(a, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS x, list_transform(b, lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS y FROM h),
+k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), lambda n: x[len(x) - n + 1:len(x)] = y[1:n])), 0) AS k FROM m)
+SELECT doc_id, CAST(i AS INTEGER) AS "window", array_to_string(b[k + 1:], ' ') AS rest FROM k""")
 def strip_overlap_whole(spark, sf_dir):
     """Windows of 10 words at step 7 over whole texts, each without what the one before ends with; the first is whole."""
 
@@ -412,21 +388,6 @@ def channel_correlation(spark, sf_dir):
     return signal.correlation(pairs, ["vec_id"], "l", "r").withColumn("correlation", F.round("correlation", 5))
 
 
-@query()
-def fft_power(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", signal.apply("embedding", signal.fft_power).alias("power"))
-
-
-@query()
-def highpass(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", signal.apply("embedding", lambda x: signal.high_pass(x, 16000, 100)).alias("samples"))
-
-
-@query()
-def resample(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", signal.apply("embedding", lambda x: signal.resample_sinc(x, 16000, 8000)).alias("samples"))
-
-
 @query()
 def translate_blocks(spark, sf_dir):
     return translate.translate_cues(turns(spark, sf_dir), ["conv_id"], "turn", "text", "en", "es")

@@ -38,6 +38,11 @@ def vtt(cues: DataFrame, by: list[str], index: str = "index", media: DataFrame |
     return out if media is None else media.select(*by).join(out, by, "left").withColumn("vtt", F.coalesce("vtt", F.lit("WEBVTT\n\n")))
 
 
+def plain(cues: DataFrame, by: list[str], index: str = "index") -> DataFrame:
+    """The text of each medium, a line for each cue."""
+    return _document(cues, by, index, F.array_join("lines", " "), "\n", "txt").withColumn("txt", F.concat("txt", F.lit("\n")))
+
+
 def _stamp(ms: float) -> str:
     t = int(max(ms, 0))
     return f"{t // 3600000:02d}:{t // 60000 % 60:02d}:{t // 1000 % 60:02d}.{t % 1000:03d}"
@@ -89,23 +94,31 @@ def ass(cues: DataFrame, by: list[str], index: str = "index", style: ExportStyle
     return _document(cues, by, index, line, "\n", "ass").withColumn("ass", F.concat(head, F.col("ass"), F.lit("\n")))
 
 
-def study(cues: DataFrame, by: list[str], language: str, index: str = "index", translations: DataFrame | None = None) -> DataFrame:
-    """The nested study document as JSON: cues with words; pinyin only for Chinese, ipa only for English and Spanish.
+def study(cues: DataFrame, by: list[str], language: str, index: str = "index", translations: DataFrame | None = None, duration: Column | None = None) -> DataFrame:
+    """The nested study document as JSON: version, language, duration, cues with words, translations by language.
 
-    `translations` has (by, target, index, text), one row per cue and language.
+    Readings (columns pinyin and ipa, where there are any) stand for Chinese, and for English and Spanish. `translations`
+    has (by, target, index, start_ms, end_ms, lines), one row per cue and language; `duration` is an aggregate, by default
+    the last end.
     """
-    lang = F.lower(F.col(language))
-    word = F.transform(F.coalesce("words", F.array().cast("array<struct<text:string,start_ms:double,end_ms:double>>")), lambda w: F.struct(w["text"].alias("text"), w["start_ms"].alias("startMs"), w["end_ms"].alias("endMs")))
-    have = set(cues.columns)
-    optional = [F.when(lang.startswith("zh"), F.col("pinyin")).alias("pinyin")] * ("pinyin" in have) + [F.when(lang.startswith("en") | lang.startswith("es"), F.col("ipa")).alias("ipa")] * ("ipa" in have)
-    entry = F.struct(F.col(index).alias("index"), F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs"), F.array_join("lines", " ").alias("text"), word.alias("words"), *optional)
-    out = cues.withColumn("_e", entry).groupBy(*by, language).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("o"), F.to_json("_e").alias("j")))), lambda x: x["j"]).alias("_cues"))
+    none = F.array().cast("array<struct<text:string,start_ms:double,end_ms:double>>")
+
+    def entry(columns: set[str], lang: Column) -> Column:
+        word = F.transform(F.coalesce("words", none) if "words" in columns else none, lambda w: F.struct(w["text"].alias("text"), w["start_ms"].alias("startMs"), w["end_ms"].alias("endMs")))
+        optional = [F.when(lang.rlike("^(?i)zh"), F.col("pinyin")).alias("pinyin")] * ("pinyin" in columns) + [F.when(lang.rlike("^(?i)(en|es)"), F.col("ipa")).alias("ipa")] * ("ipa" in columns)
+        return F.struct(F.col("start_ms").alias("startMs"), F.col("end_ms").alias("endMs"), F.col("lines").alias("lines"), word.alias("words"), *optional)
+
+    def in_order(e: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("o"), F.to_json(e).alias("j")))), lambda x: x["j"])
+
+    out = cues.groupBy(*by, language).agg(in_order(entry(set(cues.columns), F.col(language))).alias("_cues"), (F.max("end_ms") if duration is None else duration).alias("_d"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r"^\{\"x\":(.*)\}$", 1)
     if translations is not None:
-        each = translations.groupBy(*by, "target").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("o"), F.to_json(F.struct(F.col(index).alias("index"), F.col("text").alias("text"))).alias("j")))), lambda x: x["j"]).alias("c"))
-        maps = each.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "target", F.lit('":{"cues":['), F.array_join("c", ","), F.lit("]}")))), ","), F.lit("}")).alias("_tr"))
-        out = out.join(maps, by, "left")
-    tr = F.coalesce("_tr", F.lit("{}")) if translations is not None else F.lit("{}")
-    return out.select(*by, F.concat(F.lit('{"version":1,"language":"'), F.col(language), F.lit('","cues":['), F.array_join("_cues", ","), F.lit('],"translations":'), tr, F.lit("}")).alias("study"))
+        each = translations.groupBy(*by, "target").agg(in_order(entry(set(translations.columns), F.col("target"))).alias("c"))
+        said = F.concat(quoted("target"), F.lit(':{"cues":['), F.array_join("c", ","), F.lit("]}"))
+        out = out.join(each.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(said)), ",").alias("_tr")), by, "left")
+    tr = F.coalesce("_tr", F.lit("")) if translations is not None else F.lit("")
+    return out.select(*by, F.concat(F.lit('{"version":1,"language":'), quoted(language), F.lit(',"durationMs":'), F.col("_d").cast("string"), F.lit(',"cues":['), F.array_join("_cues", ","), F.lit('],"translations":{'), tr, F.lit("}}")).alias("study"))
 
 
 def pretty(document: str) -> str:
@@ -119,6 +132,15 @@ def with_suffix(path: Column | str, suffix: str) -> Column:
     return F.when(p.rlike(r"\.[^./\\]+$"), F.regexp_replace(p, r"(\.[^./\\]+)$", f"{suffix}$1")).otherwise(F.concat(p, F.lit(suffix)))
 
 
+def write_files(documents: DataFrame, path: str, file: str, column: str, most_files: int = 200) -> None:
+    """Each document as a text file named by its `file` column below `path`: one folder for each, as Spark writes folders.
+
+    Documents are dealt by file, so a folder holds one part; `most_files` parts are written at a time.
+    """
+    rows = documents.select(F.regexp_replace(F.col(file), "^/+", "").alias("file"), F.col(column).alias("value"))
+    rows.repartition(most_files, "file").write.mode("overwrite").partitionBy("file").option("lineSep", "\n\n").text(path)
+
+
 def write_documents(documents: DataFrame, path: str, column: str, language: str | None = None) -> None:
     """Documents as text files, a folder for each language if there is one."""
     rows = documents.select(F.col(column).alias("value"), *([F.col(language).alias("language")] if language else []))

@@ -7,31 +7,49 @@ that the caller applies before; what is kept here is the state machine. `batch`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.media_runs import by_medium
+
 SILENCE_MS, MOST_MS, UPDATE_MS, TAIL_MS = 600.0, 7000.0, 1000.0, 200.0
 UPDATES = "session_id string, seq long, kind string, consumed_ms double, speech_start_ms double, speech_end_ms double, hypothesis string"
 EVENTS = "session_id string, seq long, type string, cue_id int, text string, start_ms double, end_ms double"
 #: Control messages of a client. Fixed values.
 CONTROL = "type string, language string, model string, translateTo string, sampleRate int"
 KINDS = ["start", "flush", "stop"]
+LIVE_LANGUAGES, LIVE_MODELS, LIVE_TARGETS = ["auto", "es", "en", "zh"], ["tiny", "base", "small"], ["es", "en", "zh"]
 
 _EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
 
 def control_message(value: F.Column) -> F.Column:
-    """A client's JSON message as a struct, or null if it is none or of no known type."""
+    """A client's JSON message as a struct, or null if it is none or of no known type; client_message() also checks what it names."""
     parsed = F.from_json(value.cast("string"), CONTROL)
     return F.when(parsed["type"].isin(KINDS), parsed)
 
 
+def client_message(value: F.Column) -> F.Column:
+    """A client's JSON message as a struct; null if it is no object, of no known type, or names a language, model or target that is not known.
+
+    Only `start` carries more than its type.
+    """
+    raw = value.cast("string")
+    m = F.from_json(raw, CONTROL)
+    known = m["language"].isin(LIVE_LANGUAGES) & m["model"].isin(LIVE_MODELS) & (m["translateTo"].isNull() | m["translateTo"].isin(LIVE_TARGETS))
+    plain = F.struct(m["type"].alias("type"), *(F.lit(None).cast("string").alias(f) for f in ("language", "model", "translateTo")), F.lit(None).cast("int").alias("sampleRate"))
+    said = F.when(m["type"].isin("flush", "stop"), plain).when((m["type"] == "start") & known, m)
+    return F.when(raw.rlike(r"^\s*\{"), said)
+
+
 def _key(token: str) -> str:
     return _EDGES.sub("", token.lower())
 
@@ -50,6 +68,61 @@ def strip_overlap(before: str, after: str) -> str:
     return " ".join(after.split()[n:])
 
 
+@dataclass
+class Buffer:
+    """The audio of a session that may still be decoded: what `most_ms` hold, at most, and where it begins."""
+
+    rate: int
+    most_ms: float = 29_000.0
+    begin: int = 0  # samples that have been let go
+    samples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def append(self, frame: np.ndarray) -> None:
+        self.samples = np.concatenate([self.samples, np.asarray(frame, np.float32)])
+        self.trim(self.most_ms)
+
+    def trim(self, keep_ms: float) -> None:
+        """Lets go of all but the last `keep_ms`."""
+        gone = max(0, len(self.samples) - int(keep_ms * self.rate / 1000))
+        self.begin, self.samples = self.begin + gone, self.samples[gone:]
+
+    def window(self, most_ms: float) -> tuple[np.ndarray, float]:
+        """The last `most_ms` of the audio and the time at which they begin."""
+        n = min(len(self.samples), int(most_ms * self.rate / 1000))
+        return self.samples[len(self.samples) - n :], (self.begin + len(self.samples) - n) / self.rate * 1000
+
+    @property
+    def consumed_ms(self) -> float:
+        return (self.begin + len(self.samples)) / self.rate * 1000
+
+
+def frames_to_updates(frames: DataFrame, recogniser: Callable, rate: int = 16_000, partial_ms: float = 15_000.0, final_ms: float = 29_000.0) -> DataFrame:
+    """Updates (UPDATES) of a table of frames (session_id, seq, kind, samples): each session's audio in order, decoded over bounded windows.
+
+    The recogniser takes samples and a rate and gives (text, speech start, speech end) in ms of the window, or None; a flush
+    or stop is decoded over `final_ms`, any other frame over `partial_ms`.
+    """
+
+    def decode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held, out = Buffer(rate, final_ms), []
+        for r in rows.sort_values("seq", kind="stable").to_dict("records"):
+            if r["samples"] is not None:
+                held.append(r["samples"])
+            window, at = held.window(final_ms if r["kind"] in ("flush", "stop") else partial_ms)
+            heard = recogniser(window, rate) if len(window) else None
+            text, a, b = heard if heard else ("", None, None)
+            out.append((key[0], r["seq"], r["kind"], held.consumed_ms, None if a is None else at + a, None if b is None else at + b, text))
+        return pd.DataFrame(out, columns=["session_id", "seq", "kind", "consumed_ms", "speech_start_ms", "speech_end_ms", "hypothesis"])
+
+    return frames.groupBy("session_id").applyInPandas(decode, UPDATES)
+
+
+def write_events(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """The events of a stream as JSON lines below `path`; `trigger` as for a stream's trigger()."""
+    lines = stream.select("session_id", F.to_json(F.struct(*[c for c in stream.columns if c != "session_id"])).alias("value"))
+    return lines.writeStream.format("text").partitionBy("session_id").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 @dataclass
 class Session:
     """What a session keeps between updates; a few scalars, whatever its length."""
@@ -63,11 +136,13 @@ class Session:
     partial: str = ""
     final: str = ""
     stopped: bool = False
+    last_seq: int = -(1 << 62)
 
     def take(self, row: dict, silence_ms: float = SILENCE_MS, most_ms: float = MOST_MS, update_ms: float = UPDATE_MS) -> Iterator[dict]:
         """The events of one update."""
-        if self.stopped:
-            return
+        if self.stopped or row["seq"] <= self.last_seq:
+            return  # what comes after a stop, or late behind rows of an earlier batch, changes nothing
+        self.last_seq = row["seq"]
         now, said = row["consumed_ms"] or 0.0, " ".join((row["hypothesis"] or "").split())
         speech = row["speech_end_ms"] is not None and row["speech_end_ms"] == row["speech_end_ms"]
         if speech and self.start_ms < 0:
@@ -99,7 +174,7 @@ class Session:
 
 
 _COLUMNS = ["session_id", "seq", "type", "cue_id", "text", "start_ms", "end_ms"]
-_STATE = "cue_id int, cut_ms double, floor_ms double, start_ms double, updated_ms double, hypothesis string, partial string, final string, stopped boolean"
+_STATE = "cue_id int, cut_ms double, floor_ms double, start_ms double, updated_ms double, hypothesis string, partial string, final string, stopped boolean, last_seq long"
 
 
 def _events(key: str, state: Session, rows: pd.DataFrame) -> pd.DataFrame:
@@ -152,21 +227,27 @@ def finals_translated(stream: DataFrame, translate) -> DataFrame:
 
 
 def sessions_by_gap(rows: DataFrame, by: list[str], order: list[str], gap_ms: float, most_ms: float, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Sessions of intervals: one ends at a gap of `gap_ms`, or where it would be `most_ms` long or more.
+    """Sessions of intervals: one ends at a gap of `gap_ms` behind all before, or where it would be `most_ms` long or more.
 
-    The cut at a length hangs on the cut before, so rows between two gaps are folded in order; the gaps alone are windows.
+    The cut at a length hangs on the cut before, so the rows of a medium are walked in order; only sums are kept on the way.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    told = rows.withColumn("_before", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    flag = F.when(F.col(start) - F.col("_before") >= gap_ms, 1).otherwise(0)
-    island = told.withColumn("_f", flag).withColumn("_i", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    held = island.groupBy(*by, "_i").agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e")))).alias("_r"))
-    empty = F.expr("struct(cast(array() as array<struct<s:double,e:double,n:int>>) as out, cast(null as double) as s, cast(null as double) as e, 0 as n)")
-
-    def step(a, r):
-        full = a["s"].isNotNull() & (r["e"] - a["s"] >= most_ms)
-        done = F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["n"].alias("n"))))
-        return F.struct(F.when(full, done).otherwise(a["out"]).alias("out"), F.when(full | a["s"].isNull(), r["s"]).otherwise(a["s"]).alias("s"), F.when(full, r["e"]).otherwise(F.greatest(F.coalesce(a["e"], r["e"]), r["e"])).alias("e"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"))
-
-    folded = held.withColumn("_s", F.aggregate("_r", empty, step, lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"), a["n"].alias("n"))))))
-    return folded.select(*by, F.explode("_s").alias("x")).select(*by, F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.col("x.n").alias("n_rows"))
+
+    def cut(table: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        s, e = table["_s"].to_pylist(), table["_e"].to_pylist()
+        medium, out = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            first, last, n, reached = s[a], e[a], 0, float("-inf")
+            for i in range(a, b):
+                if n and (s[i] - reached >= gap_ms or e[i] - first >= most_ms):
+                    medium.append(a), out.append((first, last, n))
+                    first, last, n = s[i], e[i], 0
+                last, n, reached = max(last, e[i]), n + 1, max(reached, e[i])
+            medium.append(a), out.append((first, last, n))
+        keys = [table[k].take(pa.array(medium, pa.int64())).combine_chunks() for k in by]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int32())], [*by, "start_ms", "end_ms", "n_rows"])
+
+    types = dict(rows.dtypes)
+    told = rows.select(*by, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
+    schema = ", ".join(f"`{k}` {types[k]}" for k in by) + ", start_ms double, end_ms double, n_rows int"
+    return by_medium(told, by, [f"_o{i}" for i in range(len(order))], cut, schema)
