@@ -311,7 +311,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     """`docs` with the ids of every whole text.
 
     The ids of the most frequent units, a fixed number at most, are broadcast. For its other units, each once, a row asks
-    the vocabulary, and gets their ids back as one list in the order of its units. A row is told by two hashes of all its
+    the vocabulary, and gets their ids back as one list in the order of its units, with the number of each. A row is told by two hashes of all its
     columns, which a lost executor's work gives again; equal rows share their answers. A column named `ids` is replaced;
     columns of any other names go through as they are.
     """
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     shared = docs.sparkSession.sparkContext.broadcast((words, first))
     split = Splitter(pieces)
     keys = [fresh_name(docs.columns, "_key"), fresh_name(docs.columns, "_key2")]
-    own_name = fresh_name(docs.columns, "_own")
+    own_name, sizes_name = fresh_name(docs.columns, "_own"), fresh_name(docs.columns, "_sizes")
     told = [f.name for f in docs.schema if "map" not in f.dataType.simpleString()]
     keyed = docs.withColumns({keys[0]: F.xxhash64(*told), keys[1]: F.xxhash64(F.lit(1), *told)})
 
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
 
     asked = keyed.select(*keys, text).mapInArrow(tidy(rare), "key long, key2 long, at int, unit string").repartition("unit").dropDuplicates(["unit", "key", "key2", "at"])
     found = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("key", "key2").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("own"))
-    answers = stored(found.select(F.col("key").alias(keys[0]), F.col("key2").alias(keys[1]), F.transform("own", lambda x: x["ids"]).alias(own_name)), "answers")
+    answers = stored(found.select(F.col("key").alias(keys[0]), F.col("key2").alias(keys[1]), F.flatten(F.transform("own", lambda x: x["ids"])).alias(own_name), F.transform("own", lambda x: F.size(x["ids"])).alias(sizes_name)), "answers")
     drop(known)
     at_text, n_columns, names = docs.columns.index(text), len(docs.columns), [*docs.columns, ids]
 
@@ -349,7 +349,8 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
             for row, begin, units in unitsums.together(split(batch.column(at_text))):
                 coded = units.dictionary_encode()
                 answered = batch.column(n_columns).slice(row, len(begin) - 1)
-                given = answered.flatten()
+                counts = batch.column(n_columns + 1).slice(row, len(begin) - 1).flatten().to_numpy(zero_copy_only=False)
+                given = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), answered.flatten())
                 at, code, ordinal = _cold(coded, begin, words)
                 if len(given) != len(at):
                     raise ValueError("a row has not got all the ids that it asked for")
@@ -367,6 +368,6 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], names)
 
     # the rest of a row goes through with its text, so texts are shuffled once
-    joined = keyed.join(answers, keys, "left").select(*docs.columns, own_name)
+    joined = keyed.join(answers, keys, "left").select(*docs.columns, own_name, sizes_name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(tidy(assemble), f"{fields}, `{ids}` array<int>")
