@@ -10,7 +10,8 @@ occurrences are located from sampled suffix positions, and the hit words are mer
 The benchmark is read in blocks of bounded size; what each task holds of it does not grow with it.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no window; items of equal
-text are each counted; rows that are repeated are each returned.
+text are each counted, those of one name once; an item without a name is called null; rows that are repeated are each
+returned; columns of any names go through cut() as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import tidy
+from .shared import fresh_name, tidy
 
 WINDOW = 10
 #: Symbols of one shard's index, and rows that wait for it, at most (a text of more symbols is a shard alone).
@@ -250,7 +251,7 @@ class Shard:
                     spans[-1] = (spans[-1][0], one[1], spans[-1][2], one[3])
             else:
                 spans.append(one)
-        return {t: (spans, [self.wanted.names[i] for i in sorted(items)]) for t, (spans, items) in out.items()}
+        return {t: (spans, list(dict.fromkeys(self.wanted.names[i] for i in sorted(items)))) for t, (spans, items) in out.items()}
 
 
 SPANS = "array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>"
@@ -355,9 +356,10 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
 
         return docs.mapInArrow(tidy(clean), docs.schema)
     hit = find(docs.select(key, text), benchmark, window, key, text, item, item_text, block_bytes).where(F.size("spans") > 0)
-    hit = hit.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"), (F.col("n_words") - F.expr("aggregate(spans, 0L, (a, s) -> a + s.end_word - s.first_word)")).alias("_left")).dropDuplicates(["_key", "_text_key"])
-    joined = docs.join(hit, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text_key")), "left").where(F.col("_left").isNull() | (F.col("_left") > 0))
-    columns = [*docs.columns, "_spans"]
+    k, t, s, rest = (fresh_name(docs.columns, n) for n in ("_key", "_text_key", "_spans", "_left"))
+    hit = hit.select(F.col(key).alias(k), F.col("text_key").alias(t), F.col("spans").alias(s), (F.col("n_words") - F.expr("aggregate(spans, 0L, (a, s) -> a + s.end_word - s.first_word)")).alias(rest)).dropDuplicates([k, t])
+    joined = docs.join(hit, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(t)), "left").where(F.col(rest).isNull() | (F.col(rest) > 0))
+    columns = [*docs.columns, s]
 
     def apply(batches):
         for batch in batches:

@@ -156,6 +156,17 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(names)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_items_of_one_name_count_once(spark, block_bytes):
+    bench = spark.createDataFrame([(6, "a b c d e f g h i j k"), (6, "k l m n o p q r s t u"), (7, "k l m n o p q r s t u"), (None, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u"), (2, "One, two"), (2, "One, two"), (3, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], sorted(r["items"])) for r in decontam.find(docs, bench, block_bytes=block_bytes).collect())
+    assert got == [(1, ["6", "7"]), (2, ["null"]), (2, ["null"]), (3, [])]
+    clash = docs.selectExpr("doc_id", "text", "1 AS _spans", "2 AS _key", "3 AS _left", "4 AS _text_key")
+    cut = decontam.cut(clash, bench, block_bytes=block_bytes)
+    assert cut.columns == clash.columns and [tuple(r) for r in cut.collect()] == [(3, None, 1, 2, 3, 4)] or cut.count() == 0
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination_matches_brute_force(spark, block_bytes):
     random = np.random.default_rng(1)
