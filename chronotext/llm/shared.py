@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir; only where that is unset and everything runs on one machine a temporary one is set."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="chronotext-"))
     return context.getCheckpointDir().rstrip("/")
 
