@@ -238,6 +238,29 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_records_of_a_hot_payload_go_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 8)
+    rows = [(i, "http://x/\r\n" if i == 1 else "http://x", "" if i % 2 else "y" * 150 if i % 4 else f"p{i}") for i in range(60)] + [(3, "u", ""), (None, "u", "y" * 150)]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    warc.write_archive(pages, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a/records")).agg(F.max("parts")).first()[0] > 1
+    back = warc.read_archive(spark, str(tmp_path / "a"))
+    got = back.collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted([(r["id"], bytes(r["payload"]).decode()) for r in got], key=key) == sorted([(i, t) for i, _, t in rows], key=key)
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {"2"} and sum(r["record_type"] == "revisit" for r in got) == 15
+    heads = [bytes(r["header"]).decode() for r in got]
+    assert len({re.search("WARC-Record-ID: (.*)", h)[1] for h in heads}) == len(rows)
+    assert all("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in h for h in heads) and "http://x/%0D%0A" in {r["target_uri"] for r in got}
+
+
+def test_distances_are_of_the_vectors_as_they_are(spark):
+    rows = [(0, [1.0, 1e-9]), (1, [1.0, 2e-9]), (2, [1.0, 4e-9]), (3, [1e200, 1.0]), (4, [1.0, 1.0])]
+    indexed, book = ann.index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in ann.search(indexed, book, indexed.where("id = 0").select("id", "vector"), k=4).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 2, 4, 3] and got[0][1] == pytest.approx(1e-9, rel=1e-9) and got[1][1] == pytest.approx(3e-9, rel=1e-9)
+
+
 def test_damaged_payloads_raise(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (3, "u", "y")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "good"))
@@ -251,6 +274,16 @@ def test_damaged_payloads_raise(spark, tmp_path):
             read(warc.read_archive(spark, str(tmp_path / "bad"))).collect()
 
 
+def test_licences_of_hot_directories_exact_identifiers_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    rows = [(f"big/{i}.c", f"file {i}") for i in range(60)] + [("big/LICENSE", "Released under the MIT License."), ("x/a.c", "// SPDX-License-Identifier: BSD-2-Clause\nint a;"), ("x/b.c", "# one\n# SPDX-License-Identifier: GPL-2.0-only OR MIT"), ("x/c.c", "SPDX-License-Identifier: Apache-2.0\n" + "word " * 30000)]
+    files = spark.createDataFrame([(*r, "mine", 1.5, "d", "n") for r in rows], "path string, text string, licence string, cosine double, _directory string, near string").repartition(3)
+    got = {r["path"]: r for r in licences.scan(files).collect()}
+    assert len(got) == len(rows) and all(got[f"big/{i}.c"]["licence"] == "MIT" and got[f"big/{i}.c"]["how"] == "inherited" for i in range(60))
+    assert [(got[p]["licence"], got[p]["line"], got[p]["cosine"]) for p in ("x/a.c", "x/b.c", "x/c.c")] == [("BSD-2-Clause", 0, 1.0), ("GPL-2.0-only OR MIT", 1, 1.0), ("Apache-2.0", 0, 1.0)]
+    assert got["big/0.c"]["_directory"] == "d" and got["big/0.c"]["near"] == "n"
+
+
 def test_licences(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [("a/LICENSE", mit), ("a/b/c/x.txt", "nothing here\nat all"), ("a/b/COPYING", gpl), ("a/y.txt", "long text " * 50 + "\n" + "Licensed under the Apache License, Version 2.0.\nmore"), ("d/z.txt", None), (None, mit), ("a/b/e/w.txt", ""), ("", "x"), ("a/LICENSE", mit)]
