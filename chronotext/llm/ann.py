@@ -109,6 +109,14 @@ class Codebook:
         return (one[:, 0::2, :, None] + one[:, 1::2, None, :]).reshape(len(one), -1, 256).astype(np.float32)
 
 
+#: Components beyond this are cut for codes and tables alone, never for distances.
+MOST_SINGLE = 1e15
+
+
+def single(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -MOST_SINGLE, MOST_SINGLE).astype(np.float32)
+
+
 def pack(codes: np.ndarray) -> np.ndarray:
     if codes.shape[1] % 2:
         codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], 1)
@@ -133,32 +141,32 @@ def fit(x: np.ndarray, dimension: int, threshold: float = THRESHOLD, rounds: int
 
 def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> tuple[DataFrame, Codebook | None]:
     """(id, vector, code) of every vector that takes part, as a table, and the codebook (None: no vector takes part)."""
-    rows = vectors.where(valid(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = vectors.where(valid(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return rows.withColumn("code", F.lit(b"")), None
     dimension = max(sizes, key=lambda d: (sizes[d], d))
     rows = rows.where(F.size("vector") == dimension)
     chosen = rows.where(unit_hash(F.col("id"), F.lit("ann")) < min(1.0, sample / sizes[dimension])) if sizes[dimension] > sample else rows
-    x = np.array(chosen.limit(2 * sample).toArrow()["vector"].combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, dimension)
+    x = single(chosen.limit(2 * sample).toArrow()["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dimension)
     book = fit(x, dimension)
     shared = vectors.sparkSession.sparkContext.broadcast(book)
 
     def encode(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dimension)
+            x = single(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dimension)
             codes = pack(np.concatenate([shared.value.encode(x[i : i + 4096]) for i in range(0, len(x), 4096)])) if len(x) else np.zeros((0, 1), np.uint8)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "vector", "code"])
 
-    return written(rows.mapInArrow(encode, "id long, vector array<float>, code binary"), "ann-index"), book
+    return written(rows.mapInArrow(encode, f"id long, vector {rows.schema['vector'].dataType.simpleString()}, code binary"), "ann-index"), book
 
 
 class Nodes:
     """The distinct vectors of a batch, each with its k + 1 smallest ids: one of them may be the query's own."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, book: Codebook, k: int):
-        x = np.ascontiguousarray(x + np.float32(0))  # -0 and 0 are one value
-        coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(x)]).dictionary_encode()
+        x = np.ascontiguousarray(x + x.dtype.type(0))  # -0 and 0 are one value
+        coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).dictionary_encode()
         node = coded.indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((ids, node))
         node, names = node[order], ids[order]
@@ -207,17 +215,18 @@ def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int
             for batch in batches:
                 n = batch.num_rows
                 own = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1).T.copy()
                 nodes = Nodes(own, x, codes, book, k)
                 n = len(nodes.half)
                 for i in range(0, len(ids), 64):
                     some = q[i : i + 64].astype(np.float64)
-                    table = book.tables(q[i : i + 64])
+                    table = book.tables(single(q[i : i + 64]))
                     inner = np.zeros((len(table), n), np.float32)
                     for byte in range(len(nodes.codes)):
                         inner += np.take(table[:, byte], nodes.codes[byte], axis=1)
                     estimate = inner - nodes.half
+                    estimate[np.abs(some).max(axis=1) > MOST_SINGLE] = np.inf  # beyond what tables hold: all are measured
                     m = min(n, rerank + k)
                     near = np.argpartition(-estimate, m - 1, axis=1)[:, :m] if m < n else np.repeat(np.arange(n)[None, :], len(table), 0)
                     for j, found in enumerate(near, i):
@@ -248,7 +257,7 @@ def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int
         part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         ids = part["id"].to_numpy()
         if len(ids):
-            q = np.array(part["vector"].combine_chunks().flatten().to_numpy(), np.float32).reshape(len(ids), -1)
+            q = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             found.append(indexed.mapInArrow(scan_for(ids, q), schema))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
