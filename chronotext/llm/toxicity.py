@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, with evidence.
 
 * Terms are words (A-Z in lower case) and the first 4, 5 and 6 bytes of longer words, as 64-bit hashes, each with its
-  occurrence in the text: first, second, third, or one more. So a text that repeats a term has terms of its own. The
+  occurrence in the text: first, second, third and so on. So a text that repeats a term has terms of its own. The
   vocabulary is the terms that stand in texts of label 1 more often than chance would give (Chernoff's bound of the
   binomial tail, against the number of terms) in a bounded sample of labelled rows; a term's weight is its idf, and
   vectors are scaled to length 1 over that vocabulary.
@@ -13,7 +13,7 @@
 
 Defined results: a text with no term of the vocabulary (null and empty ones too) has no evidence and gets the calibrated
 share of label 1 among examples without such a term; without labelled rows of both labels every score is that of the
-only label, or 0. Rows are kept one for one.
+only label, or 0. A key with both labels is an example of each. Rows are kept one for one.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ from . import bytescan
 from .shared import bounded_sample, tidy, written
 
 PREFIXES = (4, 5, 6)
-OCCURRENCES = 4
-#: Most labelled rows of one label that a model is learned from, and most terms of its vocabulary.
-SAMPLE_PER_LABEL, MOST_TERMS = 4000, 8192
+#: Most labelled rows of one label that a model is learned from.
+SAMPLE_PER_LABEL = 4000
 NEIGHBOURS, BLOCK = 15, 64
 SOFTEN = 0.05
 
@@ -44,13 +43,13 @@ def _terms(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, occurrence from 0 to OCCURRENCES - 1), each once."""
+    """(text, term, occurrence from 0 on), each once."""
     order = np.lexsort((term, text))
     text, term = text[order], term[order]
     fresh = np.ones(len(text), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
     first = np.flatnonzero(fresh)
-    tf = np.minimum(np.diff(np.append(first, len(text))), OCCURRENCES)
+    tf = np.diff(np.append(first, len(text)))
     row = np.repeat(first, tf)
     return text[row], term[row], np.arange(len(row)) - np.repeat(np.cumsum(tf) - tf, tf)
 
@@ -60,11 +59,18 @@ class Terms:
 
     def __init__(self, hashes: np.ndarray, occurrences: np.ndarray, idf: np.ndarray):
         self.base, self.idf = np.unique(hashes), idf
-        self.number = np.full((len(self.base), OCCURRENCES), -1, np.int64)
-        self.number[np.searchsorted(self.base, hashes), occurrences] = np.arange(len(hashes))
+        codes = self._code(hashes, occurrences)
+        self.number = np.argsort(codes, kind="stable")
+        self.codes = codes[self.number]
         self.likely = np.zeros(1 << 20, bool)
         self.likely[self.base >> np.uint64(44)] = True
 
+    @staticmethod
+    def _code(hashes: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+        """One number for a term and its occurrence."""
+        with np.errstate(over="ignore"):
+            return bytescan.mix(hashes + bytescan.mix(occurrences.astype(np.uint64)))
+
     def vectors(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, term numbers, weights) of the texts' vectors of length 1."""
         n = len(offsets) - 1
@@ -76,8 +82,10 @@ class Terms:
         at = np.searchsorted(self.base, term)
         hit = self.base[np.minimum(at, len(self.base) - 1)] == term
         text, at, occurrence = _counted(text[hit], at[hit])
-        number = self.number[at, occurrence]
-        text, number = text[number >= 0], number[number >= 0]
+        code = self._code(self.base[at], occurrence)
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[place] == code
+        text, number = text[hit], self.number[place[hit]]
         weight = self.idf[number]
         norm = np.sqrt(np.bincount(text, weights=weight * weight, minlength=n))
         return np.searchsorted(text, np.arange(n + 1)), number, weight / norm[text]
@@ -162,7 +170,7 @@ def _monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return sums[:, 0] / sums[:, 2], np.maximum.accumulate(np.clip(rate, 0.001, 0.999))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_per_label: int = SAMPLE_PER_LABEL, most_terms: int = MOST_TERMS, k: int = NEIGHBOURS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample_per_label: int = SAMPLE_PER_LABEL, k: int = NEIGHBOURS) -> Model:
     """A model from the whole texts of about `sample_per_label` rows of `labels` (key, label) of each label, or all if fewer."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     chosen = written(bounded_sample(rows, "label", "key", sample_per_label), "chosen")
@@ -194,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     base = min(max(n1 / max(n1 + n0, 1), 1e-6), 1 - 1e-6)
     n, rate = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
     tail = n * (F.when(rate > 0, rate * F.log(rate / base)).otherwise(0.0) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
-    chosen = both.withColumn("tail", tail).where((rate > base) & (F.col("tail") > float(np.log(n_terms)))).orderBy(F.desc("tail"), "term", "occurrence").limit(most_terms).toPandas()
+    chosen = both.withColumn("tail", tail).where((rate > base) & (F.col("tail") > float(np.log(n_terms)))).orderBy(F.desc("tail"), "term", "occurrence").toPandas()  # terms of the bounded sample
     share = (chosen["a"].to_numpy(float) / max(n1, 1) * whole.get(1, 0) + chosen["b"].to_numpy(float) / max(n0, 1) * whole.get(0, 0)) / max(1, sum(whole.values()))
     terms = Terms(chosen["term"].to_numpy(np.int64).view(np.uint64), chosen["occurrence"].to_numpy(np.int64), 1 + np.log(1 / np.maximum(share, 1e-9)))
 
