@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, col, compact, simplified
+from ..functions.streams import bound
+from ..functions.text import SPACE, col, compact, halfwidth
 
 #: Phrases that recognisers make up, in the order in which they are taken out.
 ENGLISH_PHRASES = ["thank you for watching", "thanks for watching", "thank you for watching this video", "thanks for watching this video", "subtitles by", "subtitles provided by", "subtitle by", "amara.org", "transcription by", "translated by", "please subscribe", "please like and subscribe", "like and subscribe", "subscribe to my channel", "subscribe"]
@@ -33,31 +34,58 @@ def matchable_text(text: Column | str) -> Column:
     return F.trim(F.lower(F.regexp_replace(straight, f"[{SPACE}]+", " ")))
 
 
-def chinese_boilerplate(text: Column | str, table: dict[str, str] | None = None) -> Column:
-    clean = compact(simplified(text, table))
-    rest = reduce(lambda t, p: F.replace(t, F.lit(p), F.lit("")), CHINESE_PHRASES, clean)
+def _any(text: Column, phrases: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
+
+
+def _clean(text: Column, table: dict[str, str] | None) -> Column:
+    """The text in half-width and simplified characters, without spaces, punctuation and symbols."""
+    mapped = F.translate(text, "".join(table), "".join(table.values())) if table else text
+    return compact(halfwidth(mapped))
+
+
+def _chinese(text: Column, clean: Column) -> Column:
+    rest = F.char_length(reduce(lambda t, p: F.replace(t, F.lit(p), F.lit("")), CHINESE_PHRASES, clean)) <= NOISE_CHARS
     said = reduce(lambda a, b: a | b, [(clean.contains(p) & (F.lit(float(len(p))) >= F.char_length(clean) * 0.5)) | clean.startswith(p) for p in CHINESE_PHRASES])
-    return (F.trim(col(text)) != "") & (clean != "") & (repeats(clean) | (F.char_length(rest) <= NOISE_CHARS) | said)
+    # without any phrase nothing can be taken out
+    return (F.trim(text) != "") & (clean != "") & (repeats(clean) | F.when(_any(clean, CHINESE_PHRASES), rest | said).otherwise(F.char_length(clean) <= NOISE_CHARS))
+
+
+def chinese_boilerplate(text: Column | str, table: dict[str, str] | None = None) -> Column:
+    return bound(_clean(col(text), table), lambda clean: _chinese(col(text), clean))
+
+
+def _words(plain: Column) -> Column:
+    return F.filter(F.split(plain, " "), lambda t: t != "")
+
+
+def _low_diversity(words: Column) -> Column:
+    return (F.size(words) >= 4) & (F.size(F.array_distinct(words)) <= F.greatest(F.lit(1), F.floor(F.size(words) / 3)))
 
 
 def low_diversity(text: Column | str) -> Column:
     """Four words or more of which a third or fewer differ."""
-    words = F.filter(F.split(matchable_text(text), " "), lambda t: t != "")
-    return (F.size(words) >= 4) & (F.size(F.array_distinct(words)) <= F.greatest(F.lit(1), F.floor(F.size(words) / 3)))
+    return bound(_words(matchable_text(text)), _low_diversity)
+
+
+def _boilerplate(plain: Column, words: Column) -> Column:
+    left = F.regexp_replace(reduce(lambda t, p: F.replace(t, F.lit(p), F.lit(" ")), ENGLISH_PHRASES, plain), FILLERS, "")
+    # a text that is one of the phrases has six words at most
+    return F.when(_any(plain, ENGLISH_PHRASES), (F.size(words) <= 6) | (left == "")).otherwise(F.regexp_replace(plain, FILLERS, "") == "")
 
 
 def boilerplate_phrase(text: Column | str) -> Column:
     """Nothing but known phrases, or one of them among six words or fewer."""
-    plain = matchable_text(text)
-    words = F.size(F.filter(F.split(plain, " "), lambda t: t != ""))
-    left = F.regexp_replace(reduce(lambda t, p: F.replace(t, F.lit(p), F.lit(" ")), ENGLISH_PHRASES, plain), FILLERS, "")
-    any_phrase = reduce(lambda a, b: a | b, [plain.contains(p) for p in ENGLISH_PHRASES])
-    whole = plain.isin(ENGLISH_PHRASES)
-    return (left == "") | whole | (any_phrase & (words <= 6))
+    return bound(matchable_text(text), lambda plain: _boilerplate(plain, _words(plain)))
 
 
 def hallucinated(text: Column | str, table: dict[str, str] | None = None) -> Column:
     """Whether a text is empty, boilerplate or a loop."""
-    plain = matchable_text(text)
-    loop = repeats(F.regexp_replace(plain, f"[{SPACE}]+", ""))
-    return F.coalesce((plain == "") | chinese_boilerplate(text, table) | loop | low_diversity(text) | boilerplate_phrase(text), F.lit(True))
+    text = col(text)
+    forms = F.struct(matchable_text(text).alias("plain"), _clean(text, table).alias("clean"), _words(matchable_text(text)).alias("words"))
+
+    def noise(t: Column) -> Column:
+        loop = repeats(F.regexp_replace(t["plain"], f"[{SPACE}]+", ""))
+        return (t["plain"] == "") | _low_diversity(t["words"]) | loop | _boilerplate(t["plain"], t["words"]) | _chinese(text, t["clean"])
+
+    return F.coalesce(bound(forms, noise), F.lit(True))
