@@ -150,6 +150,13 @@ def ass_text(text: Column | str) -> Column:
     return F.translate(col(text), "{}", "()")
 
 
+def filter_path(path: Column | str) -> Column:
+    """A path as a value of a filter graph: forward slashes, colons escaped, quoted where it holds spaces, quotes or marks of the graph."""
+    plain = F.replace(F.replace(col(path), F.lit("\\"), F.lit("/")), F.lit(":"), F.lit("\\:"))
+    quoted = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(plain.rlike("[ '\",;\\[\\]]"), quoted).otherwise(plain)
+
+
 def plain_text(document: Column | str) -> Column:
     """The spoken lines of an SRT or WebVTT document, with spaces between."""
     lines = F.transform(F.split(col(document), "\\r?\\n"), lambda x: F.trim(x))

@@ -6,6 +6,7 @@ functions. A kernel sees one medium's rows in order; media are dealt over the cl
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -287,28 +288,38 @@ def group_blocks(texts: list[str], most: int = 6, most_chars: int = 400) -> list
     return blocks_of([len(_SPACES.sub("", t).encode("utf-16-le")) // 2 for t in texts], most, most_chars)
 
 
+def _border(starts: list[int], stops: list[int], low: int, high: int, ideal: int) -> tuple[int, int] | None:
+    """The white space nearest to `ideal` that lies within low..high: where it begins and ends; of two, the first."""
+    first, last = bisect_left(starts, low), bisect_right(stops, high)
+    if first >= last:
+        return None
+    at = min(max(bisect_left(starts, ideal), first), last - 1)
+    if at > first and ideal - starts[at - 1] <= starts[at] - ideal:
+        at -= 1
+    return starts[at], stops[at]
+
+
 def split_proportionally(text: str, parts: list[str]) -> list[str]:
-    """A text cut in as many pieces as `parts`, by their visible lengths, at the nearest white space where one serves."""
-    text = text.strip()
-    if len(parts) < 2 or not text:
-        return [text for _ in parts] if len(parts) < 2 else [""] * len(parts)
-    weight = [len(_SPACES.sub("", p)) for p in parts]
-    if not sum(weight):
-        weight = [1] * len(parts)
-    spaces = [m.span() for m in _SPACES.finditer(text)]
-    out, at, done, total = [], 0, 0, sum(weight)
-    for i, w in enumerate(weight[:-1]):
-        done += w
-        ideal = int(len(text) * done / total + 0.5)
-        low = at + 1
-        high = max(low, len(text) - (len(parts) - i - 1))
-        usable = [s for s in spaces if s[0] >= low and s[1] <= high]
-        cut = min(usable, key=lambda s: abs(s[0] - ideal), default=None)
-        if cut is None or not text[at : cut[0]].strip():
+    """A text cut in as many pieces as `parts`, by their visible lengths, at white space where there is any; no piece is empty if that can be."""
+    text, n = text.strip(), len(parts)
+    if n and not text:
+        return [""] * n
+    sizes = [len(_SPACES.sub("", p)) for p in parts]
+    shares = np.cumsum(sizes if any(sizes) else [1] * n)
+    gaps = [m.span() for m in _SPACES.finditer(text)]
+    starts, stops = [a for a, _ in gaps], [b for _, b in gaps]
+    pieces, here = [], 0
+    for i in range(n - 1):
+        ideal = int(len(text) * int(shares[i]) / int(shares[-1]) + 0.5)
+        # one character at least for this piece and for each that follows
+        low = here + 1
+        high = max(low, len(text) - (n - 1 - i))
+        cut = _border(starts, stops, low, high, ideal)
+        if cut is None or not text[here : cut[0]].strip():
             cut = (min(max(ideal, low), high),) * 2
-        out.append(text[at : cut[0]].strip())
-        at = cut[1]
-    return [*out, text[at:].strip()]
+        pieces.append(text[here : cut[0]].strip())
+        here = cut[1]
+    return [*pieces, text[here:].strip()] if n else []
 
 
 CUE_SCHEMA = "cue int, start_ms double, end_ms double, lines array<string>, words array<struct<text:string,start_ms:double,end_ms:double>>"

@@ -85,14 +85,20 @@ def spanish_word(word: str, casual_endings: bool = False) -> str:
     return "".join(sounds[:at]) + "ˈ" + "".join(sounds[at:])
 
 
+# What may follow what at the beginning of an English syllable.
+GLIDES = {"l", "r", "w", "j"}
+AFTER_S = {"p", "t", "k", "m", "n", "f", "l", "w", "j"}
+STOPS_AFTER_S = {"p", "t", "k"}
+
+
 def _opens(cluster: list[str]) -> bool:
-    """Whether consonants may open an English syllable."""
-    glide, first = ("l", "r", "w", "j"), cluster[0]
-    if len(cluster) == 1:
-        return first != "ŋ"
-    if len(cluster) == 2:
-        return cluster[1] in ("p", "t", "k", "m", "n", "f", "l", "w", "j") if first == "s" else cluster[1] in glide and first not in ("ŋ", *glide)
-    return first == "s" and cluster[1] in ("p", "t", "k") and cluster[2] in glide
+    """Whether one to three consonants may open an English syllable."""
+    head, *rest = cluster
+    if head == "s" and len(rest) == 2:
+        return rest[0] in STOPS_AFTER_S and rest[1] in GLIDES
+    if head == "s":
+        return set(rest) <= AFTER_S
+    return len(rest) < 2 and head != "ŋ" and set(rest) <= GLIDES and not (rest and head in GLIDES)
 
 
 @lru_cache(maxsize=200_000)

@@ -117,12 +117,13 @@ def nearest_edge(points: DataFrame, edges: DataFrame, by: list[str], value: str,
     """
     width = float(tolerance) or 1.0
     bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    keyed = points.withColumn("_row", F.monotonically_increasing_id())
-    spread = keyed.select("_row", *by, F.col(value).alias("_v"), F.explode(F.array(bucket(value) - 1, bucket(value), bucket(value) + 1)).alias("_b"))
+    # the nearest edge hangs on medium and value alone, so rows need no number of their own
+    values = points.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    spread = values.select(*by, "_v", F.explode(F.array(bucket("_v") - 1, bucket("_v"), bucket("_v") + 1)).alias("_b"))
     marks = edges.select(*by, F.col(edge).alias("_edge")).where(F.col("_edge").isNotNull()).distinct().withColumn("_b", bucket("_edge"))
     near = spread.join(marks, [*by, "_b"]).where(F.abs(F.col("_edge") - F.col("_v")) <= tolerance)
-    best = near.groupBy("_row").agg(F.min_by("_edge", F.struct(F.abs(F.col("_edge") - F.col("_v")), F.col("_edge"))).alias(name))
-    return keyed.join(best, "_row", "left").drop("_row")
+    best = near.groupBy(*by, "_v").agg(F.min_by("_edge", F.struct(F.abs(F.col("_edge") - F.col("_v")), F.col("_edge"))).alias(name))
+    return points.join(best.withColumnRenamed("_v", value), [*by, value], "left").select(*points.columns, name)
 
 
 def snap(values: Column, preferred: Column, every: Column, gaps: Column, tolerance: float = 250) -> Column:

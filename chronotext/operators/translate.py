@@ -25,6 +25,34 @@ def from_dictionary(words: dict[str, str]) -> Translator:
     return lambda texts, source, target: [" ".join(words.get(w.lower(), w) for w in t.split()) for t in texts]
 
 
+def in_batches(translator: Translator, most: int = 8) -> Translator:
+    """A translator that is given `most` texts at a time, none of them empty; an empty translation leaves the text as it is."""
+
+    def run(texts: list[str], source: str, target: str) -> list[str]:
+        out, full = list(texts), [i for i, t in enumerate(texts) if t.strip()]
+        for a in range(0, len(full), most):
+            some = full[a : a + most]
+            for i, said in zip(some, translator([texts[i] for i in some], source, target), strict=True):
+                out[i] = said if said.strip() else texts[i]
+        return out
+
+    return run
+
+
+def by_route(models: dict[tuple[str, str], Translator], pivot: str = PIVOT) -> Translator:
+    """A translator over models of single directions: the one from source to target, else through the pivot language."""
+
+    def run(texts: list[str], source: str, target: str) -> list[str]:
+        way = [] if source == target else [(source, target)] if (source, target) in models else [(source, pivot), (pivot, target)]
+        for step in way:
+            if step not in models:
+                raise KeyError(f"no model translates {step[0]} to {step[1]}")
+            texts = models[step](texts, *step)
+        return list(texts)
+
+    return run
+
+
 def routes(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """`pairs` with the languages on the way: none if equal, one step to or from English, else through it; null if unknown."""
     a, b = language_tag(source), language_tag(target)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import timing
-from ..operators import jobs
-from ..sources.tables import table, turns
+from ..functions import text, timing
+from ..operators import jobs, sequence, translate
+from ..sources import media
+from ..sources.tables import intervals, table, turns
 from ..streaming import live
 from .registry import query
 
@@ -201,3 +203,39 @@ def language_styles(spark, sf_dir):
 
     lang = F.when(F.col("doc_id") % 3 == 0, F.element_at(F.array(F.lit(" ZH-tw"), F.lit("ja"), F.lit("ko-KR"), F.lit("cmn")), (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", style_of(lang).alias("s")).select("doc_id", "s.max_chars", "s.max_lines", F.col("s.max_cps").cast("double").alias("max_cps"))
+
+
+@query("""SELECT event_id, event_type AS text, greatest(0, floor(coalesce(value, 0) * 1000 + 0.5))::DOUBLE AS start_ms, greatest(0, floor(coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value + 1.5 END, 0) * 1000 + 0.5))::DOUBLE AS end_ms
+FROM events WHERE event_id % 7 <> 0""")
+def chunk_segments(spark, sf_dir):
+    said = F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type"))
+    chunks = table(spark, sf_dir, "events").select("event_id", said.alias("text"), F.col("value").alias("start_s"), F.when(F.col("event_id") % 5 != 0, F.col("value") + 1.5).alias("end_s"))
+    return media.chunk_segments(chunks, ["event_id"])
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(floor(coalesce(value, 0) * 1000) AS BIGINT) AS e FROM events)
+SELECT user_id, edge, count(*) AS n FROM (SELECT user_id, s AS edge FROM e UNION ALL SELECT user_id, e FROM e) GROUP BY ALL""")
+def edge_union(spark, sf_dir):
+    rows = intervals(spark, sf_dir)
+    edges = sequence.union_all([rows.select("user_id", F.col(c).alias("edge")) for c in ("start_ms", "end_ms")])
+    return edges.groupBy("user_id", "edge").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH p AS (SELECT page_id, replace(replace(CASE page_id % 3 WHEN 0 THEN 'C:' || chr(92) || 'a b' || chr(92) ELSE '' END || url, chr(92), '/'), ':', chr(92) || ':') AS p FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(p, '[ ''",;\[\]]') THEN chr(39) || replace(p, chr(39), chr(92) || chr(39)) || chr(39) ELSE p END AS shown FROM p""")
+def filter_paths(spark, sf_dir):
+    raw = F.concat(F.when(F.col("page_id") % 3 == 0, "C:\\a b\\").otherwise(""), "url")
+    return table(spark, sf_dir, "pages").select("page_id", text.filter_path(raw).alias("shown"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN text ELSE replace(text, 'e', 'E') || '>' END AS said FROM conversations""")
+def routed_translations(spark, sf_dir):
+    """Turns from Spanish to Chinese through English, by models that change a letter and that mark, eight texts at a time."""
+    models = {("es", "en"): lambda texts, a, b: [t.replace("e", "E") for t in texts], ("en", "zh"): lambda texts, a, b: [f"{t}>" for t in texts]}
+    model = translate.in_batches(translate.by_route(models))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(model([t or "" for t in texts], "es", "zh"))
+
+    return turns(spark, sf_dir).select("conv_id", "turn", F.when(F.col("text").isNotNull(), run("text")).alias("said"))

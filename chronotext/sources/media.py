@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import struct
+import subprocess
 from collections.abc import Callable
 
 import numpy as np
@@ -118,3 +120,66 @@ def transcribe(audio: DataFrame, by: list[str], recogniser: Recogniser, samples:
             yield pd.DataFrame(out, columns=[*by, "seg_no", "text", "start_ms", "end_ms", "error"]).astype({"seg_no": "Int32"})
 
     return audio.select(*by, samples, rate).mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in by) + ", seg_no int, text string, start_ms double, end_ms double, error string")
+
+
+#: Uploads larger than this are not taken.
+MOST_UPLOAD = 500 << 20
+
+
+def uploads(spark: SparkSession, path: str, stream: bool = True, files_at_once: int = 64) -> DataFrame:
+    """(path, length, content) of the media that arrive in a folder, each once as a stream, or those that are there."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_at_once) if stream else spark.read.format("binaryFile")
+    return reader.load(path).where(F.col("length") <= MOST_UPLOAD).select("path", "length", "content")
+
+
+def find_decoder(program: str | None = None) -> str | None:
+    """Where a decoder for other containers is, on this machine: the named program, or ffmpeg; None if there is none."""
+    return shutil.which(program or "ffmpeg")
+
+
+def decode_others(files: DataFrame, content: str = "content", program: str | None = None, stereo: bool = False, rate: int = ASR_RATE, seconds: int = 600) -> DataFrame:
+    """Media of any container as samples, like decode(), through a decoder that every machine has; a file it fails on is a row with an error.
+
+    The file goes in on standard input and 32-bit floats come out, so nothing is written to a machine's own disk.
+    """
+
+    def one(data: bytes) -> tuple:
+        place = find_decoder(program)
+        if place is None:
+            raise ValueError("no decoder is installed")
+        channels = 2 if stereo else 1
+        done = subprocess.run([place, "-v", "error", "-i", "pipe:0", "-f", "f32le", "-ac", str(channels), "-ar", str(rate), "pipe:1"], input=data, capture_output=True, timeout=seconds, check=False)
+        if done.returncode:
+            raise ValueError(f"the decoder failed ({done.returncode}): {done.stderr.decode(errors='replace').strip() or 'no output'}")
+        x = np.frombuffer(done.stdout[: len(done.stdout) // (4 * channels) * 4 * channels], "<f4").reshape(-1, channels)
+        return rate, channels, len(x) / rate * 1000, x.mean(axis=1).astype(np.float32), [c.copy() for c in x.T], None
+
+    @F.pandas_udf(AUDIO)
+    def run(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in column:
+            try:
+                rows.append(one(bytes(data or b"")))
+            except (ValueError, OSError, subprocess.TimeoutExpired) as e:
+                rows.append((None, None, None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["rate", "channels", "duration_ms", "samples", "channel_data", "error"])
+
+    return files.withColumn("_a", run(content)).select(*[c for c in files.columns if c != content], "_a.*")
+
+
+def run_batch(files: DataFrame, process: Callable[[dict], str], key: str = "path") -> DataFrame:
+    """(key, ok, value, error) of a function over rows: what one row raises is its own result, and the others go on."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.to_dict("records"):
+                try:
+                    out.append((r[key], True, process(r), None))
+                except Exception as e:  # the row's result
+                    out.append((r[key], False, None, str(e)))
+            yield pd.DataFrame(out, columns=[key, "ok", "value", "error"])
+
+    return files.mapInPandas(run, f"`{key}` {kind}, ok boolean, value string, error string")

@@ -213,12 +213,15 @@ def finals_translated(stream: DataFrame, translate) -> DataFrame:
 
     @F.pandas_udf("text string, error string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        out, errors = [], []
+        try:
+            return pd.DataFrame({"text": translate(list(texts)), "error": [None] * len(texts)})
+        except Exception:  # then one by one: an error of one cue is its row's result
+            out, errors = [], []
         for t in texts:
             try:
                 out.append(translate([t])[0])
                 errors.append(None)
-            except Exception as e:  # an error of one cue is its row's result
+            except Exception as e:
                 out.append(None)
                 errors.append(str(e))
         return pd.DataFrame({"text": out, "error": errors})

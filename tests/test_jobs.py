@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronotext.functions import timing
-from chronotext.operators import jobs, phonetics, sequence, signal
+from chronotext.functions import text, timing
+from chronotext.operators import jobs, phonetics, sequence, signal, translate
 from chronotext.plans.engine import Engine
-from chronotext.sources import sinks
+from chronotext.schema import Style
+from chronotext.sources import media, sinks
 from chronotext.streaming import live
 
 
@@ -176,3 +177,60 @@ def test_late_updates_change_nothing():
     row = lambda seq, kind="audio", said="hello": {"seq": seq, "kind": kind, "consumed_ms": seq * 1500.0, "speech_start_ms": 0.0, "speech_end_ms": seq * 1500.0, "hypothesis": said}
     list(s.take(row(2)))
     assert list(s.take(row(1, "flush"))) == [] and s.last_seq == 2
+
+
+def test_translators_by_route_and_in_batches():
+    seen = []
+
+    def model(texts, a, b):
+        seen.append((a, b, len(texts)))
+        return [t + b for t in texts]
+
+    run = translate.in_batches(translate.by_route({("es", "en"): model, ("en", "zh"): model}), 2)
+    assert run(["a", "", "b", "c"], "es", "zh") == ["aenzh", "", "benzh", "cenzh"]
+    assert seen == [("es", "en", 2), ("en", "zh", 2), ("es", "en", 1), ("en", "zh", 1)]
+    assert run(["a"], "en", "en") == ["a"] and translate.in_batches(lambda t, a, b: [""] * len(t))(["a"], "x", "y") == ["a"]
+    with pytest.raises(KeyError, match="zh to en"):
+        run(["a"], "zh", "es")
+
+
+def test_other_containers_and_batches(spark, tmp_path):
+    program = tmp_path / "decoder"
+    program.write_text("#!/bin/sh\nif [ \"$(head -c 3)\" = bad ]; then echo broken >&2; exit 3; fi\nprintf '\\000\\000\\200\\077\\000\\000\\000\\277'\n")
+    program.chmod(0o755)
+    files = spark.createDataFrame([("a", bytearray(b"fine")), ("b", bytearray(b"bad!"))], "path string, content binary")
+    got = {r["path"]: r for r in media.decode_others(files, program=str(program), stereo=True).collect()}
+    assert got["a"]["samples"] == [0.25] and got["a"]["channel_data"] == [[1.0], [-0.5]] and "broken" in got["b"]["error"]
+    none = media.decode_others(files, program="no-such-program").first()
+    assert none["error"] == "no decoder is installed" and none["samples"] is None
+
+    def process(r):
+        if r["path"] == "b":
+            raise ValueError("deaf")
+        return r["path"].upper()
+
+    assert sorted(map(tuple, media.run_batch(files.select("path"), process).collect())) == [("a", True, "A", None), ("b", False, None, "deaf")]
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.wav").write_bytes(b"abc")
+    assert [(r["length"], bytes(r["content"])) for r in media.uploads(spark, str(tmp_path / "in"), stream=False).collect()] == [(3, b"abc")]
+    query = media.uploads(spark, str(tmp_path / "in")).select("length").writeStream.format("memory").queryName("uploads").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination(60)
+    assert [r["length"] for r in spark.table("uploads").collect()] == [3]
+
+
+def test_pretty_documents_and_paths(spark):
+    assert sinks.pretty('{"a":[1],"b":"é"}') == '{\n  "a": [\n    1\n  ],\n  "b": "é"\n}\n'
+    assert one(spark, text.filter_path(F.lit("C:\\a b\\subs.ass"))) == "'C\\:/a b/subs.ass'" and one(spark, text.filter_path(F.lit("/x/y.ass"))) == "/x/y.ass"
+
+
+def test_styles_of_an_engine_and_translated_cues(spark):
+    engine = Engine(spark, translator=lambda texts, a, b: [t.upper() for t in texts], style=Style(max_chars=8, max_lines=1))
+    segs = spark.createDataFrame([("m", 0, "en", "one two three four", 0.0, 9000.0)], "m string, seg_no int, lang string, text string, start_ms double, end_ms double")
+    cues = engine.cues(segs, ["m"])
+    assert [r["lines"] for r in cues.orderBy("index").collect()] == [["one two"], ["three"], ["four"]]
+    said = engine.translate(cues, ["m"], "en", "es").orderBy("index").collect()
+    assert " ".join(" ".join(r["lines"]) for r in said) == "ONE TWO THREE FOUR" and "words" not in said[0].asDict()
+    assert engine.documents(cues, ["m"], "txt").first()["txt"] == "one two\nthree\nfour\n"
