@@ -40,11 +40,13 @@ def split_segments(spark, sf_dir):
     return segments(spark, sf_dir)
 
 
-@query(rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+_SENTENCES = rf"""d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
 g AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z\x{{00C0}}-\x{{024F}}])({"|".join(text.ABBREVIATIONS)})\.', '\1\2' || chr(2), 'gi') AS t FROM d),
 c AS (SELECT doc_id, string_split(regexp_replace(t, '([。！？；]["''\)\]\}}”’」』）】》]*|[.!?;…]["''\)\]\}}”’」』）】》]*( |$))', '\1' || chr(1), 'g'), chr(1)) AS l FROM g),
-s AS (SELECT doc_id, unnest(list_filter(list_transform(l, lambda x: trim(replace(x, chr(2), '.'))), lambda x: x <> '')) AS sentence, unnest(range(len(list_filter(list_transform(l, lambda x: trim(x)), lambda x: x <> '')))) AS pos FROM c)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM s""")
+s AS (SELECT doc_id, unnest(list_filter(list_transform(l, lambda x: trim(replace(x, chr(2), '.'))), lambda x: x <> '')) AS sentence, unnest(range(len(list_filter(list_transform(l, lambda x: trim(x)), lambda x: x <> '')))) AS pos FROM c)"""
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, sentence FROM s")
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
 
@@ -409,9 +411,13 @@ def live_sessions(spark, sf_dir):
     return live.sessions_by_gap(intervals(spark, sf_dir), ["user_id"], ["start_ms", "event_id"], 3_600_000, 14_400_000)
 
 
-@query()
+@query(rf"""WITH {_SENTENCES}, f AS (SELECT doc_id, pos, string_split(sentence, ' ') AS w, string_split(lag(sentence) OVER (PARTITION BY doc_id ORDER BY pos), ' ') AS p FROM s WHERE pos % 2 = 0),
+k AS (SELECT *, list_transform(p, lambda x: regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS x, list_transform(w, lambda x: regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS y FROM f),
+o AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), lambda n: x[len(x) - n + 1:] = y[1:n])), 0) AS n FROM k),
+t AS (SELECT doc_id, pos, array_to_string(w[n + 1:], ' ') AS text, CASE WHEN pos = 0 THEN 100 ELSE pos * 1500 - 1400 END::DOUBLE AS start_ms, ((pos + 1) * 1500 - 700)::DOUBLE AS end_ms FROM o)
+SELECT CAST(doc_id AS VARCHAR) AS session_id, CAST(pos AS BIGINT) AS seq, 'final' AS type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS cue_id, text, start_ms, end_ms FROM t WHERE text <> ''""")
 def live_events(spark, sf_dir):
-    """Sentences of documents as the updates of live sessions."""
+    """Sentences of documents as the updates of live sessions; every other one ends in a silence, which makes it a final."""
     said = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "hypothesis"))
     now = (F.col("pos") + 1) * 1500.0
     updates = said.select(F.col("doc_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("seq"), F.lit("audio").alias("kind"), now.alias("consumed_ms"), (now - 1400).alias("speech_start_ms"), (now - F.when(F.col("pos") % 2 == 0, 700).otherwise(100)).alias("speech_end_ms"), "hypothesis")
