@@ -244,3 +244,38 @@ def test_nearest_examples_are_exact():
 
 def test_items_digest_is_of_sorted_names():
     assert hashlib.sha256(b"10,2").hexdigest() == hashlib.sha256(",".join(sorted(["2", "10"])).encode()).hexdigest()
+
+
+def test_language_id_of_long_texts_repeated_rows_and_clashing_columns(spark):
+    en, fr = "the house and the garden of the king was there ", "la maison et le jardin du roi était là dans une "
+    model = langid.learn(spark.createDataFrame([(i, (en if i % 2 else fr) * 3, "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string"))
+    rows = [(1, en * 20000, "x", 2.0, "s"), (2, fr, "x", 2.0, "s"), (2, fr, "x", 2.0, "s"), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double, spans string").repartition(2)
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(docs.select("doc_id", "text"), model).collect())
+    assert got == [(1, "en"), (2, "fr"), (2, "fr"), (3, "und")]
+    kept = langid.kept(docs, model)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["lang_pred"], r["score"], r["spans"]) for r in kept.collect()) == [(1, "x", 2.0, "s"), (2, "x", 2.0, "s"), (2, "x", 2.0, "s")]
+
+
+def test_toxicity_of_keys_with_both_labels_repeats_and_clashing_columns(spark):
+    random = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)]
+    text = lambda bad: " ".join([*random.choice(words, 30), *(["slur"] * bad)])
+    rows = [(i, text(7 if i % 4 == 0 else 0)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(0, 0), (1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert sum(1 for k in model.keys if k == 0) == 2 and len(model.keys) == 201
+    odd = spark.createDataFrame([(1, text(9), 1, "a", "b"), (1, text(9), 1, "a", "b"), (2, text(0) * 5000, 2, "a", "b"), (3, None, 3, None, None)], "doc_id long, text string, score int, label string, evidence string")
+    assert sorted((r["doc_id"], r["predicted"]) for r in toxicity.score(odd, model).collect()) == [(1, 1), (1, 1), (2, 0), (3, 0)]
+    clean = toxicity.clean(odd, model)
+    assert clean.columns == odd.columns and sorted((r["doc_id"], r["score"]) for r in clean.collect()) == [(2, 2), (3, 3)]
+    # a term that stands more often is a term of its own, without a bound
+    assert max(len(v) for v in [model.terms.codes]) > 4
+
+
+def test_token_counts_of_clashing_columns_and_long_texts(spark):
+    rows = [(1, "hello world " * 30000, 5, "u", 7), (1, "hello world " * 30000, 5, "u", 7), (None, "x", 5, "u", 7), (2, None, 5, "u", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, unit string, rid int").repartition(2)
+    got = sorted(((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in tokencount.count(docs, tokenizer_path("word_bpe_49k.json")).collect()))
+    assert got == [(0, 1, 1), (1, 360000, 60000), (1, 360000, 60000), (2, 0, 0)]
