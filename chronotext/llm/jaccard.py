@@ -38,7 +38,8 @@ from .components import components
 from .shared import drop, filter_bits, fresh_name, has_bit, hottest, join_hot, member_bits, stored, tidy
 
 U64 = np.uint64
-BLOCK = 2048
+#: Members of a block of a tile: SMALL_BLOCK up to 16 blocks, then more, up to BLOCK, so that a tile of n has no more than n * n / BLOCK rows.
+SMALL_BLOCK, BLOCK = 256, 4096
 LEAST_BITS, MOST_BITS = 64, 65536
 #: Tiles whose frequency every task knows.
 HOT_TILES = 1 << 17
@@ -291,7 +292,7 @@ class ShingleJoin:
         num, den = self.num, self.den
         # tiles of the same members are one: told by their number and two sums of hashes
         sums = members.groupBy("tile").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-        one = sums.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        one = sums.groupBy("n", "x", "y").agg(F.min("tile").alias("tile")).select("tile", F.greatest(F.least(F.ceil(F.col("n") / SMALL_BLOCK), F.lit(16)), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
         placed = join_hot(members, one, "tile").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
         cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
         full = cells.join(nodes.select("node", "n_shingles", "bitmap"), "node").select("tile", "i", "j", "block", "node", "root", "n_shingles", "bitmap").repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
