@@ -122,7 +122,7 @@ def hottest(counted: DataFrame, most: int) -> int:
 
 
 #: A key of so many rows is hot, and of all keys of a table at most so many are.
-HOT_ROWS, HOT_KEYS = 1 << 14, 1 << 14
+HOT_ROWS, HOT_KEYS = 1 << 11, 1 << 14
 
 
 def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
