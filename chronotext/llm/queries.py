@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, lattice, licences, sharding, tokencount, toxicity, warc
+from . import ann, annuli, bestfit, decontam, jaccard, langid, lattice, licences, sharding, spelling, tokencount, toxicity, warc
 from .shared import bound_batches, held_out, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,76 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files below source and language, the only hierarchy that they have."""
     files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
     return licences.scan(files).select("doc_id", "path", "licence", "how", F.round("cosine", 9).alias("cosine"), "line", "from_directory")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = annuli.quantised(table(spark, sf_dir, "embeddings"), label=F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    found = annuli.index(rows)
+    anchors = rows if found is None else found.rows
+    return annuli.hard_negatives(found, anchors.where("id % 100 = 0").select("id", "label", "v"))
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
+    return bestfit.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), dropped=31))
+
+
+ORACLES["op13_spelling"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), crc(i, c) AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) FROM range(256) t(i)
+), lookup AS (
+  SELECT list(c ORDER BY i) AS t FROM crc
+), summed AS (
+  SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(list_transform(range(0, len(h) // 2), lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT)) AS BIGINT[])),
+                         lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295) END AS s
+  FROM (SELECT *, hex(encode(concat(doc_id, ':', run))) AS h FROM runs), lookup
+), lost AS (
+  SELECT CASE WHEN s % 31 = 0 THEN concat(substr(run, 1, CAST(s % length(run) AS BIGINT)), substr(run, CAST(s % length(run) AS BIGINT) + 2)) ELSE run END AS word, n FROM summed
+), w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM lost WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS MATERIALIZED (
+  SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top, min(other) FILTER (WHERE other_n = mx) AS other FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS mx FROM near) GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT w.word, CASE WHEN top >= 10 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.next = f.word
+)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN (SELECT word, root FROM chain WHERE next IS NULL) c USING (word)
+"""

@@ -148,6 +148,12 @@ def fresh_name(columns: list[str], name: str) -> str:
     return name
 
 
+def named_apart(key: str, results: list[str]) -> None:
+    """A key column comes back under its own name, so it can't be that of a result."""
+    if key.lower() in {r.lower() for r in results}:
+        raise ValueError(f"the key column {key!r} bears the name of a result; rename it first")
+
+
 def has_bit(found: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which int64 values may be in the column that member_bits() read."""
     at = np.mod(values, np.int64(len(found) * 32))
