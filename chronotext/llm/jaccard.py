@@ -15,8 +15,9 @@ sets is at least num / den.
 * Within tiles, hashed bitmap signatures: the set bits of the XOR of two bitmaps are no more than the shingles that
   differ, which bounds the overlap from above; only pairs that may still link go on to the exact intersection of their
   sorted arrays.
-* A tile's members are first compared with its smallest and largest node. Those already in one class then need no
-  comparison with each other; what is left of a tile is compared block by block, so a tile of any size is many tasks.
+* A tile's members are first compared with its smallest and largest node, then, where classes are left apart, in TURNS
+  turns with a member drawn at random. Those already in one class need no comparison with each other; what is left of a
+  tile is compared block by block, so a tile of any size is many tasks.
 * The links found are thus a spanning set, all that classes need; where every link is asked for (links(every=True),
   link_counts), all members of a tile are compared.
 
@@ -41,6 +42,8 @@ U64 = np.uint64
 #: Members of a block of a tile: SMALL_BLOCK up to 16 blocks, then more, up to BLOCK, so that a tile of n has no more than n * n / BLOCK rows.
 SMALL_BLOCK, BLOCK = 256, 4096
 LEAST_BITS, MOST_BITS = 64, 65536
+#: Turns in which members of tiles that are not one class yet are compared with one of them.
+TURNS = 3
 #: Tiles whose frequency every task knows.
 HOT_TILES = 1 << 17
 
@@ -326,6 +329,18 @@ class ShingleJoin:
 
         return full.mapInArrow(tidy(walk), "a long, b long").distinct()
 
+    def open_tiles(self, members: DataFrame, linked: DataFrame) -> DataFrame:
+        """(tile, node, root) of the tiles, a table, whose members are not all of one class by the links found so far.
+
+        Tiles of two members have been compared and are done.
+        """
+        of = components(linked)
+        rooted = stored(members.join(of.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile", F.lit(True).alias("open"))
+        out = stored(join_hot(rooted, left, "tile").select("tile", "node", "root"), "left")
+        drop(rooted)
+        return out
+
     def links(self, every: bool = False) -> DataFrame:
         """Links (a, b) between nodes, enough of them that their components are those of all links; or every link."""
         kept = self.members()
@@ -345,12 +360,23 @@ class ShingleJoin:
         stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionAll(members.where("node <> high").select(F.col("node").alias("a"), F.col("high").alias("b"))).distinct()
         close = stored(self.screened(stars, nodes), "screened")
         first = self.verified(close, nodes)
-        of = components(first)
-        rooted = stored(members.join(of.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        # members of one class, and tiles of two members (which have been compared), are done
-        left = rooted.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).alias("more")).where("r < s AND more").select("tile", F.lit(True).alias("open"))
-        open_tiles = stored(join_hot(rooted, left, "tile").select("tile", "node", "root"), "left")
-        drop(members, close, rooted)
+        drop(close)
+        open_tiles = self.open_tiles(members, first)
+        for turn in range(TURNS):
+            if open_tiles.isEmpty():
+                break
+            # a member drawn at random, another one for each tile: in a group of near copies it links with many that others don't
+            hub = open_tiles.groupBy("tile").agg(F.min_by(F.struct("node", "root"), F.xxhash64("tile", "node", F.lit(turn))).alias("hub"))
+            stars = join_hot(open_tiles, hub, "tile").where("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            close = stored(self.screened(stars, nodes), "screened")
+            more = self.verified(close, nodes)
+            drop(close, open_tiles)
+            if more.isEmpty():
+                open_tiles = self.open_tiles(members, first)
+                break
+            first = stored(first.unionAll(more), "linked")
+            open_tiles = self.open_tiles(members, first)
+        drop(members)
         pairs = stored(self.rest(open_tiles, nodes), "pairs")
         drop(open_tiles)
         every = first if pairs.isEmpty() else first.unionAll(self.verified(pairs, nodes))

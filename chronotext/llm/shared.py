@@ -27,8 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-#: Tables that written() has made and nobody has dropped, and the application of each.
+#: Tables that written() has made and nobody has dropped, and the application of each; those of the scopes that are open.
 _tables: dict[str, str] = {}
+_scopes: list[set[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[set[str]]:
+    """The names of the tables that written() makes inside: what sweep() may delete once their result is stored elsewhere."""
+    own: set[str] = set()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not own]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +49,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _tables[path] = df.sparkSession.sparkContext.applicationId
+    for own in _scopes:
+        own.add(path)
     out._written_to = path
     return out
 
@@ -53,9 +67,9 @@ def drop(*frames: DataFrame) -> None:
         _delete(df.sparkSession, [df._written_to])
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes every table that written() has made in this application: for callers whose results are stored elsewhere."""
-    _delete(spark, [p for p, a in _tables.items() if a == spark.sparkContext.applicationId])
+def sweep(spark: SparkSession, own: set[str] | None = None) -> None:
+    """Deletes the tables of a scope; without one, every table that written() has made in this application."""
+    _delete(spark, [p for p, a in _tables.items() if a == spark.sparkContext.applicationId and (own is None or p in own)])
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:

@@ -144,3 +144,15 @@ def test_stages_take_odd_tables(spark, tables, stage):
     assert all((r["_row"], r["node"], r["_key"], r["_spans"], r["score"]) == (1, 2, 3, 4, 5) for r in rows)
     # clean rows stay, and repeated ones but in the Jaccard join
     assert sum(r["doc_id"] == 3 for r in rows) == (1 if stage == 2 else 2)
+
+
+def test_stages_leave_the_tables_of_other_results_alone(spark):
+    from chronotext.llm import shared
+
+    held = shared.written(spark.range(10), "held")
+    docs = spark.createDataFrame([(i, f"the quick brown fox number {i} jumps over the lazy dog again", "en", "web", 60) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4:2]:
+        with shared.scope() as outer:
+            stage(spark, docs, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        assert isinstance(outer, set)
+    assert held.count() == 10
