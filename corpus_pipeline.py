@@ -1,7 +1,11 @@
 """A training corpus from `documents` in five stages, each one of the operators of chronotext.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns what it keeps; it is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. A stage's result has to be written before the next one
+is called: its tables in the shared folder go then.
+
+Every stage takes null and empty texts, repeated rows, columns of other names and an empty table; ties go as the operator
+of the stage says. Null and empty texts have no letter, so the second stage drops them.
 
 1. toxicity: rows that the nearest labelled examples call toxic go. Rows that a model may learn from are those of
    `labels` whose crc32(doc_id) mod 5 is not 0.
@@ -21,16 +25,23 @@ from pyspark.sql import functions as F
 
 from chronotext.llm import decontam, jaccard, langid, lattice, toxicity
 from chronotext.llm.queries import tokenizer_path, toxic_labels
-from chronotext.llm.shared import bound_batches, fresh_name, held_out, shared_dir, sweep, table
+from chronotext.llm.shared import bound_batches, fresh_name, held_out, scope, shared_dir, sweep, table
+
+
+#: Of each application the tables behind the result of the last stage that was called.
+_behind: dict[str, set[str]] = {}
 
 
 def _alone(stage):
-    """A stage whose docs are stored, so that what the stages before have left in the shared folder can go."""
+    """A stage whose docs are stored, so that the tables behind the stage before can go; those of other work stay."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(spark)
+        sweep(spark, _behind.pop(spark.sparkContext.applicationId, set()))
         bound_batches(spark)
-        return stage(spark, docs, sf_dir)
+        with scope() as own:
+            out = stage(spark, docs, sf_dir)
+        _behind[spark.sparkContext.applicationId] = own
+        return out
 
     return run_stage
 
@@ -77,5 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
-    sweep(spark)
+    sweep(spark, _behind.pop(spark.sparkContext.applicationId, set()))
     return docs
