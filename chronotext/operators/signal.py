@@ -246,6 +246,36 @@ def snr_db(x: np.ndarray, rate: float, regions: list[tuple[float, float]] = ())
     return 60.0 if flat <= 1e-6 else float(np.clip(-10 * np.log10(flat), 0, 60))
 
 
+def _merged(spans: list[tuple[float, float]], most_gap: float) -> list[tuple[float, float]]:
+    """Spans in order, together where the gap to all before is at most `most_gap`."""
+    out: list[tuple[float, float]] = []
+    for a, b in spans:
+        if out and a - out[-1][1] <= most_gap:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def regions(x: np.ndarray, rate: float) -> list[tuple[float, float]]:
+    """speech_regions() of one signal that is at hand."""
+    x = np.asarray(x, np.float64)
+    size, hop = (max(1, int(np.floor(f * rate + 0.5))) for f in (FRAME, HOP))
+    if len(x) < size:
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+    level = np.sqrt((windows**2).mean(1))
+    sign = windows >= 0
+    crossed = (sign[:, 1:] != sign[:, :-1]).sum(1) / size
+    least = max(LEAST_RMS, min(2.5 * lower_percentile(level, 0.1), 0.5 * level.max()))
+    loud = np.flatnonzero((level > least) & (crossed < MOST_CROSSINGS))
+    begins = np.flatnonzero(np.diff(loud, prepend=-2) > 1)
+    ends = np.append(begins[1:], len(loud)) - 1
+    raw = [(a * hop / rate * 1000, (b * hop + size) / rate * 1000) for a, b in zip(loud[begins].tolist(), loud[ends].tolist(), strict=True)] if len(loud) else []
+    bridged = [(a, b) for a, b in _merged(raw, HANGOVER_MS) if b - a >= LEAST_SPEECH_MS]
+    return [(max(0.0, a - PAD_MS), min(len(x) / rate * 1000, b + PAD_MS)) for a, b in _merged(bridged, MERGE_MS)]
+
+
 def denoise(x: np.ndarray, rate: float, strength: float = 1.0) -> np.ndarray:
     """A Wiener filter with decision-directed gains over a trailing noise floor, mixed in by how noisy the signal is."""
     x = np.asarray(x, np.float64)
