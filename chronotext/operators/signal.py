@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import TrailingPercentile, affine_states, biquad_highpass, decayed
 from .sequence import islands, merge_intervals
 
 FRAME, HOP = 0.02, 0.01
@@ -166,15 +167,9 @@ def high_pass(x: np.ndarray, rate: float, hz: float) -> np.ndarray:
     x = np.asarray(x, np.float64)
     if not len(x) or rate <= 0 or not 0 < hz < rate / 2:
         return x.astype(np.float32)
-    w = 2 * np.pi * hz / rate
-    alpha, c = np.sin(w) / np.sqrt(2), np.cos(w)
-    scale = 1 + alpha
-    fed = (x - 2 * np.concatenate([[0], x[:-1]]) + np.concatenate([[0, 0], x[:-2]])[: len(x)]) * ((1 + c) / 2 / scale)
-    a, b, one, two, out = 2 * c / scale, (alpha - 1) / scale, 0.0, 0.0, np.empty(len(x))
-    for i, v in enumerate(fed.tolist()):
-        one, two = v + a * one + b * two, one
-        out[i] = one
-    return out.astype(np.float32)
+    m, v, b0 = biquad_highpass(rate, hz)
+    states = affine_states(m, v, x[:, None], np.zeros(2))
+    return (b0 * x + states[:-1, 0]).astype(np.float32)
 
 
 def resample_sinc(x: np.ndarray, source: float, target: float, taps: int = 32) -> np.ndarray:
@@ -289,14 +284,15 @@ def denoise(x: np.ndarray, rate: float, strength: float = 1.0) -> np.ndarray:
 
     def filtered(spectra: list[np.ndarray]) -> np.ndarray:
         power = np.abs(spectra[0]) ** 2
-        heard, prior, gains = [], np.zeros(power.shape[1]), np.empty_like(power)
+        loud = power.sum(1) > TINY
+        window, floors = TrailingPercentile(0.1, most, power.shape[1]), np.empty_like(power)
         for i, row in enumerate(power):
-            if row.sum() > TINY:
-                heard = [*heard, row][-most:]
-            floor = lower_percentile(np.stack(heard or [row]), 0.1) * 6
-            after = np.minimum(row / (floor + TINY), 1e4)
-            prior = np.minimum(1e4, 0.98 * prior + 0.02 * np.maximum(after - 1, 0))
-            gains[i] = np.maximum(prior / (1 + prior), 10 ** (-15 / 20))
+            # a silent frame leaves the window as it is; before the first other one it is its own floor
+            floors[i] = window.push(row) if loud[i] else window.at() if window.n else row
+        after = np.minimum(power / (floors * 6 + TINY), 1e4)
+        # 0.98 of the prior before and 0.02 of what the frame adds; both are below 1e4, and so is their sum
+        prior = decayed(0.98, 0.02 * np.maximum(after - 1, 0))
+        gains = np.maximum(prior / (1 + prior), 10 ** (-15 / 20))
         return spectra[0] * gains
 
     return ((1 - wet) * x + wet * _overlap_add([x], filtered)).astype(np.float32)
