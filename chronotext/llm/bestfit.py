@@ -1,8 +1,8 @@
 """Best-fit packing by sums of squares: documents as token ids, cut in pieces of at most `capacity`, packed into sequences.
 
 1. Pieces: a text's ids and an end id. Only a document longer than a sequence is cut, so that all its pieces but the first
-   fill a sequence each. The library encodes every distinct unit (a run that begins at a space before a character) that a
-   worker does not hold any more; no pre-token reaches over such a border.
+   fill a sequence each. The library encodes every distinct unit that a worker does not hold any more; units end where letters do and
+   begin at a space before a character, and no pre-token reaches over such a border.
 2. Packing: pieces that fill a sequence stay alone. All others are dealt at random into groups of about `group` pieces and
    come longest first. With N(g) open sequences of gap g, a piece of length s goes into the open sequence that makes the sum
    of all N(g)^2 smallest: it takes one from N(g) and adds one to N(g - s). A sequence is opened only where none has room,
@@ -34,6 +34,11 @@ _RESULT = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offse
 #: Bytes that surely begin no white space: ASCII but for control characters and space, and leads of other blocks than Unicode's spaces have.
 _SOLID = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xE0 or 0xE4 <= b <= 0xF4 for b in range(256)])
 
+#: Bytes of ASCII letters; second bytes of U+00C0 to U+00FF without the two signs among them; ASCII but for letters.
+_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_NO_LETTER = np.array([b < 0x80 for b in range(256)]) & ~_LETTER
+
 
 class Encoder:
     """The ids of whole texts by a tokenizers file (byte-level BPE), each distinct unit encoded once as long as it is held."""
@@ -53,18 +58,23 @@ class Encoder:
         self.begin, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 12, np.uint32), 0
 
     def borders(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Where units begin: at texts, at a space before what is no white space, around special strings."""
+        """Where units begin: at texts, at a space before what is no white space, behind a run of letters, around special strings."""
         n = len(data)
         starts = np.zeros(n + 1, bool)
         starts[: n - 1] = (data[:-1] == 0x20) & _SOLID[data[1:]]
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+        starts[1:n] |= letter[:-1] & _NO_LETTER[data[1:]]
         edges = offsets[(offsets > 0) & (offsets < n)]
-        starts[edges - 1] = False  # the next character is another text's
+        at_edge = edges - 1
+        starts[at_edge] &= ~((data[at_edge] == 0x20) & ~np.append(False, letter)[at_edge])  # the next character is another text's
         raw = data.tobytes()
         for word in self.special:
             at = raw.find(word)
             while at >= 0:
                 text = int(np.searchsorted(offsets, at, side="right"))
                 if at + len(word) <= offsets[text]:  # not half in the next text
+                    starts[at + 1 : at + len(word)] = False
                     starts[[at, at + len(word)]] = True
                     if at and offsets[text - 1] < at:
                         starts[at - 1] &= raw[at - 1] != 0x20  # a space there is the end of what stands before
@@ -77,7 +87,8 @@ class Encoder:
     def slots_of(self, units: list[str]) -> np.ndarray:
         if self.used > HELD_IDS:
             self._forget()
-        slots = np.fromiter((self.slots.get(u, -1) for u in units), np.int64, len(units))
+        get = self.slots.get
+        slots = np.array([get(u, -1) for u in units], np.int64)
         missing = np.flatnonzero(slots < 0)
         new, lengths = [], []
         for i in range(0, len(missing), 4000):
