@@ -50,20 +50,21 @@ def client_message(value: F.Column) -> F.Column:
     return F.when(raw.rlike(r"^\s*\{"), said)
 
 
-def _key(token: str) -> str:
+def token_key(token: str) -> str:
+    """What two words are compared by: lower case, without marks around them."""
     return _EDGES.sub("", token.lower())
 
 
 def stable_prefix(before: str, after: str) -> str:
     a, b = before.split(), list(regex.finditer(r"\S+", after))
     n = 0
-    while n < min(len(a), len(b)) and _key(a[n]) == _key(b[n][0]):
+    while n < min(len(a), len(b)) and token_key(a[n]) == token_key(b[n][0]):
         n += 1
     return after[: b[n - 1].end()].strip() if n else ""
 
 
 def strip_overlap(before: str, after: str) -> str:
-    a, b = [_key(t) for t in before.split()], [_key(t) for t in after.split()]
+    a, b = [token_key(t) for t in before.split()], [token_key(t) for t in after.split()]
     n = next((k for k in range(min(len(a), len(b)), 0, -1) if a[-k:] == b[:k]), 0)
     return " ".join(after.split()[n:])
 
