@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table, work_folder
-from ..streaming import audio, ordered
+from ..functions import tables
+from ..operators.job_store import JobStore
+from ..operators.sequence import distribute_words
+from ..sources.tables import segments, table, work_folder
+from ..streaming import audio, ordered, progress
+from .catalogue import _WORDS
 from .registry import query
 
 #: Samples of a frame made of an embedding, and their rate: a frame of 100 ms.
@@ -96,3 +100,50 @@ def live_audio(spark, sf_dir):
 def live_audio_batch(spark, sf_dir):
     """The same from the table, without a stream."""
     return audio.batch(_frames(spark, sf_dir), _SETTINGS)
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS status, arg_max(value, (ts, event_id)) FILTER (event_type <> 'error' AND value IS NOT NULL) AS progress,
+  arg_max(props, (ts, event_id)) FILTER (event_type = 'error' AND props IS NOT NULL) AS error FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, event_id, status, progress, error FROM l WHERE NOT (status = 'click' AND user_id % 3 = 0)""")
+def job_store(spark, sf_dir):
+    """Events as changes of their user's job, merged in four micro-batches, in any order; some jobs are removed and the store compacted."""
+    failed = F.col("event_type") == "error"
+    changes = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("status"), F.when(~failed, F.col("value")).alias("progress"), F.when(failed, F.col("props")).alias("error"))
+    store = JobStore(spark, work_folder(spark, "jobs"), "user_id long, ts timestamp, event_id long, status string, progress double, error string", "user_id", ["ts", "event_id"], buckets=16)
+    for i in range(4):
+        store.merge(changes.where(F.pmod("event_id", F.lit(4)) == i), i)
+    store.prune((F.col("status") == "click") & (F.col("user_id") % 3 == 0))
+    store.compact()
+    return store.read().drop("ts")
+
+
+@query(f"""WITH {_WORDS} SELECT 'documents' AS job, 'segments' AS stage, count(*) AS done, CAST(NULL AS BIGINT) AS total, count(*) FILTER (length(text) < 20) AS failed FROM seg
+UNION ALL SELECT 'documents', 'words', count(*), CAST(NULL AS BIGINT), 0 FROM words""")
+def observed_progress(spark, sf_dir):
+    """Segments and words of documents, counted while they are made."""
+    board = progress.Board()
+    told = board.watch(segments(spark, sf_dir), "documents", "segments", failed=F.char_length("text") < 20)
+    words = board.watch(distribute_words(told, ["doc_id", "seg_no"], lang=F.lit("en")), "documents", "words")
+    words.write.format("noop").mode("overwrite").save()
+    return board.table(spark)
+
+
+def _runs():
+    import numpy as np
+
+    def hear(samples, rate):
+        up = np.concatenate([[0], (samples > 0).astype(np.int8), [0]])
+        begin, end = np.flatnonzero(np.diff(up) > 0), np.flatnonzero(np.diff(up) < 0)
+        return [(f"{b - a} up", a * 1000 / rate, b * 1000 / rate) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if b - a > 2]
+
+    return tables.one_by_one(hear)
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) > 0 AS up FROM embeddings), g AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM x WHERE up),
+r AS (SELECT vec_id, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY vec_id, g HAVING count(*) > 2)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY a) - 1 AS INTEGER) AS seg_no, (b - a) || ' up' AS text, a * 1000.0::DOUBLE / 640 AS start_ms, b * 1000.0::DOUBLE / 640 AS end_ms, CAST(NULL AS VARCHAR) AS error FROM r""")
+def heard_by_sql(spark, sf_dir):
+    """Embeddings heard by a table function in SQL, a worker's model over several media at once."""
+    tables.register_recogniser(spark, "chronotext_hear", _runs, "vec_id")
+    table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").selectExpr("vec_id", "embedding AS samples", "640 AS rate").createOrReplaceTempView("chronotext_audio")
+    return spark.sql("SELECT * FROM chronotext_hear(TABLE(chronotext_audio))")
