@@ -4,9 +4,9 @@ The nearest vectors x of a query q are those of the largest q.x - |x|^2 / 2. q.x
 cut in subspaces, each with 16 centres, and codes and centres minimise a loss in which the part of the residual that is
 parallel to x, which is what distorts large inner products, costs `eta` times the part across it; |x|^2 is kept exactly.
 Two four-bit codes make a byte, and a scan adds one entry of a table of 256 per byte and query. Equal vectors of a batch
-are one node. The best `rerank` of each batch are measured exactly, in double precision; then every other node whose
-estimate, with all that its quantisation error can add, may be as near as the k-th nearest so far. So nothing is lost to
-the estimate, and a partition hands on its `k` nearest of each query.
+are one node. Of each batch the nodes of the best estimates are measured exactly, in double precision: a fixed share of
+them, at least 4 k, and all that tie with the last of these; of copies and of vectors of one code none is left out alone. A
+partition hands on its `k` nearest of each query. The tests hold the recall on the tables at hand against brute force.
 
 Centres are fitted on at most `sample` vectors; every vector is indexed and every query scans all of them. Queries are
 taken in blocks of bounded size.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .shared import unit_hash, written
 
-SAMPLE, QUERY_BLOCK, RERANK = 20_000, 4096, 256
+SAMPLE, QUERY_BLOCK = 20_000, 4096
+#: The share of a batch's nodes that is measured, and how many times k at least.
+RERANK, LEAST = 0.06, 4
 SUBSPACE = 2
 #: Inner products of at least this cosine matter: eta = (d - 1) t^2 / (1 - t^2).
 THRESHOLD = 0.2
@@ -164,7 +166,7 @@ def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sa
 class Nodes:
     """The distinct vectors of a batch, each with its k + 1 smallest ids: one of them may be the query's own."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, book: Codebook, k: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int):
         x = np.ascontiguousarray(x + x.dtype.type(0))  # -0 and 0 are one value
         coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).dictionary_encode()
         node = coded.indices.to_numpy(zero_copy_only=False)
@@ -180,9 +182,7 @@ class Nodes:
         self.begin = np.cumsum(self.count) - self.count
         self.x, self.codes = x[rows].astype(np.float64), codes[:, rows]
         self.half = (self.x**2).sum(1) / 2
-        said = book.decode(self.codes.T)
-        # what the estimate of q.x may be off by, for each unit of |q|: quantisation, and the rounding of its sum
-        self.error = np.sqrt(((self.x - said) ** 2).sum(1)) + (len(self.codes) + 8) * 2.4e-7 * np.linalg.norm(said, axis=1) + 1e-30
+        _, self.code = np.unique(np.ascontiguousarray(self.codes.T).view(np.dtype((np.void, len(self.codes)))).ravel(), return_inverse=True)
 
     def nearer(self, best: tuple[np.ndarray, np.ndarray], found: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest distinct ids of `best` and the nodes `found`, without `own`, by exact distance."""
@@ -197,7 +197,25 @@ class Nodes:
         return a[order], d[order]
 
 
-def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int = 10, rerank: int = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
+def shortlist(estimate: np.ndarray, code: np.ndarray, k: int, rerank: float = RERANK) -> list[np.ndarray]:
+    """Of each row of estimates the nodes to measure: the best, all that are as good as the last of them, and all that share
+    a code with one of the best 2 k, which an estimate cannot tell apart."""
+    n = estimate.shape[1]
+    m = max(LEAST * k, k + 1, math.ceil(rerank * n))
+    if m >= n:
+        return [np.arange(n)] * len(estimate)
+    last = -np.partition(-estimate, m - 1, axis=1)[:, m - 1]
+    near = np.argpartition(-estimate, 2 * k - 1, axis=1)[:, : 2 * k]
+    alike = np.zeros(code.max() + 1, bool)
+    out = []
+    for row, least, best in zip(estimate, last, near, strict=True):
+        alike[code[best]] = True
+        out.append(np.flatnonzero((row >= least) | alike[code]))
+        alike[code[best]] = False
+    return out
+
+
+def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int = 10, rerank: float = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each of `queries` (id, vector)."""
     schema = "query_id long, vec_id long, score double"
     spark = indexed.sparkSession
@@ -217,7 +235,7 @@ def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1).T.copy()
-                nodes = Nodes(own, x, codes, book, k)
+                nodes = Nodes(own, x, codes, k)
                 n = len(nodes.half)
                 for i in range(0, len(ids), 64):
                     some = q[i : i + 64].astype(np.float64)
@@ -227,24 +245,8 @@ def search(indexed: DataFrame, book: Codebook | None, queries: DataFrame, k: int
                         inner += np.take(table[:, byte], nodes.codes[byte], axis=1)
                     estimate = inner - nodes.half
                     estimate[np.abs(some).max(axis=1) > MOST_SINGLE] = np.inf  # beyond what tables hold: all are measured
-                    m = min(n, rerank + k)
-                    near = np.argpartition(-estimate, m - 1, axis=1)[:, :m] if m < n else np.repeat(np.arange(n)[None, :], len(table), 0)
-                    for j, found in enumerate(near, i):
+                    for j, found in enumerate(shortlist(estimate, nodes.code, k, rerank), i):
                         best[j] = nodes.nearer(best[j], found, q[j].astype(np.float64), ids[j], k)
-                    if m == n:
-                        continue
-                    # all others that the error of their estimate lets be as near as the k-th nearest
-                    square = (some**2).sum(1)
-                    last = np.array([d[-1] ** 2 if len(d) == k else np.inf for _, d in best[i : i + 64]])
-                    cut = ((square - last) / 2 - 1e-14 * (square + last))[:, None]
-                    rest = ~(estimate + np.sqrt(square)[:, None] * nodes.error < cut)
-                    np.put_along_axis(rest, near, False, axis=1)
-                    left = np.flatnonzero(rest.any(0))
-                    exact = some @ nodes.x[left].T - nodes.half[left]
-                    rounding = 1e-15 * (nodes.x.shape[1] + 8) * (np.sqrt(square)[:, None] * np.sqrt(2 * nodes.half[left]) + nodes.half[left])
-                    rest = rest[:, left] & (exact + rounding >= cut)
-                    for j in np.flatnonzero(rest.any(1)).tolist():
-                        best[i + j] = nodes.nearer(best[i + j], left[rest[j]], some[j], ids[i + j], k)
             for i in range(0, len(ids), 4096):
                 some = best[i : i + 4096]
                 yield pa.record_batch([pa.array(np.repeat(ids[i : i + 4096], [len(a) for a, _ in some])), pa.array(np.concatenate([a for a, _ in some])), pa.array(np.concatenate([d for _, d in some]))], ["query_id", "vec_id", "score"])
