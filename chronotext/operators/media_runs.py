@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +24,43 @@ def by_medium(rows: DataFrame, by: list[str], order: list[str], make: Make, sche
     dealt = rows.withColumn("_medium", F.xxhash64(*by)).repartition(*by).sortWithinPartitions(*by, *order)
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []  # of the medium that the batches so far end in
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            at = begins(table["_medium"])
-            whole = int(at[-2]) if len(at) > 1 else 0
-            if whole:
-                yield make(table.slice(0, whole).combine_chunks(), at[:-1])
-            held = table.slice(whole)
-        if held is not None and len(held):
-            yield make(held.combine_chunks(), begins(held["_medium"]))
+            if not batch.num_rows:
+                continue
+            medium = batch.column(batch.schema.names.index("_medium"))
+            at = begins(pa.chunked_array([medium]))
+            goes_on = bool(held) and held[-1].column("_medium")[-1].as_py() == medium[0].as_py()
+            if len(at) == 2 and (goes_on or not held):
+                held.append(batch)
+                continue
+            last = int(at[-2])
+            whole = pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])])
+            held = [batch.slice(last)]
+            yield make(whole.combine_chunks(), begins(whole["_medium"]))
+        if held:
+            whole = pa.Table.from_batches(held)
+            yield make(whole.combine_chunks(), begins(whole["_medium"]))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def in_order(rows: DataFrame, by: list[str], order: list[str], begin: Callable[[], object], take: Callable[[object, dict], Iterator[dict]], schema: str, types: pa.Schema) -> DataFrame:
+    """What `take` gives for each row of each medium in order, with what `begin` has made for the medium; a task holds that and one batch.
+
+    `take` need not name the medium: its keys are added.
+    """
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
+
+    def run(batches):
+        now, state, first = None, None, True
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in by)
+                if first or key != now:
+                    now, state, first = key, begin(), False
+                out += [dict(zip(by, key, strict=True)) | e for e in take(state, row)]
+            yield pa.RecordBatch.from_pylist(out, types)
 
     return dealt.mapInArrow(run, schema)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import language_tag
 from ..schema import CJK_STYLE, LANGUAGES, LATIN_STYLE
+from .media_runs import by_medium
 from .packing import cjk_language, group_blocks, joined, split_proportionally, wrap_lines
 
 #: texts, source, target -> texts
@@ -67,27 +70,35 @@ def translate_cues(cues: DataFrame, by: list[str], order: str, text: str, source
     """
     types = dict(cues.dtypes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        texts = [t or "" for t in rows[text]]
+    def translated(texts: list[str]) -> tuple[list[str], list[str | None]]:
         out, errors = list(texts), [None] * len(texts)
         blocks = group_blocks(texts, most, most_chars)
-        for b in range(blocks[-1] + 1 if blocks else 0):
-            own = [i for i, x in enumerate(blocks) if x == b]
+        first = 0
+        while first < len(texts):
+            last = first
+            while last < len(texts) and blocks[last] == blocks[first]:
+                last += 1
+            own = texts[first:last]
             try:
-                whole = translator([joined([texts[i] for i in own], source)], source, target)[0]
-                for i, piece in zip(own, split_proportionally(whole, [texts[i] for i in own]), strict=True):
-                    out[i] = piece
+                whole = translator([joined(own, source)], source, target)[0]
+                out[first:last] = list(split_proportionally(whole, own))
             except Exception:
-                for i in own:
+                for i in range(first, last):
                     try:
                         out[i] = translator([texts[i]], source, target)[0]
                     except Exception as e:  # the cue keeps its text; the error is its row's
                         errors[i] = str(e)
-        return rows[[*by, order]].assign(translation=out, error=errors)
+            first = last
+        return out, errors
 
-    schema = ", ".join(f"{c} {types[c]}" for c in [*by, order]) + ", translation string, error string"
-    return cues.select(*by, order, text).groupBy(*by).applyInPandas(run, schema)
+    def run(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        texts = [t or "" for t in rows["_text"].to_pylist()]
+        parts = [translated(texts[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        out, errors = ([x for p in parts for x in p[i]] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in [*by, order]), pa.array(out, pa.string()), pa.array(errors, pa.string())], [*by, order, "translation", "error"])
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, order]) + ", translation string, error string"
+    return by_medium(cues.select(*by, order, F.col(text).alias("_text")), by, [order], run, schema)
 
 
 def translated_cues(cues: DataFrame, translations: DataFrame, by: list[str], order: str, target: str) -> DataFrame:

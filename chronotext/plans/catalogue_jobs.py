@@ -121,9 +121,9 @@ def export_lookup(spark, sf_dir):
     return jobs.find_export(made, asked, "doc_id").select("event_id", "export_id", "doc_id", F.col("record").alias("status"))
 
 
-@query("SELECT event_id, ts < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 36 HOUR AS removed FROM events WHERE ts IS NOT NULL")
+@query("SELECT event_id, coalesce(ts < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 36 HOUR, false) AS removed FROM events")
 def pruned_jobs(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
     kept, removed = jobs.prune(rows, F.lit("2024-01-15 12:00:00").cast("timestamp"), age="36 HOUR")
     return kept.select("event_id", F.lit(False).alias("removed")).unionAll(removed.select("event_id", F.lit(True).alias("removed")))
 
@@ -190,10 +190,11 @@ def byte_sizes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", bytes_text(n).alias("size"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(floor(((event_id % 5) * 3600 + (event_id % 60) * 60 + value) * 1000 + 0.5) AS BIGINT) END AS ms FROM events WHERE value >= 0 AND value < 60""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 3 AND value >= 0 AND value < 60 THEN CAST(floor(((event_id % 5) * 3600 + (event_id % 60) * 60 + value) * 1000 + 0.5) AS BIGINT) END AS ms FROM events""")
 def progress_times(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("value >= 0 AND value < 60")
-    line = F.when(F.col("event_id") % 4 == 3, F.lit("frame=  10 fps=25")).otherwise(F.format_string("frame=1 time=%d:%02d:%05.2f bitrate=1", F.col("event_id") % 5, F.col("event_id") % 60, "value"))
+    """Lines without a time, and with seconds that none has, give none."""
+    rows = table(spark, sf_dir, "events")
+    line = F.when((F.col("event_id") % 4 == 3) | ~F.coalesce((F.col("value") >= 0) & (F.col("value") < 60), F.lit(False)), F.lit("frame=  10 fps=25")).otherwise(F.format_string("frame=1 time=%d:%02d:%05.2f bitrate=1", F.col("event_id") % 5, F.col("event_id") % 60, "value"))
     return rows.select("event_id", timing.ffmpeg_time(line).alias("ms"))
 
 

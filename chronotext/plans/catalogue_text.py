@@ -12,7 +12,7 @@ from ..operators import packing, phonetics, quality, sequence, signal, stats
 from ..sources import sinks
 from ..sources.tables import intervals, segments, table
 from .catalogue import _EVENTS, _LINE_CUES, _LINES, _WORDS, _line_cues, _words
-from .registry import query
+from .registry import ORACLES, query
 
 #: A character for each letter from a to z, and its reading.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -260,6 +260,29 @@ gapped AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY seg_no, first) -
 chunks AS (SELECT doc_id, s AS start_ms, least(e, coalesce(most, e)) AS end_ms, n_words, text, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no, first) AS index FROM gapped WHERE least(e, coalesce(most, e)) > s)"""
 
 
+_FOUND, _SHOWN = _CHUNKS[: _CHUNKS.index("cut AS")].replace("told AS", "piece AS"), _CHUNKS[_CHUNKS.index("cut AS") :]
+#: Merging of short cues, one step of one document at a time: `cur` is the cue at hand (of chunks a to b, letters p to q), `done` what stands before it.
+_CUES = f"""{_FOUND}
+num AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no, first) - 1 AS k, t, s, e, length(array_to_string(t, ' ')) + 1 AS size FROM piece),
+pre AS MATERIALIZED (SELECT doc_id, k, t, s, e, CAST(sum(size) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS p, CAST(sum(size) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS q FROM num),
+mer AS (
+  SELECT doc_id, CAST([] AS STRUCT(s DOUBLE, e DOUBLE, a BIGINT, b BIGINT, p BIGINT, q BIGINT)[]) AS done, CAST({{'s': s, 'e': e, 'a': k, 'b': k + 1, 'p': p, 'q': q}} AS STRUCT(s DOUBLE, e DOUBLE, a BIGINT, b BIGINT, p BIGINT, q BIGINT)) AS cur FROM pre WHERE k = 0
+  UNION ALL
+  SELECT doc_id, CASE way WHEN 1 THEN list_append(done, cur) WHEN 4 THEN list_append(done, {{'s': cur.s, 'e': greatest(cur.e, least(cur.s + 1000, cur.s + 7000, coalesce(ns - 80, cur.s + 7000))), 'a': cur.a, 'b': cur.b, 'p': cur.p, 'q': cur.q}}) WHEN 3 THEN done[:-2] ELSE done END,
+         CASE way WHEN 2 THEN {{'s': cur.s, 'e': ne, 'a': cur.a, 'b': cur.b + 1, 'p': cur.p, 'q': nq}} WHEN 3 THEN {{'s': done[-1].s, 'e': cur.e, 'a': done[-1].a, 'b': cur.b, 'p': done[-1].p, 'q': cur.q}}
+                  ELSE CASE WHEN ns IS NOT NULL THEN {{'s': ns, 'e': ne, 'a': cur.b, 'b': cur.b + 1, 'p': np, 'q': nq}} END END
+  FROM (SELECT mer.doc_id, done, cur, n.s AS ns, n.e AS ne, n.p AS np, n.q AS nq,
+               CASE WHEN cur.e - cur.s >= 1000 THEN 1 WHEN n.e - cur.s <= 7000 AND n.q - cur.p - 1 <= 84 THEN 2 WHEN len(done) > 0 AND cur.e - done[-1].s <= 7000 AND cur.q - done[-1].p - 1 <= 84 THEN 3 ELSE 4 END AS way
+        FROM mer LEFT JOIN pre n ON n.doc_id = mer.doc_id AND n.k = cur.b WHERE cur IS NOT NULL)
+), one AS (SELECT doc_id, unnest(done) AS c FROM mer WHERE cur IS NULL),
+told AS (SELECT o.doc_id, 0 AS seg_no, o.c.a AS first, flatten(list(n.t ORDER BY n.k)) AS t, o.c.s AS s, o.c.e AS e FROM one o JOIN pre n ON n.doc_id = o.doc_id AND n.k >= o.c.a AND n.k < o.c.b GROUP BY ALL),
+{_SHOWN}"""
+ORACLES["build_cues"] = f"WITH RECURSIVE {_WORDS}, {_CUES} SELECT doc_id, CAST(index AS INTEGER) AS index, start_ms, end_ms, CAST(n_words AS INTEGER) AS n_words, text FROM chunks"
+ORACLES["cue_stats"] = f"""WITH RECURSIVE {_WORDS}, {_CUES}, c AS (SELECT doc_id, length_grapheme(replace(replace(text, ' ', ''), chr(10), '')) / ((end_ms - start_ms) / 1000) AS cps, n_words, end_ms FROM chunks),
+st AS (SELECT doc_id, count(*) AS cue_count, CAST(sum(n_words) AS BIGINT) AS word_count, round(avg(cps), 6) AS avg_cps, round(max(cps), 6) AS max_cps, max(end_ms) AS duration_ms FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(cue_count, 0) AS cue_count, coalesce(word_count, 0) AS word_count, coalesce(avg_cps, 0.0)::DOUBLE AS avg_cps, coalesce(max_cps, 0.0)::DOUBLE AS max_cps, coalesce(duration_ms, 0.0)::DOUBLE AS duration_ms FROM documents LEFT JOIN st USING (doc_id)"""
+
+
 @query(f"WITH RECURSIVE {_WORDS}, {_CHUNKS} SELECT doc_id, CAST(index AS INTEGER) AS index, start_ms, end_ms, CAST(n_words AS INTEGER) AS n_words, text FROM chunks")
 def greedy_chunks(spark, sf_dir):
     from .catalogue import _cues

@@ -20,12 +20,12 @@ from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.media_runs import in_order
 from ..operators.signal import regions
-from .live import EVENTS, MOST_MS, SILENCE_MS, TAIL_MS, UPDATE_MS, stable_prefix, strip_overlap
+from .live import _EVENTS, EVENTS, MOST_MS, SILENCE_MS, TAIL_MS, UPDATE_MS, stable_prefix, strip_overlap
 from .ordered import InOrder, by_value, watermarked
 
 FRAMES = "session_id string, seq long, ts timestamp, kind string, samples array<float>"
@@ -242,17 +242,5 @@ def events(frames: DataFrame, settings: Settings, delay: str = "10 seconds", idl
 def batch(frames: DataFrame, settings: Settings) -> DataFrame:
     """The same events from a table of FRAMES. A task holds one Arrow batch and what one session holds."""
     told = frames.select("session_id", F.unix_millis("ts").alias("at_ms"), F.col("seq").alias("no"), "kind", "samples").dropna(subset=["session_id", "at_ms", "no"])
-    dealt = told.dropDuplicates(["session_id", "at_ms", "no"]).repartition("session_id").sortWithinPartitions("session_id", "at_ms", "no")
-    schema = pa.schema([("session_id", pa.string()), ("seq", pa.int64()), ("type", pa.string()), ("cue_id", pa.int32()), ("text", pa.string()), ("start_ms", pa.float64()), ("end_ms", pa.float64())])
-
-    def run(batches):
-        now, segment = None, None
-        for rows in batches:
-            out = []
-            for row in rows.to_pylist():
-                if row["session_id"] != now:
-                    now, segment = row["session_id"], Segment(settings, Scalars(), {})
-                out += [e | {"session_id": now} for e in segment.take(row)]
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return dealt.mapInArrow(run, EVENTS)
+    once = told.dropDuplicates(["session_id", "at_ms", "no"])
+    return in_order(once, ["session_id"], ["at_ms", "no"], lambda: Segment(settings, Scalars(), {}), lambda segment, row: segment.take(row), EVENTS, _EVENTS)

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.media_runs import by_medium
+from ..operators.media_runs import by_medium, in_order
 
 SILENCE_MS, MOST_MS, UPDATE_MS, TAIL_MS = 600.0, 7000.0, 1000.0, 200.0
 UPDATES = "session_id string, seq long, kind string, consumed_ms double, speech_start_ms double, speech_end_ms double, hypothesis string"
 EVENTS = "session_id string, seq long, type string, cue_id int, text string, start_ms double, end_ms double"
+_UPDATES = pa.schema([("session_id", pa.string()), ("seq", pa.int64()), ("kind", pa.string()), ("consumed_ms", pa.float64()), ("speech_start_ms", pa.float64()), ("speech_end_ms", pa.float64()), ("hypothesis", pa.string())])
+_EVENTS = pa.schema([("session_id", pa.string()), ("seq", pa.int64()), ("type", pa.string()), ("cue_id", pa.int32()), ("text", pa.string()), ("start_ms", pa.float64()), ("end_ms", pa.float64())])
 #: Control messages of a client. Fixed values.
 CONTROL = "type string, language string, model string, translateTo string, sampleRate int"
 KINDS = ["start", "flush", "stop"]
@@ -104,18 +106,15 @@ def frames_to_updates(frames: DataFrame, recogniser: Callable, rate: int = 16_00
     or stop is decoded over `final_ms`, any other frame over `partial_ms`.
     """
 
-    def decode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held, out = Buffer(rate, final_ms), []
-        for r in rows.sort_values("seq", kind="stable").to_dict("records"):
-            if r["samples"] is not None:
-                held.append(r["samples"])
-            window, at = held.window(final_ms if r["kind"] in ("flush", "stop") else partial_ms)
-            heard = recogniser(window, rate) if len(window) else None
-            text, a, b = heard if heard else ("", None, None)
-            out.append((key[0], r["seq"], r["kind"], held.consumed_ms, None if a is None else at + a, None if b is None else at + b, text))
-        return pd.DataFrame(out, columns=["session_id", "seq", "kind", "consumed_ms", "speech_start_ms", "speech_end_ms", "hypothesis"])
+    def decode(held: Buffer, r: dict) -> Iterator[dict]:
+        if r["samples"] is not None:
+            held.append(r["samples"])
+        window, at = held.window(final_ms if r["kind"] in ("flush", "stop") else partial_ms)
+        heard = recogniser(window, rate) if len(window) else None
+        text, a, b = heard if heard else ("", None, None)
+        yield {"seq": r["seq"], "kind": r["kind"], "consumed_ms": held.consumed_ms, "speech_start_ms": None if a is None else at + a, "speech_end_ms": None if b is None else at + b, "hypothesis": text}
 
-    return frames.groupBy("session_id").applyInPandas(decode, UPDATES)
+    return in_order(frames.select("session_id", "seq", "kind", "samples"), ["session_id"], ["seq"], lambda: Buffer(rate, final_ms), decode, UPDATES, _UPDATES)
 
 
 def write_events(stream: DataFrame, path: str, checkpoint: str, **trigger):
@@ -206,7 +205,7 @@ def events(updates: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
 
 def batch(updates: DataFrame) -> DataFrame:
     """The same events from a table of updates, each session in order."""
-    return updates.groupBy("session_id").applyInPandas(lambda key, rows: _events(key[0], Session(), rows), EVENTS)
+    return in_order(updates, ["session_id"], ["seq"], Session, lambda session, row: session.take(row), EVENTS, _EVENTS)
 
 
 def finals_translated(stream: DataFrame, translate) -> DataFrame:

@@ -120,7 +120,7 @@ def test_stream_state_is_bounded(spark, tmp_path):
     land(spark, str(tmp_path / "in"), [rows[:50], rows[50:], [("end", 0, at(10**6), "flush", None)]], audio.FRAMES)
     stream = spark.readStream.schema(audio.FRAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ordered.run_available(audio.events(stream, SETTINGS, "1 second", None), str(tmp_path / "out"), str(tmp_path / "state"), 1).count()
-    held = spark.read.format("statestore").option("stateVarName", "frames").load(str(tmp_path / "state")).select(F.size("value.samples").alias("n")).collect()
+    held = spark.read.format("statestore").option("stateVarName", "frames").load(str(tmp_path / "state")).select(F.size("user_map_value.samples").alias("n")).collect()
     assert 0 < sum(r["n"] for r in held) <= 8000 * (600 + 100) / 1000
     waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "state"))
     assert waiting.count() <= 1
