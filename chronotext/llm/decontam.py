@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import fresh_name, tidy
+from .shared import fresh_name, named_apart, stored, tidy
 
 WINDOW = 10
 #: Symbols of one shard's index, and rows that wait for it, at most (a text of more symbols is a shard alone).
@@ -302,18 +302,20 @@ def _blocks(benchmark: DataFrame, window: int, item: str, item_text: str, block_
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of `docs`: key, text_key, n_words, spans of hit words and bytes (merged, in order), and the names of the items."""
-    found = [_one_pass(docs, wanted, key, text) for wanted in _blocks(benchmark, window, item, item_text, block_bytes)]
-    if not found:
-        none = Phrases(np.zeros(1, np.uint64), np.zeros(1 << 20, bool), {}, {}, [], 1)
-        return _one_pass(docs, none, key, text)
-    if len(found) == 1:
-        return found[0]
-    every = reduce(DataFrame.unionAll, found).groupBy(key, "text_key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(found)).cast("int").alias("_copies"))
+    named_apart(key, ["text_key", "n_words", "spans", "items"])
+    blocks = _blocks(benchmark, window, item, item_text, block_bytes) or [Phrases(np.zeros(1, np.uint64), np.zeros(1 << 20, bool), {}, {}, [], 1)]
+    own = docs.select(F.col(key).alias("own_key"), F.col(text).alias("own_text"))
+    if len(blocks) == 1:
+        return _one_pass(own, blocks[0], "own_key", "own_text").withColumnRenamed("own_key", key)
+    # each row has a number of its own, so what meets is a row for each block of the benchmark, whatever keys and texts repeat
+    rows = stored(own.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col("own_key").alias("key")).alias("own_key"), "own_text"), "numbered")
+    found = [_one_pass(rows, wanted, "own_key", "own_text") for wanted in blocks]
+    every = reduce(DataFrame.unionAll, found).groupBy("own_key").agg(F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = F.expr("""aggregate(spans, cast(array() as array<struct<first_word:int,end_word:int,first_byte:int,end_byte:int>>), (a, s) ->
         CASE WHEN size(a) = 0 OR s.first_word > element_at(a, -1).end_word THEN concat(a, array(s))
              WHEN s.end_word <= element_at(a, -1).end_word THEN a
              ELSE concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first_word, s.end_word, element_at(a, -1).first_byte, s.end_byte))) END)""")
-    return every.withColumn("spans", merged).select(key, "text_key", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_")).drop("_")
+    return every.withColumn("spans", merged).select(F.col("own_key.key").alias(key), "text_key", "n_words", "spans", "items")
 
 
 def _without(raw: bytes, spans: list[tuple[int, int, int, int]]) -> str:
@@ -355,10 +357,11 @@ def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str =
                 yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type)).filter(pa.array(keep))
 
         return docs.mapInArrow(tidy(clean), docs.schema)
-    hit = find(docs.select(key, text), benchmark, window, key, text, item, item_text, block_bytes).where(F.size("spans") > 0)
-    k, t, s, rest = (fresh_name(docs.columns, n) for n in ("_key", "_text_key", "_spans", "_left"))
-    hit = hit.select(F.col(key).alias(k), F.col("text_key").alias(t), F.col("spans").alias(s), (F.col("n_words") - F.expr("aggregate(spans, 0L, (a, s) -> a + s.end_word - s.first_word)")).alias(rest)).dropDuplicates([k, t])
-    joined = docs.join(hit, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(t)), "left").where(F.col(rest).isNull() | (F.col(rest) > 0))
+    row, own, s, rest = (fresh_name(docs.columns, n) for n in ("_row", "_own", "_spans", "_left"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    hit = find(rows.select(F.col(row).alias("row"), text), benchmark, window, "row", text, item, item_text, block_bytes).where(F.size("spans") > 0)
+    hit = hit.select(F.col("row").alias(own), F.col("spans").alias(s), (F.col("n_words") - F.expr("aggregate(spans, 0L, (a, s) -> a + s.end_word - s.first_word)")).alias(rest))
+    joined = rows.join(hit, F.col(row) == F.col(own), "left").where(F.col(rest).isNull() | (F.col(rest) > 0))
     columns = [*docs.columns, s]
 
     def apply(batches):

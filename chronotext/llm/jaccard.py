@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .components import components
-from .shared import drop, filter_bits, fresh_name, has_bit, hottest, join_hot, member_bits, stored, tidy
+from .shared import drop, filter_bits, fresh_name, has_bit, hottest, join_hot, member_bits, named_apart, stored, tidy
 
 U64 = np.uint64
 #: Members of a block of a tile: SMALL_BLOCK up to 16 blocks, then more, up to BLOCK, so that a tile of n has no more than n * n / BLOCK rows.
@@ -389,7 +389,9 @@ def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
 
     bits: of the wide bitmaps, for each shingle; more let fewer pairs through to the arrays, fewer are less to shuffle.
     """
-    join = ShingleJoin(docs, k, num, den, key, text, bits)
+    named_apart(key, ["n_shingles", "component_id"])
+    given, key = key, "own_key"
+    join = ShingleJoin(docs.select(F.col(given).alias(key), F.col(text).alias("own_text")), k, num, den, key, "own_text", bits)
     described = stored(join.described(), "described")
     of = components(join.links())
     members = described.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least"))
@@ -398,19 +400,21 @@ def classes(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     smallest = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     least = stored(join_hot(rooted, smallest, "component").select("node", "component_id"), "classes")
     drop(rooted)
-    return join_hot(described, least, "node", "left").select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    return join_hot(described, least, "node", "left").select(F.col(key).alias(given), "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def link_counts(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text", bits: int = 16) -> DataFrame:
     """One row per row of `docs`: key, and n_links, the number of other rows that it links with, its exact copies among them."""
-    join = ShingleJoin(docs, k, num, den, key, text, bits)
+    named_apart(key, ["n_links"])
+    given, key = key, "own_key"
+    join = ShingleJoin(docs.select(F.col(given).alias(key), F.col(text).alias("own_text")), k, num, den, key, "own_text", bits)
     described = stored(join.described(), "described")
     links = join.links(every=True)
     copies = described.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
     ends = links.select(F.col("a").alias("of"), F.col("b").alias("node")).unionAll(links.select(F.col("b").alias("of"), F.col("a").alias("node")))
     near = ends.join(copies, "node").groupBy("of").agg(F.sum("copies").alias("near")).withColumnRenamed("of", "node")
     counts = stored(copies.join(near, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0).cast("long"))).alias("n_links")), "counts")
-    return join_hot(described, counts, "node", "left").select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return join_hot(described, counts, "node", "left").select(F.col(key).alias(given), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", bits: int = 8) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hottest, stored, tidy
+from .shared import hottest, named_apart, stored, tidy
 
 #: Most units that are broadcast.
 HOT_UNITS = 1 << 18
@@ -79,6 +79,10 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
 
     `known` must have every unit that occurs. Null and empty texts have sums of 0.
     """
+    named_apart(key, ["n_bytes", *measures])
+    given, key = key, "own_key"
+    docs = docs.select(F.col(given).alias(key), F.col(text).alias("own_text"))
+    text = "own_text"
     least = hottest(known, hot)
     table = known.where(F.col("n") >= least).select("unit", *measures).toArrow()
     words = table["unit"].combine_chunks().cast(pa.string())
@@ -128,4 +132,4 @@ def weighted_sums(docs: DataFrame, known: DataFrame, measures: list[str], split:
     each = [F.coalesce(F.col(f"own_{m}"), F.call_function("try_multiply", F.col("freq"), F.col(m)), F.lit(0).cast("long")).alias(f"v_{m}") for m in measures]
     itself = F.col("n_bytes").isNotNull()
     summed = joined.select("rid", key, "n_bytes", itself.alias("itself"), *each).groupBy("rid").agg(F.first(F.when(F.col("itself"), F.col(key)), ignorenulls=True).alias(key), F.max("n_bytes").alias("n_bytes"), *(F.sum(f"v_{m}").alias(m) for m in measures)).select(key, "n_bytes", *measures)
-    return stored(summed, "sums")
+    return stored(summed.withColumnRenamed(key, given), "sums")
