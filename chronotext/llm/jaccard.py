@@ -42,8 +42,8 @@ U64 = np.uint64
 #: Members of a block of a tile: SMALL_BLOCK up to 16 blocks, then more, up to BLOCK, so that a tile of n has no more than n * n / BLOCK rows.
 SMALL_BLOCK, BLOCK = 256, 4096
 LEAST_BITS, MOST_BITS = 64, 65536
-#: Turns in which members of tiles that are not one class yet are compared with one of them.
-TURNS = 3
+#: Turns in which members of tiles that are not one class yet are compared with one of them: the first leaves few that another would join.
+TURNS = 1
 #: Tiles whose frequency every task knows.
 HOT_TILES = 1 << 17
 
