@@ -64,6 +64,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # rows carry their text and all their ids: smaller batches for the last stage, which the executors enter with full heaps
+    bound_batches(spark, 500)
     pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
     name = fresh_name(docs.columns, "_back")
     back = lattice.decode(lattice.encode(docs, pieces), pieces, text=name)
