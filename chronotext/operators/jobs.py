@@ -19,6 +19,8 @@ CHOICES = {
     "translate": LANGUAGES,
 }
 MOST_CLIP_MS, CLIP_SLACK_MS, MOST_EDIT = 120_000, 2_000, 500
+# Content types, and the message texts of choice_error(), target_list(), clip_error() and edit_check() below,
+# which results have to carry word by word.
 CONTENT_TYPES = {"srt": "application/x-subrip; charset=utf-8", "vtt": "text/vtt; charset=utf-8", "ass": "text/x-ssa; charset=utf-8", "json": "application/json; charset=utf-8"}
 
 
