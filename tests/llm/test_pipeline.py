@@ -3,12 +3,11 @@
 import re
 
 import numpy as np
+import plain_models as plain
 import pytest
 
 import corpus_pipeline
-from chronotext.llm import langid, toxicity
-from chronotext.llm.queries import tokenizer_path, toxic_labels
-from chronotext.llm.shared import held_out
+from chronotext.llm.queries import tokenizer_path
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 NAMES = [n for n, _ in corpus_pipeline.STAGES]
@@ -99,14 +98,13 @@ def tables(spark, tmp_path_factory):
 def expected(spark, folder, items):
     import sentencepiece
 
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    fine = {(r["doc_id"]) for r in toxicity.score(docs, toxicity.learn(docs, toxic_labels(spark, folder))).where("predicted = 0").collect()}
-    rows = [r.asDict() for r in docs.collect() if r["doc_id"] in fine]
+    docs = [r.asDict() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if not plain.held_out(r["doc_id"])]
+    scores = plain.toxic_scores([(r["doc_id"], r["text"]) for r in docs], labels)
+    rows = [r for r, (score, _) in zip(docs, scores, strict=True) if score < 0.5]
     assert not any("hatword" in (r["text"] or "") for r in rows) and len(rows) > 200
-    kept = spark.createDataFrame(rows, docs.schema)
-    model = langid.learn(kept.where(~held_out()))
-    spoken = {r["doc_id"] for r in langid.identify(kept, model).where("lang_pred <> 'und'").collect()}
-    rows = [r for r in rows if r["doc_id"] in spoken]
+    spoken = plain.languages([r["text"] for r in rows], [(r["text"], r["lang"]) for r in rows if not plain.held_out(r["doc_id"])])
+    rows = [r for r, (lang, score, _) in zip(rows, spoken, strict=True) if lang != "und" and score >= 0.5]
     rows = firsts(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)))
     out = {}
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
