@@ -1,4 +1,7 @@
-"""Registered queries over one signal for each label: embeddings put together, in turns loud and soft."""
+"""Registered queries over signals: embeddings of one label put together, in turns loud and soft.
+
+A recording is what a label has in one range of PART_ROWS ids, so none grows with the table; there are only more of them.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,10 @@ from .registry import query
 
 #: An embedding's 64 values are 10 ms, so a frame of 20 ms is two of them.
 RATE, TURN = 6400, 40
-_SIGNAL = f"""r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64),
+PART_ROWS = 1 << 15
+KEY = ["label", "part"]
+_SIGNAL = f"""n AS (SELECT struct_pack(label := label, part := CAST(floor(vec_id / {PART_ROWS}) AS BIGINT)) AS label, vec_id, embedding FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64),
+r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM n),
 x AS (SELECT label, k, list_transform(embedding, lambda v: (abs(v) * CASE WHEN k // {TURN} % 2 = 0 THEN 1.0 ELSE 0.01 END::FLOAT)::FLOAT::DOUBLE) AS e FROM r)"""
 _FRAMES = f"""{_SIGNAL}, p AS (SELECT label, k, list_sum(list_transform(e, lambda v: v * v)) AS q FROM x),
 f AS (SELECT label, k, sqrt((q + lead(q) OVER w) / 128) AS rms, lead(q) OVER w IS NOT NULL AS whole FROM p WINDOW w AS (PARTITION BY label ORDER BY k)),
@@ -28,45 +34,45 @@ spans AS (SELECT label, greatest(0, min(s) - 100)::DOUBLE AS start_ms, least(any
 
 
 def _signals(spark, sf_dir, turns=True):
-    """(label, samples, rate). A label's rows are its signal, as long as the table makes it; without turns it is noise all through."""
-    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) = 64")
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    """(label, part, samples, rate) of every recording; without turns it is noise all through."""
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) = 64").withColumn("part", F.floor(F.col("vec_id") / PART_ROWS))
+    k = F.row_number().over(Window.partitionBy(*KEY).orderBy("vec_id")) - 1
     gain = F.when(F.floor(F.col("k") / TURN) % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.01)).cast("float")
-    told = rows.withColumn("k", k).select("label", "k", (F.transform("embedding", lambda v: (F.abs(v) * gain).cast("float")) if turns else F.col("embedding").cast("array<float>")).alias("e"))
-    held = told.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("r"))
+    told = rows.withColumn("k", k).select(*KEY, "k", (F.transform("embedding", lambda v: (F.abs(v) * gain).cast("float")) if turns else F.col("embedding").cast("array<float>")).alias("e"))
+    held = told.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("r"))
     # no lambda above the sums: Spark does not take a Python function over one apart
     loud = F.flatten("r.e")
-    return held.select("label", loud.alias("samples"), F.lit(RATE).alias("rate"))
+    return held.select(*KEY, loud.alias("samples"), F.lit(RATE).alias("rate"))
 
 
-@query(f"WITH {_SPANS} SELECT label, round(start_ms, 6) AS start_ms, round(end_ms, 6) AS end_ms FROM spans")
+@query(f"WITH {_SPANS} SELECT label.label AS label, label.part AS part, round(start_ms, 6) AS start_ms, round(end_ms, 6) AS end_ms FROM spans")
 def speech_spans(spark, sf_dir):
-    told = signal.speech_regions(_signals(spark, sf_dir), ["label"])
-    return told.select("label", F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms"))
+    told = signal.speech_regions(_signals(spark, sf_dir), KEY)
+    return told.select(*KEY, F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms"))
 
 
 @query(f"""WITH {_SPANS}, o AS (SELECT label, min(start_ms) AS a, max(end_ms) AS b FROM spans GROUP BY label),
 c AS (SELECT label, CAST(ms * 6.4 AS BIGINT) AS n, greatest(0, CAST(floor(greatest(0, a - 100) * 6.4 + 0.5) AS BIGINT)) AS first, least(CAST(ms * 6.4 AS BIGINT), CAST(floor((b + 100) * 6.4 + 0.5) AS BIGINT)) AS last FROM len LEFT JOIN o USING (label))
-SELECT label, CASE WHEN last > first AND first IS NOT NULL THEN first / 6.4 ELSE 0.0 END::DOUBLE AS lead_ms, CAST(CASE WHEN last > first AND first IS NOT NULL THEN last - first ELSE n END AS INTEGER) AS n_samples FROM c""")
+SELECT label.label AS label, label.part AS part, CASE WHEN last > first AND first IS NOT NULL THEN first / 6.4 ELSE 0.0 END::DOUBLE AS lead_ms, CAST(CASE WHEN last > first AND first IS NOT NULL THEN last - first ELSE n END AS INTEGER) AS n_samples FROM c""")
 def trimmed_signals(spark, sf_dir):
-    return signal.trim_to_speech(_signals(spark, sf_dir), ["label"]).select("label", "lead_ms", F.size("samples").alias("n_samples"))
+    return signal.trim_to_speech(_signals(spark, sf_dir), KEY).select(*KEY, "lead_ms", F.size("samples").alias("n_samples"))
 
 
 @query(f"""WITH {_SPANS}, m AS (SELECT x.label, x.k, s.label IS NOT NULL AS inside, e FROM x LEFT JOIN spans s ON s.label = x.label AND x.k * 10 >= s.start_ms AND x.k * 10 < s.end_ms),
 z AS (SELECT label, inside, sum(list_sum(list_transform(e, lambda v: v * v))) / (count(*) * 64) AS power FROM m GROUP BY label, inside),
 bo AS (SELECT label, max(power) FILTER (inside) AS speech, max(power) FILTER (NOT inside) AS noise FROM z GROUP BY label)
-SELECT label, round(20 * log10(sqrt(speech) / sqrt(noise)), 4) AS snr_db FROM bo WHERE speech IS NOT NULL AND noise IS NOT NULL""")
+SELECT label.label AS label, label.part AS part, round(20 * log10(sqrt(speech) / sqrt(noise)), 4) AS snr_db FROM bo WHERE speech IS NOT NULL AND noise IS NOT NULL""")
 def signal_to_noise(spark, sf_dir):
     """Speech against the rest, of labels that have both; spans begin and end between embeddings."""
     media = _signals(spark, sf_dir)
-    spans = signal.speech_regions(media, ["label"]).groupBy("label").agg(F.sort_array(F.collect_list(F.array("start_ms", "end_ms"))).alias("spans"))
+    spans = signal.speech_regions(media, KEY).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.array("start_ms", "end_ms"))).alias("spans"))
 
     def against(x, rate, spans):
         n = len(x) / rate * 1000
         covered = sum(min(n, b) - max(0.0, a) for a, b in spans)
         return None if covered >= n else signal.snr_db(x, rate, [tuple(s) for s in spans])
 
-    told = media.join(spans, "label").select("label", F.round(signal.measure("samples", against, "rate", "spans"), 4).alias("snr_db"))
+    told = media.join(spans, KEY).select(*KEY, F.round(signal.measure("samples", against, "rate", "spans"), 4).alias("snr_db"))
     return told.where("snr_db IS NOT NULL")
 
 
@@ -75,17 +81,17 @@ fr AS (SELECT label, unnest(range(CAST(floor((n - 512) / 256) AS BIGINT) + 1)) A
 w AS (SELECT fr.label, f, n - f * 256 AS i, v * (0.5 - 0.5 * cos(2 * pi() * (n - f * 256) / 512)) AS v FROM fr JOIN s ON s.label = fr.label AND n >= f * 256 AND n < f * 256 + 512),
 b AS (SELECT unnest(range(1, 257)) AS q), co AS (SELECT j, cos(2 * pi() * j / 512) AS c, sin(2 * pi() * j / 512) AS s FROM (SELECT unnest(range(512)) AS j)),
 p AS (SELECT label, f, q, pow(sum(v * co.c), 2) + pow(sum(v * co.s), 2) AS power FROM w, b JOIN co ON co.j = (i * q) % 512 GROUP BY label, f, q)
-SELECT label, round(CASE WHEN avg(power) <= 1e-12 THEN 0 ELSE exp(avg(ln(power + 1e-12)) - ln(avg(power))) END, 4) AS flatness FROM p GROUP BY label""")
+SELECT label.label AS label, label.part AS part, round(CASE WHEN avg(power) <= 1e-12 THEN 0 ELSE exp(avg(ln(power + 1e-12)) - ln(avg(power))) END, 4) AS flatness FROM p GROUP BY label""")
 def signal_flatness(spark, sf_dir):
     told = _signals(spark, sf_dir).where(F.size("samples") >= 512)
-    return told.select("label", F.round(signal.measure("samples", lambda x: signal.flatness(x.astype("float64"))), 4).alias("flatness"))
+    return told.select(*KEY, F.round(signal.measure("samples", lambda x: signal.flatness(x.astype("float64"))), 4).alias("flatness"))
 
 
 @query()
 def denoised_signals(spark, sf_dir):
     """Noisy signals by the noise filter, and what two neighbouring labels share (the last one with itself); spectra of 1024 samples have no form in SQL here."""
     media = _signals(spark, sf_dir, turns=False)
-    clean = media.select("label", signal.apply("samples", signal.denoise, "rate").alias("clean"), "samples", "rate")
-    other = media.select((F.col("label") - 1).alias("label"), F.col("samples").alias("right"))
-    sides = clean.join(other, "label", "left").withColumn("right", F.coalesce("right", "samples")).withColumn("shared", signal.apply("samples", signal.centre_channel, "right", "rate"))
-    return sides.select("label", F.size("clean").alias("n_samples"), F.round(signal.rms("samples"), 5).alias("rms"), F.round(signal.rms("clean"), 5).alias("clean_rms"), F.round(signal.rms("shared"), 5).alias("shared_rms"))
+    clean = media.select(*KEY, signal.apply("samples", signal.denoise, "rate").alias("clean"), "samples", "rate")
+    other = media.select((F.col("label") - 1).alias("label"), "part", F.col("samples").alias("right"))
+    sides = clean.join(other, KEY, "left").withColumn("right", F.coalesce("right", "samples")).withColumn("shared", signal.apply("samples", signal.centre_channel, "right", "rate"))
+    return sides.select(*KEY, F.size("clean").alias("n_samples"), F.round(signal.rms("samples"), 5).alias("rms"), F.round(signal.rms("clean"), 5).alias("clean_rms"), F.round(signal.rms("shared"), 5).alias("shared_rms"))
