@@ -143,7 +143,8 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -
     """rows (a table) joined to lookup (one small row for each key), inner or left, without one task for a hot key.
 
     The lookup rows of hot keys are broadcast: a key is hot with HOT_ROWS rows or the HOT_KEYS-th part of all, whichever
-    is more, so there are at most HOT_KEYS of them whatever the table holds. All other keys meet in a shuffle.
+    is more, so there are at most HOT_KEYS of them whatever the table holds. All other keys meet in a shuffle. The result
+    is that of rows.join(lookup, key, how), whichever keys are hot: a left join keeps the rows of a hot key without a lookup row.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") >= max(HOT_ROWS, rows.count() // HOT_KEYS)).select(key).toArrow()
@@ -151,7 +152,7 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -
         return rows.join(lookup, key, how)
     keys = F.broadcast(rows.sparkSession.createDataFrame(hot))
     cold = rows.join(keys, key, "left_anti").join(lookup, key, how)
-    return cold.unionByName(rows.join(F.broadcast(lookup.join(keys, key, "left_semi")), key))
+    return cold.unionByName(rows.join(keys, key, "left_semi").join(F.broadcast(lookup.join(keys, key, "left_semi")), key, how))
 
 
 def fresh_name(columns: list[str], name: str) -> str:

@@ -146,6 +146,16 @@ def test_a_key_with_half_of_the_rows_joins_whole(spark, monkeypatch):
     assert sorted(map(str, shared.join_hot(rows, lookup, "k").collect())) == sorted(map(str, rows.join(lookup, "k").collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_results_are_the_same_whichever_keys_are_hot(spark, monkeypatch, how):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(90)] + [(None, -1), (9, -2)], "k long, v long")
+    lookup = spark.createDataFrame([(0, 10), (5, 50)], "k long, w long")
+    want = sorted(map(str, rows.join(lookup, "k", how).collect()))
+    for hot in (1, 20, 1 << 11):
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+        assert sorted(map(str, shared.join_hot(rows, lookup, "k", how).collect())) == want
+
+
 @pytest.mark.parametrize("hot", [4, 1 << 14])
 def test_components(spark, monkeypatch, hot):
     monkeypatch.setattr(shared, "HOT_ROWS", hot)
@@ -284,6 +294,16 @@ def test_licences_of_hot_directories_exact_identifiers_and_clashing_columns(spar
     assert got["big/0.c"]["_directory"] == "d" and got["big/0.c"]["near"] == "n"
 
 
+def test_files_of_a_hot_directory_without_a_licence_stay(spark, monkeypatch):
+    rows = [(f"big/{i}.c", f"file {i}") for i in range(60)] + [("big/own.c", "long text " * 50 + "\nReleased under the MIT License.\nmore"), ("x/LICENSE", "Released under the MIT License."), ("x/a.c", "int a;")]
+    files = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)] + [("big/0.c", None, -1)], "path string, text string, n int").repartition(3)
+    found = []
+    for hot in (20, 1 << 11):
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+        found.append(sorted(map(str, licences.scan(files).select("n", "path", "licence", "how", "from_directory").collect())))
+    assert found[0] == found[1] and len(found[0]) == len(rows) + 1
+
+
 def test_licences(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [("a/LICENSE", mit), ("a/b/c/x.txt", "nothing here\nat all"), ("a/b/COPYING", gpl), ("a/y.txt", "long text " * 50 + "\n" + "Licensed under the Apache License, Version 2.0.\nmore"), ("d/z.txt", None), (None, mit), ("a/b/e/w.txt", ""), ("", "x"), ("a/LICENSE", mit)]
