@@ -279,10 +279,29 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text"
     return rows.withColumn(text, F.when(F.size(ids) == 0, F.lit("")).otherwise(F.regexp_replace(plain, "^ ", "")))
 
 
-def encoded_vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(unit, n, ids, n_pieces, ids_sum, n_changed) of every distinct unit of the texts, as a table."""
+class Decoder:
+    """decode() of lists of ids in Arrow: the bytes of all ids side by side, cut where a row's ids end."""
+
+    def __init__(self, pieces: Pieces):
+        self.bytes = pa.array([bytes.fromhex(h) for h in pieces.hex()], pa.large_binary())
+
+    def __call__(self, lists: pa.ListArray) -> pa.Array:
+        spelled = self.bytes.take(lists.flatten())
+        ends = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, 8 * spelled.offset)
+        begin = lists.offsets.to_numpy()
+        places = pa.py_buffer(np.ascontiguousarray(ends[begin - begin[0]]))
+        plain = pc.replace_substring(pa.LargeStringArray.from_buffers(len(lists), places, spelled.buffers()[2]), SPACE, " ")
+        return pc.if_else(pc.starts_with(plain, " "), pc.utf8_slice_codeunits(plain, 1), plain).cast(pa.string())
+
+
+def encoded_vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text", measured: bool = True) -> DataFrame:
+    """(unit, n, ids) and, where measured, (n_pieces, ids_sum, n_changed) of every distinct unit of the texts, as a table."""
     words = stored(unitsums.vocabulary(docs, text, Splitter(pieces)), "vocabulary")
     known = encode_units(words, pieces)
+    if not measured:
+        out = stored(known, "units")
+        drop(words)
+        return out
     out = stored(known.select("unit", "n", "ids", F.size("ids").cast("long").alias("n_pieces"), F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_sum"), F.when(decoded(F.col("ids"), pieces) == F.col("unit"), 0).otherwise(1).cast("long").alias("n_changed")), "units")
     drop(words)
     return out
@@ -307,16 +326,17 @@ def _cold(coded: pa.DictionaryArray, begin: np.ndarray, words: pa.Array) -> tupl
     return row, code, np.arange(len(row)) - np.searchsorted(row, row)
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids", hot: int = unitsums.HOT_UNITS) -> DataFrame:
-    """`docs` with the ids of every whole text.
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids", hot: int = unitsums.HOT_UNITS, back: str | None = None) -> DataFrame:
+    """`docs` with the ids of every whole text and, in a column `back` if that is given, the text that those ids stand for.
 
     The ids of the most frequent units, a fixed number at most, are broadcast. For its other units, each once, a row asks
     the vocabulary, and gets their ids back as one list in the order of its units, with the number of each. A row is told by two hashes of all its
-    columns, which a lost executor's work gives again; equal rows share their answers. A column named `ids` is replaced;
-    columns of any other names go through as they are.
+    columns, which a lost executor's work gives again; equal rows share their answers. Columns named `ids` and `back` are
+    replaced; columns of any other names go through as they are. `back` is what decode() makes of the ids, told from them
+    alone, in the pass that puts them together.
     """
-    docs = docs.drop(ids)
-    known = encoded_vocabulary(docs, pieces, text)
+    docs = docs.drop(ids, *([] if back is None else [back]))
+    known = encoded_vocabulary(docs, pieces, text, measured=False)
     least = hottest(known, hot)
     table = known.where(F.col("n") >= least).select("unit", "ids").toArrow()
     words, first = table["unit"].combine_chunks().cast(pa.string()), table["ids"].combine_chunks()
@@ -340,12 +360,14 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     found = asked.join(known.where(F.col("n") < least).select("unit", "ids"), "unit").groupBy("key", "key2").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("own"))
     answers = stored(found.select(F.col("key").alias(keys[0]), F.col("key2").alias(keys[1]), F.flatten(F.transform("own", lambda x: x["ids"])).alias(own_name), F.transform("own", lambda x: F.size(x["ids"])).alias(sizes_name)), "answers")
     drop(known)
-    at_text, n_columns, names = docs.columns.index(text), len(docs.columns), [*docs.columns, ids]
+    at_text, n_columns, names = docs.columns.index(text), len(docs.columns), [*docs.columns, ids, *([] if back is None else [back])]
+    decoder = None if back is None else Decoder(pieces)
 
     def assemble(batches):
         words, lists = shared.value
         for batch in batches:
             out: list = []
+            texts: list = []
             for row, begin, units in unitsums.together(split(batch.column(at_text))):
                 coded = units.dictionary_encode()
                 answered = batch.column(n_columns).slice(row, len(begin) - 1)
@@ -365,9 +387,14 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
                 chosen = merged.take(coded.indices)
                 sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chosen), 0).to_numpy(zero_copy_only=False))])
                 out.append(pa.ListArray.from_arrays(pa.array(sizes[begin].astype(np.int32)), chosen.flatten().cast(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))], names)
+                if decoder is not None:
+                    texts.append(decoder(out[-1]))
+            results = [pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))]
+            if decoder is not None:
+                results.append(pa.concat_arrays(texts) if texts else pa.array([], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], *results], names)
 
     # the rest of a row goes through with its text, so texts are shuffled once
     joined = keyed.join(answers, keys, "left").select(*docs.columns, own_name, sizes_name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(tidy(assemble), f"{fields}, `{ids}` array<int>")
+    return joined.mapInArrow(tidy(assemble), f"{fields}, `{ids}` array<int>" + ("" if back is None else f", `{back}` string"))

@@ -156,7 +156,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
-    back = lattice.decode(lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces, text="_back")
+    back = lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, back="_back")
     whole = F.coalesce("text", F.lit(""))
     return back.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("_back") == whole).alias("round_trip"))
 

@@ -68,7 +68,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark, 500)
     pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
     name = fresh_name(docs.columns, "_back")
-    back = lattice.decode(lattice.encode(docs, pieces), pieces, text=name)
+    back = lattice.encode(docs, pieces, back=name)
     return back.withColumn("n_pieces", F.size("ids")).withColumn("round_trip", F.col(name) == F.coalesce("text", F.lit(""))).drop(name)
 
 

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from chronotext.llm import bytescan, decontam, langid, lattice, queries, tokencount, toxicity
 from chronotext.llm.queries import tokenizer_path
@@ -127,6 +128,29 @@ def test_sentencepiece_of_a_long_unit_and_of_clashing_columns(spark):
     assert len(rows) == 4 and all(list(r["ids"]) == library.encode(r["text"]) and (r["_row"], r["_own"], r["_key"], r["m"]) == ("x", "y", "z", {"a": 1}) for r in rows)
 
 
+@pytest.mark.parametrize("hot", [1 << 19, 0])
+def test_texts_of_the_same_pass_are_those_of_the_ids(spark, docs, hot):
+    pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    out = lattice.encode(docs.withColumn("back", F.lit(1)), pieces, hot=hot, back="back")
+    assert out.columns == [*docs.columns, "ids", "back"]
+    rows = lattice.decode(out, pieces, text="again").collect()
+    assert len(rows) == len(TEXTS) and all(r["back"] == r["again"] == (r["text"] or "").replace("▁", " ") for r in rows)
+    assert lattice.encode(docs.limit(0), pieces, back="back").count() == 0
+
+
+def test_ids_of_any_order_decode_alike(spark):
+    pieces = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    random = np.random.default_rng(11)
+    spell = lambda t: [pieces.byte[b] for b in t.encode()]
+    normal = np.flatnonzero(pieces.normal)
+    lists = [[], spell("▁▁é😀 x"), spell(" two"), [pieces.unknown], [pieces.unknown, *spell("\n")], *(random.choice(normal, n).tolist() for n in (1, 3, 50))]
+    want = [r["text"] for r in lattice.decode(spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, ids array<int>"), pieces).orderBy("i").collect()]
+    decoder = lattice.Decoder(pieces)
+    assert decoder(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == want
+    assert decoder(pa.array([[5, 6], *lists], pa.list_(pa.int32())).slice(1)).to_pylist() == want
+    assert decoder(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
 def test_sentencepiece_query_gives_whole_texts(spark, docs, tmp_path):
     import sentencepiece
 
