@@ -44,7 +44,7 @@ class Scalars:
     last: int = 0  # and of the next one to come
     held: int = 0  # samples
     gone: int = 0
-    updated_ms: float = 0.0
+    updated: int = 0  # samples taken in when the last partial was due
     start_ms: float = -1.0
     floor_ms: float = 0.0
     hypothesis: str = ""
@@ -79,11 +79,15 @@ class Segment:
         self.settings, self.now, self.frames = settings, scalars, frames
 
     def _ms(self, samples: int) -> float:
-        return samples / self.settings.rate * 1000
+        return samples * 1000 / self.settings.rate  # multiplied first: whole milliseconds come out whole
+
+    @property
+    def consumed(self) -> int:
+        return self.now.gone + self.now.held
 
     @property
     def consumed_ms(self) -> float:
-        return self._ms(self.now.gone + self.now.held)
+        return self._ms(self.consumed)
 
     @property
     def begin_ms(self) -> float:
@@ -129,14 +133,14 @@ class Segment:
             if now.start_ms < 0:
                 now.start_ms = max(self.begin_ms + found[0][0], now.floor_ms)
             end, held_ms = self.begin_ms + found[-1][1], self._ms(now.held)
-            if forced or held_ms >= s.most_ms or held_ms - found[-1][1] >= s.silence_ms:
+            if forced or now.held * 1000 >= s.most_ms * s.rate or held_ms - found[-1][1] >= s.silence_ms:
                 yield from self._final(row["no"], heard, end)
-            elif self.consumed_ms - now.updated_ms >= s.update_ms:
-                now.updated_ms = self.consumed_ms
+            elif (self.consumed - now.updated) * 1000 >= s.update_ms * s.rate:
+                now.updated = self.consumed
                 yield from self._partial(row["no"], heard)
         elif forced:
             self._reset(self.consumed_ms)
-        elif self._ms(now.held) > s.silence_ms:
+        elif now.held * 1000 > s.silence_ms * s.rate:
             self.trim(s.tail_ms)
         if row["kind"] == "stop":
             now.stopped = True

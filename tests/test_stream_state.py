@@ -124,3 +124,20 @@ def test_stream_state_is_bounded(spark, tmp_path):
     assert 0 < sum(r["n"] for r in held) <= 8000 * (600 + 100) / 1000
     waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "state"))
     assert waiting.count() <= 1
+
+
+def test_partials_come_on_time_however_long_a_session_is():
+    """A partial is due after 1000 ms: after ten frames of 100 ms at 640 Hz, wherever in the session they stand."""
+    found = lambda samples, rate: [(0.0, len(samples) * 1000 / rate)]
+    for before in range(0, 3000, 7):
+        segment = audio.Segment(audio.Settings(lambda samples, rate: f"{len(samples)}", found, 640, most_ms=1e9), audio.Scalars(gone=64 * before, updated=64 * before), {})
+        heard = []
+        segment._partial = lambda no, samples, heard=heard: iter(heard.append(no) or ())
+        for i in range(1, 31):
+            list(segment.take({"no": i, "kind": "audio", "samples": [0.5] * 64}))
+        assert heard == [10, 20, 30], before
+
+
+def test_whole_milliseconds_come_out_whole():
+    segment = audio.Segment(audio.Settings(lambda samples, rate: "", rate=640), audio.Scalars(), {})
+    assert all(segment._ms(64 * n) == 100 * n for n in range(20_000))
