@@ -1,7 +1,8 @@
 """Audio signals as arrays of samples: frames, speech regions, loudness, spectra, filters, resampling, separation.
 
-A medium's samples are one array (or several rows of chunks put together by the caller). What sums or maps samples is a
-Column expression; what recurs or transforms (filters, spectra) is numpy in an Arrow function, a row at a time.
+A medium's samples are one array, or several rows of chunks (`over_chunks`). What sums or maps samples is a Column expression;
+what recurs or transforms (filters, spectra) is numpy in an Arrow function, a row or a medium at a time. Rows of whole
+recordings are large: Spark sends them to Python by thousands, so many long ones are better left as chunks.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .media_runs import by_medium
 from .scans import TrailingPercentile, affine_states, biquad_highpass, decayed
 from .sequence import islands, merge_intervals
 
@@ -271,6 +274,16 @@ def regions(x: np.ndarray, rate: float) -> list[tuple[float, float]]:
     return [(max(0.0, a - PAD_MS), min(len(x) / rate * 1000, b + PAD_MS)) for a, b in _merged(bridged, MERGE_MS)]
 
 
+def trimmed(x: np.ndarray, rate: float) -> tuple[float, np.ndarray]:
+    """trim_to_speech() of one signal that is at hand: `lead_ms` and the samples."""
+    found, per_ms = regions(x, rate), rate / 1000
+    if not found:
+        return 0.0, x
+    first = max(0, int(np.floor(max(0.0, min(a for a, _ in found) - PAD_MS) * per_ms + 0.5)))
+    last = min(len(x), int(np.floor((max(b for _, b in found) + PAD_MS) * per_ms + 0.5)))
+    return (first / per_ms, x[first:last]) if last > first else (0.0, x)
+
+
 def denoise(x: np.ndarray, rate: float, strength: float = 1.0) -> np.ndarray:
     """A Wiener filter with decision-directed gains over a trailing noise floor, mixed in by how noisy the signal is."""
     x = np.asarray(x, np.float64)
@@ -333,6 +346,27 @@ def measure(samples: Column | str, kernel: Callable[..., float | None], *more: C
     return run(samples, *more)
 
 
+def over_chunks(chunks: DataFrame, by: list[str], order: list[str], kernel: Callable[[np.ndarray], list[tuple]], results: dict[str, str], samples: str = "samples") -> DataFrame:
+    """(by, results) of media whose samples stand in several rows: `kernel` gives rows for the samples of one medium in order.
+
+    `results` are names and types (int, double). A task holds one medium and one Arrow batch of chunks.
+    """
+    types, arrow = dict(chunks.dtypes), {"int": pa.int32(), "double": pa.float64()}
+
+    def make(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        found, medium = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            x = [c.flatten().to_numpy(zero_copy_only=False) for c in rows[samples].slice(a, b - a).chunks]
+            own = kernel(np.concatenate(x) if x else np.zeros(0, np.float32))
+            found += own
+            medium += [a] * len(own)
+        keys = [rows[k].take(pa.array(medium, pa.int64())).combine_chunks() for k in by]
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array([r[i] for r in found], arrow[t]) for i, t in enumerate(results.values()))], [*by, *results])
+
+    told = chunks.select(*by, *(c for c in order if c not in by), samples)
+    return by_medium(told, by, order, make, ", ".join(f"`{c}` {t}" for c, t in [*((k, types[k]) for k in by), *results.items()]))
+
+
 #: Below this ratio of speech to the rest a signal is denoised; voices in music are heard above this frequency.
 NOISY_DB, VOICE_HZ = 10.0, 80.0
 

@@ -5,6 +5,7 @@ A recording is what a label has in one range of PART_ROWS ids, so none grows wit
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,24 @@ len AS (SELECT label, count(*) * 10.0::DOUBLE AS ms FROM x GROUP BY label),
 spans AS (SELECT label, greatest(0, min(s) - 100)::DOUBLE AS start_ms, least(any_value(ms), max(e) + 100)::DOUBLE AS end_ms FROM c1 JOIN len USING (label) GROUP BY label, n)"""
 
 
+def _chunks(spark, sf_dir):
+    """(label, part, vec_id, embedding): the recordings as chunks of 10 ms, not yet in turns."""
+    return table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) = 64").withColumn("part", F.floor(F.col("vec_id") / PART_ROWS))
+
+
+def _heard(spark, sf_dir, kernel, **results):
+    """(label, part, results) by a kernel over each recording in turns loud and soft."""
+
+    def turned(x):
+        soft = (np.arange(len(x) // 64) // TURN % 2).repeat(64)
+        return kernel((np.abs(x) * np.where(soft, np.float32(0.01), np.float32(1.0))).astype(np.float32))
+
+    return signal.over_chunks(_chunks(spark, sf_dir), KEY, ["vec_id"], turned, results, "embedding")
+
+
 def _signals(spark, sf_dir, turns=True):
     """(label, part, samples, rate) of every recording; without turns it is noise all through."""
-    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) = 64").withColumn("part", F.floor(F.col("vec_id") / PART_ROWS))
+    rows = _chunks(spark, sf_dir)
     k = F.row_number().over(Window.partitionBy(*KEY).orderBy("vec_id")) - 1
     gain = F.when(F.floor(F.col("k") / TURN) % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.01)).cast("float")
     told = rows.withColumn("k", k).select(*KEY, "k", (F.transform("embedding", lambda v: (F.abs(v) * gain).cast("float")) if turns else F.col("embedding").cast("array<float>")).alias("e"))
@@ -47,7 +63,7 @@ def _signals(spark, sf_dir, turns=True):
 
 @query(f"WITH {_SPANS} SELECT label.label AS label, label.part AS part, round(start_ms, 6) AS start_ms, round(end_ms, 6) AS end_ms FROM spans")
 def speech_spans(spark, sf_dir):
-    told = signal.speech_regions(_signals(spark, sf_dir), KEY)
+    told = _heard(spark, sf_dir, lambda x: signal.regions(x, RATE), start_ms="double", end_ms="double")
     return told.select(*KEY, F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms"))
 
 
@@ -55,7 +71,11 @@ def speech_spans(spark, sf_dir):
 c AS (SELECT label, CAST(ms * 6.4 AS BIGINT) AS n, greatest(0, CAST(floor(greatest(0, a - 100) * 6.4 + 0.5) AS BIGINT)) AS first, least(CAST(ms * 6.4 AS BIGINT), CAST(floor((b + 100) * 6.4 + 0.5) AS BIGINT)) AS last FROM len LEFT JOIN o USING (label))
 SELECT label.label AS label, label.part AS part, CASE WHEN last > first AND first IS NOT NULL THEN first / 6.4 ELSE 0.0 END::DOUBLE AS lead_ms, CAST(CASE WHEN last > first AND first IS NOT NULL THEN last - first ELSE n END AS INTEGER) AS n_samples FROM c""")
 def trimmed_signals(spark, sf_dir):
-    return signal.trim_to_speech(_signals(spark, sf_dir), KEY).select(*KEY, "lead_ms", F.size("samples").alias("n_samples"))
+    def ends(x):
+        lead, kept = signal.trimmed(x, RATE)
+        return [(lead, len(kept))]
+
+    return _heard(spark, sf_dir, ends, lead_ms="double", n_samples="int")
 
 
 @query(f"""WITH {_SPANS}, m AS (SELECT x.label, x.k, s.label IS NOT NULL AS inside, e FROM x LEFT JOIN spans s ON s.label = x.label AND x.k * 10 >= s.start_ms AND x.k * 10 < s.end_ms),
@@ -64,15 +84,13 @@ bo AS (SELECT label, max(power) FILTER (inside) AS speech, max(power) FILTER (NO
 SELECT label.label AS label, label.part AS part, round(20 * log10(sqrt(speech) / sqrt(noise)), 4) AS snr_db FROM bo WHERE speech IS NOT NULL AND noise IS NOT NULL""")
 def signal_to_noise(spark, sf_dir):
     """Speech against the rest, of labels that have both; spans begin and end between embeddings."""
-    media = _signals(spark, sf_dir)
-    spans = signal.speech_regions(media, KEY).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.array("start_ms", "end_ms"))).alias("spans"))
 
-    def against(x, rate, spans):
-        n = len(x) / rate * 1000
+    def against(x):
+        n, spans = len(x) / RATE * 1000, signal.regions(x, RATE)
         covered = sum(min(n, b) - max(0.0, a) for a, b in spans)
-        return None if covered >= n else signal.snr_db(x, rate, [tuple(s) for s in spans])
+        return [] if not spans or covered >= n else [(signal.snr_db(x, RATE, spans),)]
 
-    told = media.join(spans, KEY).select(*KEY, F.round(signal.measure("samples", against, "rate", "spans"), 4).alias("snr_db"))
+    told = _heard(spark, sf_dir, against, snr_db="double").withColumn("snr_db", F.round("snr_db", 4))
     return told.where("snr_db IS NOT NULL")
 
 

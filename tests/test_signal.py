@@ -72,3 +72,31 @@ def test_loudness(spark):
     assert len(linear) == 500
     assert rows.select(S.apply("samples", lambda x: x * 2).alias("x")).where("x IS NOT NULL").count() == 3
     assert rows.where("id = 1").select(F.sum(S.crossings("samples"))).first()[0] == pytest.approx(88, abs=2)
+
+
+def test_chunks_of_a_medium_in_order(spark):
+    """Media of several chunks, dealt and mixed, in Arrow batches that end anywhere."""
+    sounds = {m: np.concatenate([silence(0.4), tone(0.2 * m), silence(0.9), tone(0.5), silence(0.3)]) for m in range(1, 5)}
+    rows = [(m, i, sounds[m][i * 160 : (i + 1) * 160].tolist()) for m in sounds for i in range(len(sounds[m]) // 160)]
+    chunks = spark.createDataFrame(rows, "m int, i int, x array<float>").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = S.over_chunks(chunks, ["m"], ["i"], lambda x: [(len(x), a, b) for a, b in S.regions(x, RATE)], {"n": "int", "a": "double", "b": "double"}, "x").collect()
+        ends = S.over_chunks(chunks, ["m"], ["i"], lambda x: [(S.trimmed(x, RATE)[0], len(S.trimmed(x, RATE)[1]))], {"lead_ms": "double", "n": "int"}, "x").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = {m: x[: len(x) // 160 * 160] for m, x in sounds.items()}
+    assert sorted(map(tuple, got)) == sorted((m, len(x), a, b) for m, x in whole.items() for a, b in S.regions(x, RATE))
+    media = spark.createDataFrame([(m, RATE, x.tolist()) for m, x in whole.items()], "m int, rate int, samples array<float>")
+    assert sorted(map(tuple, ends)) == sorted((r["m"], r["lead_ms"], len(r["samples"])) for r in S.trim_to_speech(media, ["m"]).collect())
+
+
+@pytest.mark.parametrize("name", ["signal_to_noise", "speech_spans", "trimmed_signals"])
+def test_no_row_holds_a_recording(spark, tmp_path, name):
+    """Arrow sends rows to Python by thousands, so recordings stay rows of chunks up to the task that hears them."""
+    from chronotext.plans.registry import QUERIES
+
+    spark.createDataFrame([(i, i % 2, [0.1] * 64) for i in range(200)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "explode" not in plan
