@@ -24,6 +24,7 @@ _SPACE = "\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufe
 _HAN = regex.compile("[㐀-䶿一-鿿]")
 _LATIN = regex.compile(r"\p{Script=Latin}")
 _SPACES = regex.compile(f"[{_SPACE}]+")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f\x85\ufeff"  # str.split() takes them for what they are not here
 _CLUSTER = regex.compile(r"\X")
 #: Marks that may not begin, and that may not end, a line of CJK text.
 _NOT_FIRST, _NOT_LAST = set("、。，！？：；」』）】》"), set("「『（【《")
@@ -49,6 +50,11 @@ def collapse(text: str) -> str:
     return _SPACES.sub(" ", text).strip(" ")
 
 
+def spaced(text: str) -> list[str]:
+    """What stands between white space."""
+    return [t for t in _SPACES.split(text) if t] if any(c in text for c in _ODD_SPACES) else text.split()
+
+
 @lru_cache(1 << 16)
 def visible_length(text: str) -> int:
     if text.isascii():
@@ -65,7 +71,7 @@ def joined(texts: Iterable[str], lang: str | None) -> str:
 def tokens(text: str, lang: str | None) -> list[str]:
     if cjk_language(lang) or script(text) == "cjk":
         return regex.findall(f"[㐀-䶿一-鿿]|[^㐀-䶿一-鿿{_SPACE}]+", text)
-    return [t for t in _SPACES.split(text) if t]
+    return spaced(text)
 
 
 def balanced(widths: list[int], gaps: list[int], lines: int) -> list[int] | None:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import streams, text, timing
-from ..operators import packing, phonetics, quality, sequence, signal, stats, translate
+from ..operators import hypotheses, packing, phonetics, quality, sequence, signal, stats, translate
 from ..sources import sinks
 from ..sources.tables import intervals, segments, table, turns
 from ..streaming import live
@@ -273,13 +273,6 @@ def positional_zip(spark, sf_dir):
     return sequence.zip_by_place(rows, answers, ["conv_id"], "turn", answered_by=F.col("role"))
 
 
-def _windows(spark, sf_dir, count, window):
-    """doc_id and the fields of window(w, n, i) for i from 1 to count(n), w the n words of a document; rows carry their window only."""
-    w, n = F.col("w"), F.size("w")
-    words = table(spark, sf_dir, "documents").select("doc_id", text.spaced_tokens("text").alias("w")).where(n > 0)
-    return words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), count(n).cast("int")), lambda i: window(w, n, i))).alias("x")).select("doc_id", "x.*")
-
-
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 k AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, CAST(ceil(len(w) / 5.0) AS BIGINT) + 1)) AS k FROM t WHERE len(w) > 0),
 p AS (SELECT doc_id, k, greatest(5 * (k - 2), 0) AS skip, least(5 * k, n) - greatest(5 * (k - 2), 0) AS m, least(5 * (k - 1), n) - greatest(5 * (k - 2), 0) AS mp, w[greatest(5 * (k - 2), 0) + 1:least(5 * k, n)] AS part FROM k),
@@ -292,18 +285,17 @@ def stable_prefix_whole(spark, sf_dir):
 
     Both begin with the same `n_before` words, so `committed` is what follows them."""
 
-    def said(w, n, k, skip):
-        m = F.least(5 * k, n) - skip
-        even = F.concat(F.slice(w, skip + 1, m - 1), F.array(F.concat(F.lit("xx"), k.cast("string"))))
-        return F.array_join(F.when(k % 2 == 0, even).otherwise(F.slice(w, skip + 1, m)), " ")
-
-    def window(w, n, k):
-        skip = F.greatest(5 * (k - 2), F.lit(0))
-        previous = F.when(k > 1, said(w, n, k - 1, skip)).otherwise("")
-        return F.struct(k.alias("k"), skip.alias("n_before"), previous.alias("previous"), said(w, n, k, skip).alias("hypothesis"))
+    def each(w):
+        for k in range(1, -(-len(w) // 5) + 1):
+            skip = max(5 * (k - 2), 0)
+            before, said = w[skip : 5 * (k - 1)], w[skip : 5 * k]
+            if k % 2 == 0:
+                said[-1] = f"xx{k}"
+            elif k > 1:
+                before[-1] = f"xx{k - 1}"
+            yield k, skip, " ".join(said[: hypotheses.shared(before, said)])
 
-    told = _windows(spark, sf_dir, lambda n: F.ceil(n / 5), window)
-    return told.select("doc_id", "k", "n_before", streams.stable_prefix("previous", "hypothesis").alias("committed"))
+    return hypotheses.by_text(table(spark, sf_dir, "documents"), ["doc_id"], each, {"k": "int", "n_before": "int", "committed": "string"})
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
@@ -315,12 +307,13 @@ SELECT doc_id, CAST(i AS INTEGER) AS "window", array_to_string(b[k + 1:], ' ') A
 def strip_overlap_whole(spark, sf_dir):
     """Windows of 10 words at step 7 over whole texts, each without what the one before ends with; the first is whole."""
 
-    def window(w, n, i):
-        part = lambda k: F.array_join(F.slice(w, 7 * k - 6, F.lit(10)), " ")
-        return F.struct(i.alias("window"), F.when(i > 1, part(i - 1)).otherwise("").alias("a"), part(i).alias("b"))
+    def each(w):
+        keys = [live.token_key(t) for t in w]
+        for at in range(0, max(len(w) - 3, 1) if w else 0, 7):
+            again = hypotheses.repeated(keys[at - 7 : at + 3] if at else [], keys[at : at + 10])
+            yield at // 7 + 1, " ".join(w[at + again : at + 10])
 
-    told = _windows(spark, sf_dir, lambda n: F.greatest(F.ceil((n - 10) / 7), F.lit(0)) + 1, window)
-    return told.select("doc_id", "window", streams.strip_overlap("a", "b").alias("rest"))
+    return hypotheses.by_text(table(spark, sf_dir, "documents"), ["doc_id"], each, {"window": "int", "rest": "string"})
 
 
 @query(ORACLES["stable_prefix_whole"])

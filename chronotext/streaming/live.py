@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,9 +53,15 @@ def client_message(value: F.Column) -> F.Column:
     return F.when(raw.rlike(r"^\s*\{"), said)
 
 
+@lru_cache(1 << 16)
+def _without_edges(token: str) -> str:
+    return _EDGES.sub("", token)
+
+
 def token_key(token: str) -> str:
     """What two words are compared by: lower case, without marks around them."""
-    return _EDGES.sub("", token.lower())
+    low = token.lower()
+    return low if low.isalnum() else _without_edges(low)
 
 
 def stable_prefix(before: str, after: str) -> str:

@@ -1,5 +1,9 @@
 """Hypotheses and windows over whole texts against the scalar functions."""
 
+import pytest
+
+from chronotext.functions import text
+from chronotext.operators import packing
 from chronotext.plans import catalogue
 from chronotext.streaming import live
 
@@ -35,3 +39,16 @@ def test_strip_overlap_of_whole_texts(spark, tmp_path):
             want[doc, i + 1] = live.strip_overlap(before, said)
             before, i = said, i + 1
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["stable_prefix_whole", "strip_overlap_whole"])
+def test_windows_are_parts_of_one_list_of_words(spark, tmp_path, name):
+    """No window is a row before it is compared, and nothing is shuffled."""
+    plan = catalogue.QUERIES[name](spark, documents(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Exchange" not in plan
+
+
+def test_words_between_the_white_space_of_text(spark):
+    odd = ["x\u00a0y\ufeffz w", "a\x1cb c\x85d", "  a\u3000b\n", ""]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.spaced_tokens("t").alias("w")).collect()
+    assert all(packing.spaced(r["t"]) == r["w"] for r in rows)
