@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.streams import bound
 from ..operators import cuts, scans, stitching
 from ..sources.tables import table
 from .registry import query
@@ -73,16 +74,22 @@ def trailing_floor(spark, sf_dir):
 FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0""")
 def stitched_documents(spark, sf_dir):
     """Documents heard in windows of 30 words that overlap by 10, with noise where a window begins and ends, joined again."""
-    w, n, k = F.col("w"), F.size("w"), F.col("window")
-    told = table(spark, sf_dir, "documents").select("doc_id", text.spaced_tokens("text").alias("w")).where(n > 0)
-    cut = told.select("doc_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((n - 30) / 20).cast("int"), F.lit(0))), lambda i: F.struct(i.alias("window"), F.slice(w, 20 * i + 1, F.lit(30)).alias("part")))).alias("x")).select("doc_id", "n", "x.*")
 
-    def word(t, i):
-        noise = ((k > 0) & (i < 2)) | ((i >= 28) & (k * 20 + 30 < F.col("n")))
-        at = (k * 20 + i) * 300.0
-        return F.struct(F.when(noise, F.concat(F.lit("noise"), (k % 7).cast("string"))).otherwise(t).alias("text"), at.alias("start_ms"), (at + 300).alias("end_ms"))
+    def windows(w):
+        def one(k):
+            def word(t, i):
+                noise = ((k > 0) & (i < 2)) | ((i >= 28) & (k * 20 + 30 < F.size(w)))
+                at = (k * 20 + i) * 300.0
+                return F.struct(F.when(noise, F.concat(F.lit("noise"), (k % 7).cast("string"))).otherwise(t).alias("text"), at.alias("start_ms"), (at + 300).alias("end_ms"))
 
-    heard = cut.select("doc_id", "window", F.transform("part", word).alias("words"))
+            return F.struct(k.alias("window"), F.transform(F.slice(w, 20 * k + 1, F.lit(30)), word).alias("words"))
+
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - 30) / 20).cast("int"), F.lit(0))), one))
+
+    # bound: else a text would be split again for each of its windows
+    heard = table(spark, sf_dir, "documents").select("doc_id", F.explode(bound(text.spaced_tokens("text"), windows)).alias("x")).select("doc_id", "x.*")
     joined = stitching.stitched(heard, ["doc_id"], tolerance_ms=100.0)
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("window", "words"))), lambda x: F.transform(x["words"], lambda y: y["text"])))
-    return joined.groupBy("doc_id").agg(whole.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("text"))
+    # of each window only its words as one text go to their document
+    said = joined.select("doc_id", F.struct("window", F.array_join(F.transform("words", lambda x: x["text"]), " ").alias("t")).alias("x"), F.size("words").alias("n")).where("n > 0")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), " ")
+    return said.groupBy("doc_id").agg(F.sum("n").alias("n_words"), whole.alias("text"))
