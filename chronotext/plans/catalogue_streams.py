@@ -25,8 +25,8 @@ def _landed(parts: list[DataFrame], folder: str, files: int) -> DataFrame:
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def _ran(stream: DataFrame, folder: str) -> DataFrame:
-    return ordered.run_available(stream, f"{folder}/out", f"{folder}/state", 4)
+def _ran(stream: DataFrame, folder: str, partitions: int = 4) -> DataFrame:
+    return ordered.run_available(stream, f"{folder}/out", f"{folder}/state", partitions)
 
 
 @query("""SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('milliseconds', ts), event_id) AS place, CAST(NULL AS BIGINT) AS n_late
@@ -35,13 +35,14 @@ def ordered_events(spark, sf_dir):
     """Events that land in three parts, each shuffled, put in order behind a watermark. A last row, of no user, moves the watermark on."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     folder = work_folder(spark, "events")
-    ends = events.agg(F.min(F.unix_millis("ts")).alias("a"), F.max(F.unix_millis("ts")).alias("b")).first()
+    ends = events.agg(F.min(F.unix_millis("ts")).alias("a"), F.max(F.unix_millis("ts")).alias("b"), F.count("*").alias("n")).first()
     a, b = ends["a"] or 0, ends["b"] or 0
+    partitions = max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), ends["n"] // 400_000))
     third, at = (b - a) // 3 + 1, F.unix_millis("ts")
     last = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(0).cast("long").alias("event_id"), F.timestamp_millis(F.lit(b + 10 * third)).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
     stream = _landed([*(events.where((at >= a + i * third) & (at < a + (i + 1) * third)) for i in range(3)), last], f"{folder}/in", 4)
     told = ordered.in_order(stream, ["user_id"], "ts", "event_id", f"{third + third // 2} milliseconds")
-    return _ran(told.where("user_id >= 0").drop("ts"), folder)
+    return _ran(told.where("user_id >= 0").drop("ts"), folder, partitions)
 
 
 def _loud(samples, rate):

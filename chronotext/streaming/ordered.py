@@ -1,7 +1,8 @@
 """Event time with a reorder buffer: rows wait in keyed state until the watermark has passed them, then take effect in order.
 
-A row waits in a map state under (time, number). Its timer fires when the watermark passes its time; all rows that wait for
-that time or an earlier one are then applied in the order of (time, number). A row that would stand before one that has been
+The rows of a key that come in one micro-batch wait together, as blocks of arrays in a map state; a timer fires when the watermark
+passes the earliest of them. All rows whose time it has passed are then applied in the order of (time, number), and the others
+wait on as blocks. So what a key costs hangs on its micro-batches, not on its rows. A row that would stand before one that has been
 applied is late: it changes nothing and comes out as a row of its own with a running count. The time column that goes to
 the operator is a plain number, so Spark itself drops no row by its watermark.
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 _BEGINNING = -(1 << 62)
+#: Rows that wait as one value of the map state.
+BLOCK = 256
 
 
 def stated(value):
@@ -53,8 +56,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts long, seq long", ", ".join(f"`{c}` {t}" for c, t in self.columns.items()) + ", waits boolean")
-        self.reached = handle.getValueState("reached", "ts long, seq long, late long, applied long, done long")
+        self.waiting = handle.getMapState("waiting", "block long", ", ".join(["at_ms array<long>", "no array<long>", *(f"`{c}` array<{t}>" for c, t in self.columns.items())]))
+        self.reached = handle.getValueState("reached", "ts long, seq long, late long, applied long, done long, blocks long")
 
     def apply(self, key: tuple, rows: list[dict], n: int) -> Iterator[dict]:
         """Results of rows whose turn it is; `n` rows of the key came before them."""
@@ -68,48 +71,60 @@ class InOrder(StatefulProcessor):
         """Lets go of further state of a key that has been idle."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ts, seq, late, applied, done = self.reached.get() if self.reached.exists() else (_BEGINNING, _BEGINNING, 0, 0, _BEGINNING)
-        out, timers = [], set()
+        ts, seq, late, applied, done, blocks = self.reached.get() or (_BEGINNING, _BEGINNING, 0, 0, _BEGINNING, 0)
+        out, held = [], {}
         for batch in rows:
-            for row in batch.to_dict("records"):
-                at = (int(row["at_ms"]), int(row["no"]))
-                if at <= (ts, seq):
+            for at_ms, no, *values in zip(*(batch[c].tolist() for c in ("at_ms", "no", *self.columns)), strict=True):
+                if (at_ms, no) <= (ts, seq):
                     late += 1
-                    out.append(self.late(key, row, late))
-                    continue
-                self.waiting.updateValue(at, (*(stated(row[c]) for c in self.columns), True))
-                timers.add(at[0])
-        self.reached.update((ts, seq, late, applied, done))
-        for t in timers:
-            self.handle.registerTimer(t)
-        yield self._framed(out)
+                    out.append(self.late(key, dict(zip(self.columns, values, strict=True)) | {"at_ms": at_ms, "no": no}, late))
+                else:
+                    held[at_ms, no] = [stated(v) for v in values]
+        blocks = self._wait(held, blocks)
+        self.reached.update((ts, seq, late, applied, done, blocks))
+        if out:
+            yield self._framed(out)
+
+    def _wait(self, held: dict[tuple[int, int], list], blocks: int) -> int:
+        """Rows by (time, number) as new blocks, and a timer for the earliest; the number of the next block."""
+        at = sorted(held)
+        for i in range(0, len(at), BLOCK):
+            part = at[i : i + BLOCK]
+            columns = zip(*(held[a] for a in part), strict=True) if self.columns else ()
+            self.waiting.updateValue((blocks,), ([a for a, _ in part], [n for _, n in part], *map(list, columns)))
+            blocks += 1
+        if at:
+            self.handle.registerTimer(at[0][0])
+        return blocks
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.reached.exists():
+        due, reached = expiredTimerInfo.getExpiryTimeInMs(), self.reached.get()
+        if reached is None:
             return
-        ts, seq, late, applied, done = self.reached.get()
+        ts, seq, late, applied, done, blocks = reached
         idle = self.idle_ms is not None and ts + self.idle_ms <= due
         if due <= done and not idle:
             return  # the first timer of a micro-batch has done all that is due
         done = max(due, timerValues.getCurrentWatermarkInMs() - 1)
-        names, out = list(self.columns), []
-        held = {tuple(at): row for at, row in self.waiting.iterator()}
+        stood, held = sorted((tuple(k)[0], tuple(v)) for k, v in self.waiting.iterator()), {}
+        for _, (at_ms, no, *columns) in stood:  # of rows with one time and number that in the later block counts
+            held |= dict(zip(zip(at_ms, no, strict=True), map(list, zip(*columns, strict=True)) if columns else [[]] * len(no), strict=True))
         ready = sorted(at for at in held if at[0] <= done)
         if ready:
-            rows = [dict(zip(names, tuple(held[at])[:-1], strict=True)) | {"at_ms": at[0], "no": at[1]} for at in ready]
-            out = list(self.apply(key, rows, applied))
-            for at in ready:
-                self.waiting.removeKey(at)
+            rows = [dict(zip(self.columns, held.pop(at), strict=True)) | {"at_ms": at[0], "no": at[1]} for at in ready]
+            for block, _ in stood:
+                self.waiting.removeKey((block,))
+            blocks = self._wait(held, blocks)
             ts, seq = ready[-1]
             if self.idle_ms is not None:
                 self.handle.registerTimer(ts + self.idle_ms)
         if not ready and idle and not held:
             self.reached.clear()
             self.forget()
-        else:
-            self.reached.update((ts, seq, late, applied + len(ready), done))
-        yield self._framed(out)
+            return
+        self.reached.update((ts, seq, late, applied + len(ready), done, blocks))
+        if ready and (out := list(self.apply(key, rows, applied))):
+            yield self._framed(out)
 
     def _framed(self, out: list[dict]) -> pd.DataFrame:
         return pd.DataFrame({c: pd.Series([r[c] for r in out], dtype=object) for c in self.results}, columns=self.results)

@@ -141,3 +141,15 @@ def test_partials_come_on_time_however_long_a_session_is():
 def test_whole_milliseconds_come_out_whole():
     segment = audio.Segment(audio.Settings(lambda samples, rate: "", rate=640), audio.Scalars(), {})
     assert all(segment._ms(64 * n) == 100 * n for n in range(20_000))
+
+
+def test_rows_of_a_micro_batch_wait_as_one_block(spark, tmp_path):
+    rows = [("a", i, at(i), None if i % 3 else float(i)) for i in range(60)] + [("a", 7, at(7), -7.0)]
+    schema = "k string, seq long, ts timestamp, value double"
+    land(spark, str(tmp_path / "in"), [rows[:60], rows[60:]], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ordered.run_available(ordered.in_order(stream, ["k"], "ts", "seq", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"), 1).count()
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "state")).count() == 2
+    land(spark, str(tmp_path / "in"), [[("end", 0, at(10**8), 0.0)]], schema)
+    got = ordered.run_available(ordered.in_order(stream, ["k"], "ts", "seq", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"), 1).where("k = 'a'").collect()
+    assert sorted((r["place"], r["seq"], r["value"]) for r in got) == [(i + 1, i, -7.0 if i == 7 else None if i % 3 else float(i)) for i in range(60)]
