@@ -26,7 +26,10 @@ def repeats(text: Column | str) -> Column:
 
 def deloop(text: Column | str, passes: int = 10) -> Column:
     """Phrases of 2 to 20 characters that stand four times or more in a row, once; again up to `passes` times."""
-    return reduce(lambda t, _: F.regexp_replace(t, "(.{2,20}?)\\1{3,}", "$1"), range(passes), col(text))
+    once = lambda t: F.regexp_replace(t, "(.{2,20}?)\\1{3,}", "$1")
+    # a pass that changes nothing is the last
+    again = lambda s, _: F.when(s["more"], bound(once(s["t"]), lambda t: F.struct(t.alias("t"), (t != s["t"]).alias("more")))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.struct(col(text).alias("t"), F.lit(True).alias("more")), again)["t"]
 
 
 def matchable_text(text: Column | str) -> Column:
