@@ -56,7 +56,10 @@ def for_display(text: Column | str) -> Column:
 
 def visible_length(text: Column | str) -> Column:
     """Grapheme clusters that hold no white space."""
-    return F.regexp_count(F.regexp_replace(col(text), f"[{SPACE}]", " "), F.lit("(?! )\\X"))
+    t = col(text)
+    # of ASCII each character is a cluster
+    plain = F.char_length(F.translate(t, "\t\n\v\f\r ", ""))
+    return F.when(F.octet_length(t) == F.char_length(t), plain).otherwise(F.regexp_count(F.regexp_replace(t, f"[{SPACE}]", " "), F.lit("(?! )\\X")))
 
 
 def total_length(text: Column | str) -> Column:

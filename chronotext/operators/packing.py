@@ -37,9 +37,10 @@ def cjk_language(lang: str | None) -> bool:
 def script(text: str) -> str:
     if text.isascii():
         return "latin"
-    han, latin = len(_HAN.findall(text)), len(_LATIN.findall(text))
+    han = len(_HAN.findall(text))
     if not han:
         return "latin"
+    latin = len(_LATIN.findall(text))
     if not latin:
         return "cjk"
     share = han / (han + latin)
@@ -74,6 +75,28 @@ def tokens(text: str, lang: str | None) -> list[str]:
     return spaced(text)
 
 
+def deal(texts: list[str | None], langs: list[str | None], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """The time of each text dealt to its words by visible length (1 at least): where the words of each begin (and the end of all), words, starts, ends.
+
+    Times that are not known are NaN.
+    """
+    each = [tokens(t, x) if t else [] for t, x in zip(texts, langs, strict=True)]
+    counts = np.fromiter(map(len, each), np.int64, len(each))
+    at, words = np.concatenate([[0], np.cumsum(counts)]), [w for own in each for w in own]
+    shares = np.fromiter((len(w) if w.isascii() else max(1, visible_length(w)) for w in words), np.int64, len(words))
+    upto, whose = np.concatenate([[0], np.cumsum(shares)]), np.repeat(np.arange(len(each)), counts)
+    so_far, whole = upto[1:] - upto[at[:-1]][whose], (upto[at[1:]] - upto[at[:-1]])[whose]
+    s, e = np.asarray(start, np.float64)[whose], np.asarray(end, np.float64)[whose]
+    border = s + np.floor((e - s) * so_far / whole + 0.5)
+    last = at[1:][counts > 0] - 1
+    border[last] = e[last]
+    border = np.where(e <= s, s, border)
+    begin = np.concatenate([s[:1], border[:-1]])
+    first = at[:-1][counts > 0]
+    begin[first] = s[first]
+    return at, words, np.where(np.isnan(begin), s, begin), border
+
+
 def balanced(widths: list[int], gaps: list[int], lines: int) -> list[int] | None:
     """Where to begin each of exactly `lines` lines so that the longest is shortest; gaps[i] is the space before item i.
 
@@ -370,6 +393,44 @@ def packed_cues(words: DataFrame, by: list[str], segment: str, place: str, lang:
     return by_medium(told, by, ["_order", "_place"], build, ", ".join(f"`{k}` {types[k]}" for k in by) + ", " + CUE_SCHEMA)
 
 
+def segment_cues(segments: DataFrame, by: list[str], segment: str, lang: str, style: Style = LATIN_STYLE, cjk_style: Style = CJK_STYLE, merge: bool = True) -> DataFrame:
+    """(by, index, start_ms, end_ms, n_words, lines): mended and numbered cues of segments (by, segment, lang, text, start_ms, end_ms).
+
+    What distribute_words, packed_cues, fix_overlaps and reindex give in turn, with one shuffle, that of the segments: words are
+    made where a medium's cues are, and ends are cut to the next start there.
+    """
+    types = dict(segments.dtypes)
+
+    def build(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        codes, texts = rows[lang].to_pylist(), rows["text"].to_pylist()
+        start, end = (rows[c].to_numpy().astype(np.float64) for c in ("start_ms", "end_ms"))
+        medium, number, starts, ends, sizes, lines = [], [], [], [], [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            code = codes[a]
+            use = cjk_style if cjk_language(code) else style
+            parts, words, s, e = deal(texts[a:b], codes[a:b], start[a:b], end[a:b])
+            parts, s, e, own = parts.tolist(), s.tolist(), e.tolist(), []
+            for first, last in zip(parts[:-1], parts[1:], strict=True):
+                said = words[first:last]
+                own += [(s[first + i], e[first + j - 1], joined(said[i:j], code), first + i, first + j) for i, j in pack(said, use, code)]
+            if merge:
+                own = merge_spans(own, use, code, lambda x, code=code, words=words: joined(words[x[3] : x[4]], code))
+            index = 0
+            for i, cue in enumerate(own):
+                stop = min(cue[1], own[i + 1][0] - use.min_gap_ms) if i + 1 < len(own) else cue[1]
+                if stop > cue[0]:
+                    index += 1
+                    medium.append(a), number.append(index), starts.append(cue[0]), ends.append(stop), sizes.append(cue[4] - cue[3]), lines.append(wrap_lines(cue[2], use, code))
+        keys = [rows[k].take(pa.array(medium, pa.int64())).combine_chunks() for k in by]
+        return pa.RecordBatch.from_arrays(
+            [*keys, pa.array(number, pa.int32()), pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.list_(pa.string()))],
+            [*by, "index", "start_ms", "end_ms", "n_words", "lines"],
+        )
+
+    told = segments.select(*by, F.col(segment).alias("_order"), lang, "text", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"))
+    return by_medium(told, by, ["_order"], build, ", ".join(f"`{k}` {types[k]}" for k in by) + ", index int, start_ms double, end_ms double, n_words int, lines array<string>")
+
+
 def cps(lines: Column | str, start: Column | str, end: Column | str) -> Column:
     """Visible characters a second of a cue; 0 without a duration."""
     from ..functions.text import col, visible_length as visible

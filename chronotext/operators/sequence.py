@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, visible_length
-from ..functions.timing import rounded
-from . import quality
+from . import packing, quality
+
+#: Segments whose words are dealt at a time.
+SOME = 512
 
 
 def _over(by: list[str], order: list[str]):
@@ -89,14 +92,46 @@ def drop_micro_words(words: DataFrame, least_ms: float = 50, start: str = "start
 
 def distribute_words(segments: DataFrame, by: list[str], text: str = "text", lang: str | Column = "lang", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """A segment's time dealt to its words by visible length (1 at least). `by` names one segment; word `pos` counts from 0."""
+    types = dict(segments.dtypes)
+
+    def rows(keys: list[pa.Array], at: np.ndarray, words: list[str], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        whose = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = pa.array(whose, pa.int64())
+        return pa.RecordBatch.from_arrays([*(k.take(place) for k in keys), pa.array(np.arange(len(words)) - at[whose], pa.int32()), pa.array(words, pa.string()), *_times(starts, ends)], [*by, "pos", "text", "start_ms", "end_ms"])
+
+    return _dealt(segments, by, text, lang, start, end, rows, ", ".join(f"`{k}` {types[k]}" for k in by) + ", pos int, text string, start_ms double, end_ms double")
+
+
+def with_words(segments: DataFrame, text: str = "text", lang: str | Column = "lang", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """`segments` with the words of distribute_words as an array `words` (text, start_ms, end_ms); a segment without words has none."""
+    names, types = segments.columns, dict(segments.dtypes)
+
+    def rows(keys: list[pa.Array], at: np.ndarray, words: list[str], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        timed = pa.StructArray.from_arrays([pa.array(words, pa.string()), *_times(starts, ends)], ["text", "start_ms", "end_ms"])
+        return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(at, pa.int32()), timed)], [*names, "words"])
+
+    return _dealt(segments, names, text, lang, start, end, rows, ", ".join(f"`{k}` {types[k]}" for k in names) + ", words array<struct<text:string,start_ms:double,end_ms:double>>")
+
+
+def _times(*times: np.ndarray) -> list[pa.Array]:
+    return [pa.array(t, pa.float64(), from_pandas=True) for t in times]
+
+
+def _dealt(segments: DataFrame, keep: list[str], text: str, lang: str | Column, start: str, end: str, rows, schema: str) -> DataFrame:
+    """`rows` of `keep` and the words of each segment, some segments at a time; rows stay where they are."""
     lang = F.col(lang) if isinstance(lang, str) else lang
-    each = segments.select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.posexplode(tokens(text, lang)).alias("pos", "text"))
-    w = _over(by, ["pos"])
-    share = F.greatest(F.lit(1), visible_length("text"))
-    told = each.withColumn("_w", share).withColumn("_sum", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*by))).withColumn("_last", F.lead("pos").over(w).isNull())
-    border = F.when(F.col("_last"), F.col("_e")).otherwise(F.col("_s") + rounded((F.col("_e") - F.col("_s")) * F.col("_sum") / F.col("_all")))
-    told = told.withColumn("_b", F.when(F.col("_e") <= F.col("_s"), F.col("_s")).otherwise(border))
-    return told.select(*by, "pos", "text", F.coalesce(F.lag("_b").over(w), F.col("_s")).cast("double").alias("start_ms"), F.col("_b").cast("double").alias("end_ms"))
+    k = len(keep)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, SOME):
+                part = batch.slice(i, SOME)
+                texts, langs = part.column(k).to_pylist(), part.column(k + 1).to_pylist()
+                times = [part.column(j).to_numpy(zero_copy_only=False) for j in (k + 2, k + 3)]
+                yield rows([part.column(j) for j in range(k)], *packing.deal(texts, langs, *times))
+
+    told = segments.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"), lang.alias("_lang"), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"))
+    return told.mapInArrow(run, schema)
 
 
 def fix_overlaps(cues: DataFrame, by: list[str], order: list[str], min_gap: float = 80, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

@@ -12,7 +12,7 @@ from .packing import cps
 def cue_stats(cues: DataFrame, by: list[str], media: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """Per medium: cue_count, word_count, avg_cps, max_cps, duration_ms; zeros for media without cues if `media` lists them."""
     told = cues.withColumn("_c", cps("lines", "start_ms", "end_ms"))
-    words = F.size("words") if "words" in cues.columns else F.aggregate(F.transform("lines", lambda x: F.size(tokens(x, F.lit("")))), F.lit(0), lambda a, x: a + x)
+    words = F.col("n_words") if "n_words" in cues.columns else F.size("words") if "words" in cues.columns else F.aggregate(F.transform("lines", lambda x: F.size(tokens(x, F.lit("")))), F.lit(0), lambda a, x: a + x)
     out = told.groupBy(*by).agg(F.count("*").alias("cue_count"), F.sum(words).alias("word_count"), F.avg("_c").alias("avg_cps"), F.max("_c").alias("max_cps"), F.max("end_ms").alias("duration_ms"))
     if digits is not None:
         out = out.withColumns({c: F.round(c, digits) for c in ("avg_cps", "max_cps")})

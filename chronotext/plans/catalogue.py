@@ -181,14 +181,12 @@ def cue_blocks(spark, sf_dir):
 
 
 def _cues(spark, sf_dir, merge=True):
-    words = _words(spark, sf_dir).withColumn("lang", F.lit("en"))
-    made = packing.packed_cues(words, ["doc_id"], "seg_no", "pos", "lang", merge=merge)
-    return sequence.reindex(sequence.fix_overlaps(made, ["doc_id"], ["cue"], 80), ["doc_id"], ["cue"]).drop("cue")
+    return packing.segment_cues(segments(spark, sf_dir).withColumn("lang", F.lit("en")), ["doc_id"], "seg_no", "lang", merge=merge)
 
 
 @query()
 def build_cues(spark, sf_dir):
-    return _cues(spark, sf_dir).select("doc_id", "index", "start_ms", "end_ms", F.size("words").alias("n_words"), F.array_join("lines", "\n").alias("text"))
+    return _cues(spark, sf_dir).select("doc_id", "index", "start_ms", "end_ms", "n_words", F.array_join("lines", "\n").alias("text"))
 
 
 @query()
