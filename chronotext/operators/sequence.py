@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,20 +201,68 @@ def snap_to_regions(segments: DataFrame, regions: DataFrame, by: list[str], orde
     return repaired.withColumn("words", F.transform("words", raised))
 
 
-def normalize_segments(segments: DataFrame, words: DataFrame, regions: DataFrame, by: list[str], segment: str, place: str, least_ms: float = 50, tolerance: float = 250, deloop: bool = True) -> DataFrame:
+def _smoothed(at: np.ndarray, start: np.ndarray, end: np.ndarray, half: int = 2, max_delta: float = 120) -> tuple[np.ndarray, np.ndarray]:
+    """smooth_timings() of words that stand in order, segment by segment; `at` is where each begins, and the end of all."""
+    whose = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    near = np.arange(len(start)) + np.arange(-half, half + 1)[:, None]
+    near = np.clip(near, at[:-1][whose], at[1:][whose] - 1)
+    start, end = (np.maximum(x - max_delta, np.minimum(x + max_delta, np.sort(x[near], axis=0)[half])) for x in (start, end))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        np.maximum.accumulate(start[a:b], out=start[a:b])
+    return start, np.maximum(end, start)
+
+
+def _own_words(segments: DataFrame, key: list[str], least_ms: float, whole: bool) -> DataFrame:
+    """(key, text, start_ms, end_ms, n_words, words, said): each segment's words (known times) without the short ones, smoothed,
+    as one text; null where none is left. Rows stay where they are. Unless `whole`, only the first and the last word stay."""
+    types, names = dict(segments.dtypes), [*key, "text", "start_ms", "end_ms"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, SOME):
+                part = batch.slice(i, SOME)
+                lists = part.column(len(names))
+                counts = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+                flat = lists.flatten()
+                start, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("start_ms", "end_ms"))
+                long = end - start >= least_ms
+                counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[long], minlength=len(counts))
+                at, texts = np.concatenate([[0], np.cumsum(counts)]), flat.field("text").filter(pa.array(long))
+                start, end = _smoothed(at, start[long], end[long])
+                none, said = counts == 0, texts.to_pylist()
+                said = [" ".join(said[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                if not whole:
+                    edge = np.unique(np.concatenate([at[:-1][~none], at[1:][~none] - 1]))
+                    texts, start, end = texts.take(pa.array(edge, pa.int64())), start[edge], end[edge]
+                    at = np.concatenate([[0], np.cumsum(np.minimum(counts, 2))])
+                timed = pa.StructArray.from_arrays([texts, pa.array(start), pa.array(end)], ["text", "start_ms", "end_ms"])
+                words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), timed, mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names))), pa.array(counts, pa.int32()), words, pa.array(said, pa.string())], [*names, "n_words", "words", "said"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", text string, start_ms double, end_ms double, n_words int, words array<struct<text:string,start_ms:double,end_ms:double>>, said string"
+    timed = F.col("words").cast("array<struct<text:string,start_ms:double,end_ms:double>>")
+    return segments.select(*key, "text", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), timed.alias("words")).mapInArrow(run, schema)
+
+
+def normalize_segments(segments: DataFrame, words: DataFrame | None, regions: DataFrame, by: list[str], segment: str, place: str, least_ms: float = 50, tolerance: float = 250, deloop: bool = True, whole: bool = True) -> DataFrame:
     """Recognised segments cleaned: (by, segment, text, start_ms, end_ms, words).
 
     Words (by, segment, place, text, start_ms, end_ms) that are too short go, times are smoothed and drawn to the edges of
     speech, boilerplate goes, and a segment with words takes text and times from them. One without keeps its text, its loops
-    (with `deloop`) said once, and its words are null.
+    (with `deloop`) said once, and its words are null. With `words` None each segment has its own as an array `words`, which are
+    not shuffled to it; there is `n_words` then, and without `whole` only the first and the last word go on.
     """
     key = [*by, segment]
-    kept = smooth_timings(drop_micro_words(words, least_ms).select(*key, place, "text", "start_ms", "end_ms"), key, [place])
-    entry = F.struct(F.col(place).alias("o"), F.col("text").alias("t"), F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e"))
-    held = kept.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_w")).select(*key, F.transform("_w", lambda w: F.struct(w["t"].alias("text"), w["s"].alias("start_ms"), w["e"].alias("end_ms"))).alias("words"))
     plain = quality.deloop("text") if deloop else F.col("text")
-    ready = segments.select(*key, "text", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms")).join(held, key, "left")
-    said = ready.withColumn("text", F.when(F.col("words").isNotNull(), F.array_join(F.transform("words", lambda w: w["text"]), " ")).otherwise(plain))
+    if words is None:
+        own = _own_words(segments, key, least_ms, whole)
+        said = own.withColumn("text", F.when(F.col("words").isNotNull(), F.col("said")).otherwise(plain)).drop("said")
+    else:
+        kept = smooth_timings(drop_micro_words(words, least_ms).select(*key, place, "text", "start_ms", "end_ms"), key, [place])
+        entry = F.struct(F.col(place).alias("o"), F.col("text").alias("t"), F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e"))
+        held = kept.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_w")).select(*key, F.transform("_w", lambda w: F.struct(w["t"].alias("text"), w["s"].alias("start_ms"), w["e"].alias("end_ms"))).alias("words"))
+        ready = segments.select(*key, "text", F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms")).join(held, key, "left")
+        said = ready.withColumn("text", F.when(F.col("words").isNotNull(), F.array_join(F.transform("words", lambda w: w["text"]), " ")).otherwise(plain))
     snapped = snap_to_regions(said, regions, by, [segment], tolerance).where(~quality.hallucinated("text"))
     ends = {"start_ms": F.element_at("words", 1)["start_ms"], "end_ms": F.element_at("words", -1)["end_ms"]}
     return snapped.withColumns({c: F.when(F.col("words").isNotNull(), v).otherwise(F.col(c)) for c, v in ends.items()})

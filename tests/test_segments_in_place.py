@@ -96,3 +96,19 @@ def test_a_pass_without_change_is_the_last(spark):
 def test_counted_words_of_cues(spark):
     cues = spark.createDataFrame([("m", 0.0, 1000.0, ["a b", "c"], 7)], "m string, start_ms double, end_ms double, lines array<string>, n_words int")
     assert stats.cue_stats(cues, ["m"]).first()["word_count"] == 7
+
+
+def test_segments_cleaned_by_their_own_words(spark, segments):
+    """As by words that are rows of their own, and no word is shuffled."""
+    told = segments.where("end_ms IS NOT NULL").select("m", "n", F.coalesce("text", F.lit("")).alias("text"), "lang", "start_ms", "end_ms")
+    regions = told.where("n % 3 <> 0").select("m", (F.col("start_ms") + 90).alias("start_ms"), (F.col("end_ms") + 40).alias("end_ms"))
+    words = sequence.distribute_words(told, ["m", "n"], lang=F.lit("en"))
+    want = sequence.normalize_segments(told, words, regions, ["m"], "n", "pos", least_ms=120)
+    own = sequence.with_words(told, lang=F.lit("en"))
+    got = sequence.normalize_segments(own, None, regions, ["m"], "n", "pos", least_ms=120)
+    rows = lambda df: sorted(map(tuple, df.select("m", "n", "text", "start_ms", "end_ms", "words").collect()))
+    assert rows(got) == rows(want) and any(r["words"] for r in want.collect()) and any(r["words"] is None for r in want.collect())
+    ends = sequence.normalize_segments(own, None, regions, ["m"], "n", "pos", least_ms=120, whole=False)
+    counted = sorted((r["m"], r["n"], r["text"], len(r["words"] or []), r["start_ms"], r["end_ms"]) for r in want.collect())
+    assert sorted(map(tuple, ends.select("m", "n", "text", "n_words", "start_ms", "end_ms").collect())) == counted
+    assert all(len(r["words"] or []) <= 2 for r in ends.collect())
