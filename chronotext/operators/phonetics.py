@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.streams import bound
 from ..functions.text import HAN, col, halfwidth
 
 # ARPAbet to IPA.
@@ -182,8 +183,12 @@ def third_tone(reading: Column | str) -> Column:
     r = F.col(reading) if isinstance(reading, str) else reading
     syllables = F.filter(F.split(r, " "), lambda s: s != "")
     third = lambda s: F.coalesce(s.rlike("[ǎěǐǒǔǚ]"), F.lit(False))
-    changed = F.transform(syllables, lambda s, i: F.when(third(s) & third(F.get(syllables, i + 1)), F.translate(s, "ǎěǐǒǔǚ", "áéíóúǘ")).otherwise(s))
-    return F.array_join(changed, " ")
+
+    def changed(every: Column) -> Column:
+        return F.transform(every, lambda s, i: F.when(third(s) & third(F.get(every, i + 1)), F.translate(s, "ǎěǐǒǔǚ", "áéíóúǘ")).otherwise(s))
+
+    # bound: else a reading would be split again for each of its syllables
+    return F.array_join(bound(syllables, changed), " ")
 
 
 def tidy(reading: str) -> str:

@@ -32,3 +32,10 @@ def test_sandhi(spark, plain, said):
 def test_pinyin_keeps_marks_and_groups():
     readings = {"你好": "nǐ hǎo"}
     assert P.pinyin("你好，你好", lambda g: readings[g]) == "ní hǎo, ní hǎo"
+
+
+def test_a_reading_is_split_once(spark):
+    """Not again for each of its syllables, which grows with the square of its length."""
+    said = spark.createDataFrame([("nǐ hǎo  hǎo mā",), (None,)], "t string").select(P.third_tone("t").alias("t"))
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r["t"] for r in said.collect()] == ["ní háo hǎo mā", None]
